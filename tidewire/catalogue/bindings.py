@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import headline_id, label_of
 from ..functions.valence import ValenceRules
 from ..schemas import LEXICON
+from ..session import local_frame
 from ..sources.landed import arrival
 
 AS_OF = "2024-03-01 00:00:00"
@@ -52,7 +53,7 @@ def as_of() -> Column:
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(WORDS, LEXICON)
+    return local_frame(spark, WORDS, LEXICON)
 
 
 def scored_events(spark: SparkSession, folder: str) -> DataFrame:

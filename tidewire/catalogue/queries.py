@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import operators as op
 from .. import streaming
-from ..functions import coerce_ts, label_of, parse_watchlist, ticker_mentions
+from ..functions import first_time, label_of, parse_watchlist, ticker_mentions, time_fields
 from ..plans import RunConfig, dashboard_tables, run_end_to_end
 from ..schemas import LEXICON
-from ..session import fresh_dir
+from ..session import fresh_dir, local_frame
 from ..sources import read_headlines
 from ..sources.landed import parse_listing, parse_news
 from . import bindings as b
@@ -206,7 +206,8 @@ def watchlist_parse(spark, sf):
 def coerced_times(spark, sf):
     lines = b.event_news_lines(spark, sf)
     item = F.try_variant_get(F.try_parse_json("value"), "$.item", "variant")
-    return lines.select("event_id", b.micros(coerce_ts(item, b.as_of())).alias("published_at"))
+    fields = lines.select("event_id", item.alias("item")).select("event_id", time_fields(F.col("item")).alias("times"))
+    return fields.select("event_id", b.micros(first_time(F.col("times"), b.as_of())).alias("published_at"))
 
 
 @_query
@@ -271,28 +272,35 @@ def lexicon_score_large(spark, sf):
     return op.lexicon_score(_texts(spark, sf), b.lexicon(spark), b.PROSE_RULES, broadcast=False)
 
 
-def load_length_model():
+def _length_model():
     """A stand-in for a classifier: shares from the length of a text."""
-    def predict(texts):
-        shares = [1.0 / (1.0 + len(text)) for text in texts]
-        return [[("Positive", 0.5), ("Negative", share), ("Neutral", 0.5 - share)] for share in shares]
+    # Nested, so that it travels to the workers by value.
+    def load():
+        def predict(texts):
+            shares = [1.0 / (1.0 + len(text)) for text in texts]
+            return [[("Positive", 0.5), ("Negative", share), ("Neutral", 0.5 - share)] for share in shares]
 
-    return predict
+        return predict
 
+    return load
 
-def load_no_model():
-    raise RuntimeError("no model on this worker")
+
+def _no_model():
+    def load():
+        raise RuntimeError("no model on this worker")
+
+    return load
 
 
 @_query
 def model_score(spark, sf):
-    scored = op.model_score(_texts(spark, sf), load_length_model, "length", b.lexicon(spark))
+    scored = op.model_score(_texts(spark, sf), _length_model(), "length", b.lexicon(spark))
     return scored.select("headline_id", "label", r6("score"), r6("confidence"), "model")
 
 
 @_query
 def model_fallback(spark, sf):
-    return op.model_score(_texts(spark, sf), load_no_model, "length", b.lexicon(spark), rules=b.PROSE_RULES)
+    return op.model_score(_texts(spark, sf), _no_model(), "length", b.lexicon(spark), rules=b.PROSE_RULES)
 
 
 @_query
@@ -394,7 +402,7 @@ def end_to_end(spark, sf):
         watch="click, error, view, signup",
         as_of=b.AS_OF,
         backend="vader",
-        score_options={"lexicon": spark.createDataFrame(b.EVENT_WORDS, LEXICON)},
+        score_options={"lexicon": local_frame(spark, b.EVENT_WORDS, LEXICON)},
     )
     run_end_to_end(spark, config)
     again = run_end_to_end(spark, config)

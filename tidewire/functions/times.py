@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,14 +16,13 @@ _TIME = r"(\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?|\d{2}(?:\d{2}(?:[.,]\d+)?)?)?)"
 _OFFSET = r"([+-]\d{2}(?::?\d{2})?)(?::?\d{2})?"
 _ISO = rf"(?s)^{_DATE}(?:.{_TIME}(?:{_OFFSET})?)?$"
 # Digits only, filled up to yyyyMMdd HHmmss.ffffff +HHmm, and with the marks that a cast reads.
-_DIGITS = r"^(\d{4})(\d{2})(\d{2}) (\d{2})(\d{2})(\d{2})([.]\d{1,6})\d* ([+-]\d{2})(\d{2})$"
+_DIGITS = r"^(?!0000)(\d{4})(\d{2})(\d{2}) (\d{2})(\d{2})(\d{2})([.]\d{1,6})\d* ([+-]\d{2})(\d{2})$"
 _MARKED = "$1-$2-$3 $4:$5:$6$7$8:$9"
 
-# The common forms, which a plain cast reads as well: the group-by-group path is for the rest.
-_PLAIN_DAY = r"^\d{4}-\d{2}-\d{2}$"
-_PLAIN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?"
-_PLAIN_UTC = _PLAIN + "$"
-_PLAIN_OFFSET = _PLAIN + r"[+-]\d{2}:\d{2}$"
+# The common forms, which a plain cast reads as well.
+_PLAIN = r"^(?!0000)\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:[+-]\d{2}:\d{2})?)?$"
+_HAS_OFFSET = r"[+-]\d{2}:\d{2}$"
+_DAY_LENGTH = 10
 
 # First second of the year 10000: a larger number is not a time in seconds.
 _EPOCH_LIMIT = 253402300800
@@ -28,14 +30,21 @@ _EPOCH_LIMIT = 253402300800
 
 def iso_timestamp(text: Column) -> Column:
     """ISO-8601 text as an instant; NULL where it is not ISO. Text without an offset is UTC."""
-    text = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-    in_era = ~text.startswith("0000")
-    return (
-        F.when(text.rlike(_PLAIN_OFFSET), F.when(in_era, text.try_cast("timestamp")))
-        .when(text.rlike(_PLAIN_UTC), F.when(in_era, F.concat(text, F.lit("+00:00")).try_cast("timestamp")))
-        .when(text.rlike(_PLAIN_DAY), F.when(in_era, F.concat(text, F.lit(" 00:00:00+00:00")).try_cast("timestamp")))
-        .when(text.rlike(_ISO), F.when(in_era, _by_parts(text)))
+    text = _utc_mark(text)
+    return F.when(text.rlike(_PLAIN), _plain(text)).when(text.rlike(_ISO), _by_parts(text))
+
+
+def _utc_mark(text: Column) -> Column:
+    return F.replace(text, F.lit("Z"), F.lit("+00:00"))
+
+
+def _plain(text: Column) -> Column:
+    zone = (
+        F.when(F.length(text) == _DAY_LENGTH, " 00:00:00+00:00")
+        .when(text.rlike(_HAS_OFFSET), "")
+        .otherwise("+00:00")
     )
+    return F.concat(text, zone).try_cast("timestamp")
 
 
 def _by_parts(text: Column) -> Column:
@@ -70,34 +79,55 @@ def _epoch(seconds: Column) -> Column:
     return F.when(in_range, F.timestamp_seconds(seconds.cast("bigint")))
 
 
-def coerce_ts(item: Column, as_of: Column) -> Column:
-    """Publication time of a raw news item (VARIANT).
+def time_fields(item: Column) -> Column:
+    """The fields of a raw news item (VARIANT) that may hold its time, in order of preference.
 
-    Takes the first usable field; a number counts as epoch seconds when it is above zero, text
-    when it is ISO. The nested fields are read as text only. ``as_of`` stands in for "now", so
-    that a re-run gives the same rows. JSON booleans are not numbers.
+    An array of (seconds, text, plain): epoch seconds above zero, or ISO text and whether it is in
+    a common form.
     """
     def candidate(path: str, numbers: bool) -> Column:
         field = F.try_variant_get(item, path, "variant")
+        kind, value = F.schema_of_variant(field), F.try_variant_get(item, path, "string")
+        seconds = F.when(kind.rlike(_NUMBER), value.try_cast("double")) if numbers else F.lit(None).cast("double")
+        text = F.when(kind == "STRING", _utc_mark(value))
         return F.struct(
-            F.schema_of_variant(field).alias("kind"),
-            F.try_variant_get(item, path, "string").alias("text"),
-            F.lit(numbers).alias("numbers"),
+            F.when(seconds > 0, seconds).alias("seconds"), text.alias("text"), text.rlike(_PLAIN).alias("plain")
         )
 
-    def usable(field: Column) -> Column:
-        number = F.when(field["numbers"] & field["kind"].rlike(_NUMBER), field["text"].try_cast("double"))
-        return F.coalesce(
-            F.when(number > 0, _epoch(number)),
-            F.when(field["kind"] == "STRING", iso_timestamp(field["text"])),
-        )
+    fields = [candidate(f"$.{name}", True) for name in ("providerPublishTime", "pubDate", "published")]
+    return F.array(*fields, *[candidate(f"$.content.{name}", False) for name in ("pubDate", "displayTime")])
+
+
+def first_time(fields: Column, as_of: Column) -> Column:
+    """The first usable of the time fields, else ``as_of``.
 
-    candidates = [candidate(f"$.{name}", True) for name in ("providerPublishTime", "pubDate", "published")]
-    candidates += [candidate(f"$.content.{name}", False) for name in ("pubDate", "displayTime")]
-    # A fold with one parser in it, not one per field: the generated code would be too long.
-    nothing = F.lit(None).cast("timestamp")
-    first = F.reduce(F.array(*candidates), nothing, lambda found, field: F.coalesce(found, usable(field)))
-    return F.coalesce(first, as_of)
+    Items in the common forms go through compiled code. The full reader is too long to repeat for
+    every field, so for the items that need it, it is a fold over the fields.
+    """
+    candidates = [F.get(fields, F.lit(place)) for place in range(5)]
+    chosen = F.coalesce(*[F.when(field["seconds"].isNotNull() | field["plain"], field) for field in candidates])
+    common = F.coalesce(_epoch(chosen["seconds"]), _plain(chosen["text"]))
+    odd = reduce(lambda left, right: left | right, [F.coalesce(~field["plain"], F.lit(False)) for field in candidates])
+    fold = F.reduce(
+        fields,
+        F.lit(None).cast("timestamp"),
+        lambda found, field: F.coalesce(found, _epoch(field["seconds"]), iso_timestamp(field["text"])),
+    )
+    # A common form can still name a day that does not exist; then the later fields count.
+    return F.coalesce(F.when(odd | (chosen.isNotNull() & common.isNull()), fold).otherwise(common), as_of)
+
+
+def coerce_ts(item: Column, as_of: Column) -> Column:
+    """Publication time of a raw news item (VARIANT).
+
+    Takes the first usable field; a number counts as epoch seconds when it is above zero, text
+    when it is ISO. The nested fields are read as text only. ``as_of`` stands in for "now", so
+    that a re-run gives the same rows. JSON booleans are not numbers.
+
+    On many rows, keep ``time_fields`` in a column of its own and use ``first_time``, so that the
+    item is taken apart once.
+    """
+    return first_time(time_fields(item), as_of)
 
 
 def epoch_or(value: Column, as_of: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal_watchlist
 from ..schemas import SCORED_COLUMNS
+from ..session import local_frame
 
 HEADLINE_KEY = ("source", "url")
 ARRIVAL = ("source_rank", "rank", "seq")
@@ -76,7 +77,7 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 def insert_counts(new: DataFrame, watch: str | Iterable[str]) -> DataFrame:
     """Newly stored rows per watched ticker, 0 where there are none."""
-    wanted = new.sparkSession.createDataFrame([(name,) for name in normal_watchlist(watch)], "ticker string")
+    wanted = local_frame(new.sparkSession, [(name,) for name in normal_watchlist(watch)], "ticker string")
     counts = new.groupBy("ticker").agg(F.count(F.lit(1)).alias("inserted"))
     return wanted.join(counts, "ticker", "left").select(
         "ticker", F.coalesce("inserted", F.lit(0)).alias("inserted")

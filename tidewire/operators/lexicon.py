@@ -32,16 +32,17 @@ from .keyed import fits_broadcast
 MODEL_NAME = "vader"  # fixed value
 SALTS = 16
 
-# Tokens are runs of two or more non-blank characters; blanks as Unicode has them.
-_BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_TOKEN = rf"[^{_BLANK}]{{2,}}"
-_START, _END = rf"(?<![^{_BLANK}])", rf"(?![^{_BLANK}])"
-# One punctuation mark (or a listed run of them) before or after an otherwise clean word is cut.
+# A token is a run of two or more non-blank characters, less one punctuation mark (or a listed run
+# of them) before or after it when all the rest is free of punctuation. Matches follow each other
+# through the text and never start inside a token, so the text is read once; the classes list single
+# characters, which the matcher looks up in a table.
+_CHAR = r"[^\s\x1c\x1d\x1e\x1f]"
+_WORD = r"[^\s\x1c\x1d\x1e\x1f!\"#$%&'()*+,\-./:;<=>?@\[\\\]\^_`{|}~]{2,}+"
 _MARK = r"(?:[.!?,;:\-'\"]|!!|!!!|\?\?|\?\?\?|\?!\?|!\?!|\?!\?!|!\?!\?)"
-_WORD = rf"([^{_BLANK}\p{{Punct}}]{{2,}})"
-_MARKED_WORD = rf"{_START}(?:{_MARK}{_WORD}|{_WORD}{_MARK}){_END}"
-_NOT_LOWER = rf"[^{_BLANK}\p{{IsLowercase}}\p{{IsTitlecase}}]"
-_CAPS_TOKEN = rf"{_START}(?=[^{_BLANK}]{{2}}){_NOT_LOWER}*\p{{IsUppercase}}{_NOT_LOWER}*{_END}"
+_TOKEN = (
+    rf"(?U)(?:(?=[.!?,;:\-'\"]){_MARK}(?={_WORD}(?!{_CHAR})))?+"
+    rf"((?:{_WORD}(?={_MARK}?(?!{_CHAR})))|{_CHAR}{{2,}}+){_CHAR}*+"
+)
 _BACK = (1, 2, 3)
 
 
@@ -73,9 +74,8 @@ def _tokenize(headlines: DataFrame, key: str, text: str, keep: tuple[str, ...])
     """Per text: its tokens, and what depends on the text as a whole."""
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = headlines.select(key, *keep, whole.alias("whole"))
-    texts = texts.withColumn("clean", F.regexp_replace("whole", _MARKED_WORD, "$1$2"))
-    texts = texts.withColumn("tokens", F.regexp_extract_all("clean", F.lit(_TOKEN), F.lit(0)))
-    caps = F.regexp_count("clean", F.lit(_CAPS_TOKEN))
+    texts = texts.withColumn("tokens", F.regexp_extract_all("whole", F.lit(_TOKEN), F.lit(1)))
+    caps = F.size(F.filter("tokens", _is_upper))
     # First "but", counted from 1; 0 where there is none.
     but_at = F.when(
         F.lower("whole").contains("but"),
@@ -91,11 +91,20 @@ def _tokenize(headlines: DataFrame, key: str, text: str, keep: tuple[str, ...])
         "tokens",
         ((caps > 0) & (caps < F.size("tokens"))).alias("mixed_caps"),
         but_at.cast("int").alias("but_at"),
+        F.size("tokens").alias("n_tokens"),
         count_of("!").alias("bangs"),
         count_of("?").alias("questions"),
     )
 
 
+def _hits(found: DataFrame) -> DataFrame:
+    """Tokens with a value, and the first token of every text, so that no text is lost.
+
+    The rest only counts as neutral, and the number of tokens is known.
+    """
+    return found.where(F.col("base").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
+
+
 def _around(hits: DataFrame, rules: ValenceRules) -> DataFrame:
     """Adds the words around a hit. A repeated word takes the context of its first occurrence."""
     hits = hits.withColumn("first", F.when(F.col("base").isNotNull(), F.array_position("tokens", F.col("item")).cast("int")))
@@ -105,17 +114,34 @@ def _around(hits: DataFrame, rules: ValenceRules) -> DataFrame:
     hits = hits.withColumn("at", F.when(F.col("first").isNotNull() & ~booster & ~of_kind, F.col("first") - 1))
     nearby = {f"back{k}": F.when(F.col("at") >= k, F.get("tokens", F.col("at") - k)) for k in _BACK}
     nearby |= {f"next{k}": F.get("tokens", F.col("at") + k) for k in (1, 2)}
-    return hits.withColumns(nearby)
+    hits = hits.withColumns(nearby)
+    # A function over an array is not compiled into its stage, so this also ends the stage that
+    # reads every token: what follows is long code that would keep the token loop from being
+    # compiled to machine code, and it is for hits only.
+    words = F.array("back1", "back2", "back3")
+    return hits.withColumn("around", F.transform(words, lambda word: _effect(word, rules))).drop("tokens")
+
+
+def _effect(word: Column, rules: ValenceRules) -> Column:
+    """What a word does to a hit after it: booster size along the hit, extra for capitals, negation."""
+    plain = F.lower(word)
+    size = F.when(plain.isin(*rules.boosters_up), BOOST).when(plain.isin(*rules.boosters_down), -BOOST)
+    return F.struct(
+        plain.alias("plain"),
+        size.alias("size"),
+        F.when(_is_upper(word) & F.col("mixed_caps"), CAPS_BOOST).otherwise(0.0).alias("loud"),
+        F.when(plain.isin(*rules.negations) | plain.contains("n't"), NEGATION_FACTOR).otherwise(1.0).alias("factor"),
+    )
 
 
 def _broadcast_lookup(texts: DataFrame, lexicon: DataFrame, rules: ValenceRules, ids: list[str]) -> DataFrame:
     exploded = texts.select("*", F.posexplode_outer("tokens").alias("pos", "item"))
     entry = lexicon.select(F.col("token").alias("word"), F.col("valence").alias("base"))
-    hits = exploded.join(F.broadcast(entry), F.lower("item") == F.col("word"), "left")
-    hits = _around(hits, rules)
+    found = exploded.join(F.broadcast(entry), F.lower("item") == F.col("word"), "left")
+    hits = _around(_hits(found), rules)
     for k in _BACK:
         entry = lexicon.select(F.col("token").alias(f"word{k}"))
-        hits = hits.join(F.broadcast(entry), F.lower(f"back{k}") == F.col(f"word{k}"), "left")
+        hits = hits.join(F.broadcast(entry), _near(k)["plain"] == F.col(f"word{k}"), "left")
     return hits.withColumns({f"known{k}": F.col(f"word{k}").isNotNull() for k in _BACK})
 
 
@@ -125,7 +151,7 @@ def _shuffled_lookup(texts: DataFrame, lexicon: DataFrame, rules: ValenceRules,
     The salt spreads frequent tokens. The values come back as an array beside the tokens, which
     is again one row per text and no larger than the text was.
     """
-    context = [*ids, "mixed_caps", "but_at", "bangs", "questions"]
+    context = [*ids, "mixed_caps", "but_at", "n_tokens", "bangs", "questions"]
     salt = F.pmod(F.xxhash64(ids[0], "pos"), F.lit(SALTS)).cast("int")
     exploded = texts.select(*context, F.posexplode_outer("tokens").alias("pos", "item"))
     exploded = exploded.withColumns({"word": F.lower("item"), "salt": salt})
@@ -140,8 +166,7 @@ def _shuffled_lookup(texts: DataFrame, lexicon: DataFrame, rules: ValenceRules,
     # The arrays are taken apart before the explode, once per text and not once per token.
     arrays = again.select(*context, F.col("entries.item").alias("tokens"), F.col("entries.base").alias("bases"))
     hits = arrays.select("*", F.posexplode_outer("tokens").alias("pos", "item"))
-    hits = hits.withColumn("base", F.get("bases", F.col("pos")))
-    hits = _around(hits, rules)
+    hits = _around(_hits(hits.withColumn("base", F.get("bases", F.col("pos")))), rules)
     return hits.withColumns(
         {f"known{k}": F.when(F.col("at") >= k, F.get("bases", F.col("at") - k)).isNotNull() for k in _BACK}
     )
@@ -151,18 +176,16 @@ def _is_upper(word: Column) -> Column:
     return (word == F.upper(word)) & (word != F.lower(word))
 
 
-def _boosted(value: Column, word: Column, mixed_caps: Column, weight: float, rules: ValenceRules) -> Column:
-    """A value after a booster word: moved along its own direction, further for capitals."""
-    plain = F.lower(word)
-    along = F.when(plain.isin(*rules.boosters_up), BOOST).when(plain.isin(*rules.boosters_down), -BOOST)
-    loud = F.when(_is_upper(word) & mixed_caps, CAPS_BOOST).otherwise(0.0)
-    move = F.when(value > 0, along + loud).when(value < 0, -along - loud).otherwise(along - loud)
-    return value + F.coalesce(move, F.lit(0.0)) * weight
+def _near(k: int) -> Column:
+    """Effect of the k-th word before the hit."""
+    return F.get("around", F.lit(k - 1))
 
 
-def _negates(word: Column, rules: ValenceRules) -> Column:
-    plain = F.lower(word)
-    return plain.isin(*rules.negations) | plain.contains("n't")
+def _boosted(value: Column, effect: Column, weight: float) -> Column:
+    """A value after a booster word: moved along its own direction, further for capitals."""
+    size, loud = effect["size"], effect["loud"]
+    move = F.when(value > 0, size + loud).when(value < 0, -size - loud).otherwise(size - loud)
+    return value + F.coalesce(move, F.lit(0.0)) * weight
 
 
 def _valued(hits: DataFrame, rules: ValenceRules) -> DataFrame:
@@ -176,11 +199,10 @@ def _valued(hits: DataFrame, rules: ValenceRules) -> DataFrame:
     def intensifier(word: Column) -> Column:
         return word.isin("so", "this")
 
-    negated = [F.when(_negates(word, rules), NEGATION_FACTOR).otherwise(1.0) for word in (b1, b2, b3)]
     factors = (
-        negated[0],
-        F.when((b2 == "never") & intensifier(b1), 1.5).otherwise(negated[1]),
-        F.when(((b3 == "never") & intensifier(b2)) | intensifier(b1), 1.25).otherwise(negated[2]),
+        _near(1)["factor"],
+        F.when((b2 == "never") & intensifier(b1), 1.5).otherwise(_near(2)["factor"]),
+        F.when(((b3 == "never") & intensifier(b2)) | intensifier(b1), 1.25).otherwise(_near(3)["factor"]),
     )
     louder = F.when(base > 0, base + CAPS_BOOST).otherwise(base - CAPS_BOOST)
     start = F.when(_is_upper(item) & mixed, louder).otherwise(base)
@@ -188,14 +210,14 @@ def _valued(hits: DataFrame, rules: ValenceRules) -> DataFrame:
     for k in _BACK:
         # The k-th word back acts only if it is there and has no valence of its own.
         word, value = F.col(f"back{k}"), F.col("value")
-        changed = _boosted(value, word, mixed, DISTANCE_WEIGHTS[k - 1], rules) * factors[k - 1]
+        changed = _boosted(value, _near(k), DISTANCE_WEIGHTS[k - 1]) * factors[k - 1]
         if k == 3:
             changed = _idioms(changed, rules)
         acts = word.isNotNull() & ~F.col(f"known{k}")
         hits = hits.withColumn("value", F.when(acts, changed).otherwise(value))
 
-    kept_least = b2.isNotNull() & F.lower(b2).isin("at", "very")
-    least = (F.lower(b1) == "least") & ~F.col("known1") & ~kept_least
+    kept_least = b2.isNotNull() & _near(2)["plain"].isin("at", "very")
+    least = (_near(1)["plain"] == "least") & ~F.col("known1") & ~kept_least
     place, but = F.col("pos") + 1, F.col("but_at")
     weight = (
         F.when((but > 0) & (place < but), BUT_BEFORE)
@@ -207,7 +229,7 @@ def _valued(hits: DataFrame, rules: ValenceRules) -> DataFrame:
 
 
 def _idioms(value: Column, rules: ValenceRules) -> Column:
-    """Set phrases around the word replace its value; the later check wins."""
+    """A set phrase around the word replaces its value; phrases that begin with it come first."""
     b1, b2, b3 = (F.col(f"back{k}") for k in _BACK)
     item, n1, n2 = F.col("item"), F.col("next1"), F.col("next2")
 
@@ -215,18 +237,12 @@ def _idioms(value: Column, rules: ValenceRules) -> Column:
         # NULL as soon as one of the words is missing.
         return F.concat(words[0], *[part for word in words[1:] for part in (F.lit(" "), word)])
 
-    def replaced(old: Column, *phrases: Column) -> Column:
-        chain = F
-        for words in phrases:
-            for idiom, valence in rules.idioms:
-                chain = chain.when(words == idiom, F.lit(valence))
-        return chain.otherwise(old)
-
-    value = replaced(
-        value, phrase(b1, item), phrase(b2, b1, item), phrase(b2, b1), phrase(b3, b2, b1), phrase(b3, b2)
-    )
-    value = replaced(value, phrase(item, n1))
-    value = replaced(value, phrase(item, n1, n2))
+    values = F.create_map(*[F.lit(part) for idiom in rules.idioms for part in idiom])
+    phrases = [
+        phrase(item, n1, n2), phrase(item, n1),
+        phrase(b1, item), phrase(b2, b1, item), phrase(b2, b1), phrase(b3, b2, b1), phrase(b3, b2),
+    ]
+    value = F.coalesce(*[F.try_element_at(values, words) for words in phrases], value)
     known = [*rules.boosters_up, *rules.boosters_down, *rules.booster_pairs]
     damped = phrase(b3, b2).isin(known) | phrase(b2, b1).isin(known)
     return value - F.when(damped, BOOST).otherwise(0.0)
@@ -239,7 +255,7 @@ def _fold(hits: DataFrame, ids: list[str]) -> DataFrame:
         F.sum("value").alias("total"),
         F.sum(F.when(value > 0, value + 1).otherwise(0.0)).alias("up"),
         F.sum(F.when(value < 0, value - 1).otherwise(0.0)).alias("down"),
-        F.count_if(F.col("item").isNotNull() & (value == 0)).alias("flat"),
+        (F.max("n_tokens") - F.count_if(value != 0)).alias("flat"),
         F.max("bangs").alias("bangs"),
         F.max("questions").alias("questions"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import headline_id, mentions, normal_watchlist
-from ..functions.times import coerce_ts, epoch_or
+from ..functions.times import epoch_or, first_time, time_fields
 
 # Fixed values.
 NEWS_SOURCE = "yfinance"
@@ -78,7 +78,8 @@ def normalize_news(raw: DataFrame, as_of: Column, watch: str | Iterable[str] | N
         ).alias("publisher"),
         "item",
     ).where("title is not null and url is not null")
-    rows = rows.withColumn("published_at", coerce_ts(F.col("item"), as_of))
+    rows = rows.withColumn("times", time_fields(F.col("item")))
+    rows = rows.withColumn("published_at", first_time(F.col("times"), as_of))
     return _headline(rows, NEWS_SOURCE, rank)
 
 

@@ -17,6 +17,7 @@ from ..operators.keyed import insert_if_absent, scored_frame, union_sources
 from ..operators.normalize import normalize_news, normalize_posts
 from ..operators.scoring import score_pending
 from ..schemas import DAILY
+from ..session import local_frame
 from ..sources.landed import read_listing, read_news, read_prices
 from ..sources.tables import (
     append_headlines_by_ticker,
@@ -107,8 +108,8 @@ def run_end_to_end(spark: SparkSession, config: RunConfig) -> dict[str, DataFram
     aligned, equity, metrics = backtest(require_days(daily, config.min_days), prices)
     write_results(results, equity=equity, metrics=metrics)
     return {
-        "inserted": spark.createDataFrame(counts, "ticker string, inserted long"),
-        "scored": spark.createDataFrame([(scored,)], "scored long"),
+        "inserted": local_frame(spark, counts, "ticker string, inserted long"),
+        "scored": local_frame(spark, [(scored,)], "scored long"),
         "daily": daily.orderBy("ticker", "date"),
         "wide": pivot_sentiment(daily).orderBy("date"),
         "aligned": aligned.orderBy("date", "ticker"),

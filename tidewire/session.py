@@ -6,7 +6,10 @@ import logging
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 log = logging.getLogger(__name__)
 
@@ -35,3 +38,11 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     path = fresh_dir(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A few rows held by the driver as a frame; by Arrow, so that the plan needs no Python workers."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    columns = [[row[place] for row in rows] for place in range(len(schema))]
+    return spark.createDataFrame(pa.table(columns, schema=to_arrow_schema(schema)), schema)

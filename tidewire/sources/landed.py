@@ -38,14 +38,19 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select("value", seq.alias("seq"))
 
 
+def _parsed(text: str) -> Column:
+    """A JSON line as VARIANT. As the output of a generator it is parsed once: a plain expression
+    would be pushed into every filter on its fields, and parsed again there."""
+    return F.explode(F.array(F.try_parse_json(text)))
+
+
 def parse_news(lines: DataFrame) -> DataFrame:
     """Lines ``{"ticker": ..., "item": {...}}`` (value, seq) -> ticker, seq, item VARIANT.
 
     Items stay VARIANT so that a JSON number and the same digits as text can be told apart.
     """
-    raw = F.try_parse_json("value")
     return (
-        lines.select("seq", raw.alias("raw"))
+        lines.select("seq", _parsed("value").alias("raw"))
         .select(
             F.try_variant_get("raw", "$.ticker", "string").alias("ticker"),
             "seq",
@@ -58,6 +63,7 @@ def parse_news(lines: DataFrame) -> DataFrame:
 def parse_listing(lines: DataFrame) -> DataFrame:
     """Lines holding one listing each (value, seq) -> seq, post VARIANT, one row per post."""
     children = F.try_variant_get(F.try_parse_json("value"), "$.data.children", "array<variant>")
+    # The generator is the barrier here.
     return lines.select("seq", F.posexplode(children).alias("pos", "child")).select(
         F.col("seq").withField("pos", F.col("pos")).alias("seq"),
         F.try_variant_get("child", "$.data", "variant").alias("post"),

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import HEADLINES, SCORES
+from ..session import local_frame
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     filesystem = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     if not filesystem.exists(hadoop_path):
-        return spark.createDataFrame([], schema)
+        return local_frame(spark, [], schema)
     return spark.read.schema(schema).parquet(path)
 
 
