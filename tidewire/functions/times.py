@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,6 +24,10 @@ _PLAIN = r"^(?!0000)\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:[+
 _HAS_OFFSET = r"[+-]\d{2}:\d{2}$"
 _DAY_LENGTH = 10
 
+# Where a news item may hold its time.
+TIME_FIELDS = ("providerPublishTime", "pubDate", "published")
+NESTED_TIME_FIELDS = ("pubDate", "displayTime")
+
 # First second of the year 10000: a larger number is not a time in seconds.
 _EPOCH_LIMIT = 253402300800
 
@@ -79,23 +83,21 @@ def _epoch(seconds: Column) -> Column:
     return F.when(in_range, F.timestamp_seconds(seconds.cast("bigint")))
 
 
-def time_fields(item: Column) -> Column:
-    """The fields of a raw news item (VARIANT) that may hold its time, in order of preference.
+def time_fields(top: Iterable[Column], nested: Iterable[Column]) -> Column:
+    """The fields of a news item (VARIANTs) that may hold its time, in order of preference.
 
     An array of (seconds, text, plain): epoch seconds above zero, or ISO text and whether it is in
-    a common form.
+    a common form. The nested fields are read as text only.
     """
-    def candidate(path: str, numbers: bool) -> Column:
-        field = F.try_variant_get(item, path, "variant")
-        kind, value = F.schema_of_variant(field), F.try_variant_get(item, path, "string")
+    def candidate(field: Column, numbers: bool) -> Column:
+        kind, value = F.schema_of_variant(field), F.try_variant_get(field, "$", "string")
         seconds = F.when(kind.rlike(_NUMBER), value.try_cast("double")) if numbers else F.lit(None).cast("double")
         text = F.when(kind == "STRING", _utc_mark(value))
         return F.struct(
             F.when(seconds > 0, seconds).alias("seconds"), text.alias("text"), text.rlike(_PLAIN).alias("plain")
         )
 
-    fields = [candidate(f"$.{name}", True) for name in ("providerPublishTime", "pubDate", "published")]
-    return F.array(*fields, *[candidate(f"$.content.{name}", False) for name in ("pubDate", "displayTime")])
+    return F.array(*[candidate(field, True) for field in top], *[candidate(field, False) for field in nested])
 
 
 def first_time(fields: Column, as_of: Column) -> Column:
@@ -104,7 +106,8 @@ def first_time(fields: Column, as_of: Column) -> Column:
     Items in the common forms go through compiled code. The full reader is too long to repeat for
     every field, so for the items that need it, it is a fold over the fields.
     """
-    candidates = [F.get(fields, F.lit(place)) for place in range(5)]
+    places = len(TIME_FIELDS) + len(NESTED_TIME_FIELDS)
+    candidates = [F.get(fields, F.lit(place)) for place in range(places)]
     chosen = F.coalesce(*[F.when(field["seconds"].isNotNull() | field["plain"], field) for field in candidates])
     common = F.coalesce(_epoch(chosen["seconds"]), _plain(chosen["text"]))
     odd = reduce(lambda left, right: left | right, [F.coalesce(~field["plain"], F.lit(False)) for field in candidates])
@@ -121,13 +124,16 @@ def coerce_ts(item: Column, as_of: Column) -> Column:
     """Publication time of a raw news item (VARIANT).
 
     Takes the first usable field; a number counts as epoch seconds when it is above zero, text
-    when it is ISO. The nested fields are read as text only. ``as_of`` stands in for "now", so
-    that a re-run gives the same rows. JSON booleans are not numbers.
+    when it is ISO. ``as_of`` stands in for "now", so that a re-run gives the same rows. JSON
+    booleans are not numbers.
 
     On many rows, keep ``time_fields`` in a column of its own and use ``first_time``, so that the
     item is taken apart once.
     """
-    return first_time(time_fields(item), as_of)
+    def fields(prefix: str, names: tuple[str, ...]) -> list[Column]:
+        return [F.try_variant_get(item, f"{prefix}{name}", "variant") for name in names]
+
+    return first_time(time_fields(fields("$.", TIME_FIELDS), fields("$.content.", NESTED_TIME_FIELDS)), as_of)
 
 
 def epoch_or(value: Column, as_of: Column) -> Column:

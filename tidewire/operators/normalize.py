@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import headline_id, mentions, normal_watchlist
-from ..functions.times import epoch_or, first_time, time_fields
+from ..functions.times import NESTED_TIME_FIELDS, TIME_FIELDS, epoch_or, first_time, time_fields
 
 # Fixed values.
 NEWS_SOURCE = "yfinance"
@@ -22,6 +22,21 @@ PUBLISHER_LENGTH = 128
 SOURCE_RANK = {NEWS_SOURCE: 0, FORUM_SOURCE: 1}
 
 
+# The fields of a news item that are read. Times stay VARIANT: a number and the same digits as
+# text are different things there.
+_NEWS_ITEM = (
+    "struct<title string, link string, url string, publisher string, "
+    "providerPublishTime variant, pubDate variant, published variant, "
+    "content struct<title string, canonicalUrl struct<url string>, clickThroughUrl struct<url string>, "
+    "provider struct<displayName string>, pubDate variant, displayTime variant>>"
+)
+
+
+def _filled(field: str) -> Column:
+    """Text of a field; empty text counts as missing."""
+    return F.nullif(F.col(field), F.lit(""))
+
+
 def _text(item: str, path: str) -> Column:
     """A JSON field as text; empty text counts as missing."""
     return F.nullif(F.try_variant_get(item, path, "string"), F.lit(""))
@@ -55,30 +70,25 @@ def normalize_news(raw: DataFrame, as_of: Column, watch: str | Iterable[str] | N
         wanted = normal_watchlist(watch)
         raw = raw.where(ticker.isin(wanted))
         rank = F.array_position(F.lit(wanted), F.col("ticker")).cast("int")
+    # One typed read of the item. It is the output of a generator, since a plain expression would be
+    # repeated in every filter that is pushed below it.
     flat = raw.select(
-        ticker.alias("ticker"),
-        "seq",
-        _text("item", "$.title").alias("flat_title"),
-        F.coalesce(_text("item", "$.link"), _text("item", "$.url")).alias("flat_url"),
-        _text("item", "$.publisher").alias("flat_publisher"),
-        "item",
+        ticker.alias("ticker"), "seq", F.inline(F.array(F.try_variant_get("item", "$", _NEWS_ITEM)))
+    )
+    title, url = _filled("title"), F.coalesce(_filled("link"), _filled("url"))
+    fill = title.isNull() | url.isNull()
+    nested_url = F.coalesce(_filled("content.canonicalUrl.url"), _filled("content.clickThroughUrl.url"))
+    times = time_fields(
+        [F.col(name) for name in TIME_FIELDS], [F.col(f"content.{name}") for name in NESTED_TIME_FIELDS]
     )
-    fill = F.col("flat_title").isNull() | F.col("flat_url").isNull()
     rows = flat.select(
         "ticker",
         "seq",
-        F.coalesce("flat_title", _text("item", "$.content.title")).alias("title"),
-        F.coalesce(
-            "flat_url",
-            _text("item", "$.content.canonicalUrl.url"),
-            _text("item", "$.content.clickThroughUrl.url"),
-        ).alias("url"),
-        F.coalesce(
-            "flat_publisher", F.when(fill, _text("item", "$.content.provider.displayName"))
-        ).alias("publisher"),
-        "item",
+        F.coalesce(title, _filled("content.title")).alias("title"),
+        F.coalesce(url, nested_url).alias("url"),
+        F.coalesce(_filled("publisher"), F.when(fill, _filled("content.provider.displayName"))).alias("publisher"),
+        times.alias("times"),
     ).where("title is not null and url is not null")
-    rows = rows.withColumn("times", time_fields(F.col("item")))
     rows = rows.withColumn("published_at", first_time(F.col("times"), as_of))
     return _headline(rows, NEWS_SOURCE, rank)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,11 +12,12 @@ from ..session import local_frame
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    filesystem = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not filesystem.exists(hadoop_path):
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return local_frame(spark, [], schema)
-    return spark.read.schema(schema).parquet(path)
 
 
 def read_headlines(spark: SparkSession, path: str) -> DataFrame:
