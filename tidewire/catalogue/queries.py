@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import operators as op
 from .. import streaming
-from ..functions import coerce_ts, label_of, parse_watchlist, ticker_mentions
+from ..functions import first_time, item_times, label_of, parse_watchlist, ticker_mentions
 from ..plans import RunConfig, dashboard_tables, run_end_to_end
 from ..schemas import LEXICON
 from ..session import fresh_dir, local_frame
@@ -206,7 +206,8 @@ def watchlist_parse(spark, sf):
 def coerced_times(spark, sf):
     lines = b.event_news_lines(spark, sf)
     items = lines.select("event_id", F.try_variant_get(F.try_parse_json("value"), "$.item", "variant").alias("item"))
-    return items.select("event_id", b.micros(coerce_ts(F.col("item"), b.as_of())).alias("published_at"))
+    items = items.select("event_id", item_times(F.col("item")).alias("times"))
+    return items.select("event_id", b.micros(first_time(F.col("times"), b.as_of())).alias("published_at"))
 
 
 @_query

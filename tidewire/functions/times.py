@@ -100,6 +100,14 @@ def time_fields(top: Iterable[Column], nested: Iterable[Column]) -> Column:
     return F.array(*[candidate(field, True) for field in top], *[candidate(field, False) for field in nested])
 
 
+def item_times(item: Column) -> Column:
+    """``time_fields`` of an item that is still one VARIANT."""
+    def fields(prefix: str, names: tuple[str, ...]) -> list[Column]:
+        return [F.try_variant_get(item, f"{prefix}{name}", "variant") for name in names]
+
+    return time_fields(fields("$.", TIME_FIELDS), fields("$.content.", NESTED_TIME_FIELDS))
+
+
 def first_time(fields: Column, as_of: Column) -> Column:
     """The first usable of the time fields, else ``as_of``.
 
@@ -127,13 +135,10 @@ def coerce_ts(item: Column, as_of: Column) -> Column:
     when it is ISO. ``as_of`` stands in for "now", so that a re-run gives the same rows. JSON
     booleans are not numbers.
 
-    On many rows, keep ``time_fields`` in a column of its own and use ``first_time``, so that the
+    On many rows, keep ``item_times`` in a column of its own and use ``first_time``, so that the
     item is taken apart once.
     """
-    def fields(prefix: str, names: tuple[str, ...]) -> list[Column]:
-        return [F.try_variant_get(item, f"{prefix}{name}", "variant") for name in names]
-
-    return first_time(time_fields(fields("$.", TIME_FIELDS), fields("$.content.", NESTED_TIME_FIELDS)), as_of)
+    return first_time(item_times(item), as_of)
 
 
 def epoch_or(value: Column, as_of: Column) -> Column:

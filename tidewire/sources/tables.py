@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,23 +10,20 @@ from ..schemas import HEADLINES, SCORES
 from ..session import local_frame
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return local_frame(spark, [], schema)
+def _open(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    # Creates the table if there is none; leaves it alone otherwise.
+    local_frame(spark, [], schema).write.mode("ignore").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_headlines(spark: SparkSession, path: str) -> DataFrame:
-    """Stored headlines; a table that was never written to is empty."""
-    return _read(spark, path, HEADLINES)
+    """Stored headlines; an empty table where there was none yet."""
+    return _open(spark, path, HEADLINES)
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """Stored scores; selecting ``headline_id`` alone reads that one column."""
-    return _read(spark, path, SCORES)
+    return _open(spark, path, SCORES)
 
 
 def _append(rows: DataFrame, path: str, schema: T.StructType, counts: dict[str, Column]) -> dict[str, int]:
