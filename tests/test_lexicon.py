@@ -162,7 +162,7 @@ def test_direction_of_every_word_list(spark):
 
 
 def test_own_word_lists(spark):
-    rules = ValenceRules(boosters_up=("tres",), boosters_down=("peu",), negations=("pas",))
+    rules = ValenceRules(boosters_up=("tres",), boosters_down=("peu",), booster_pairs=(), negations=("pas",), idioms=())
     texts = [("1", "voila pas bon"), ("2", "voila tres bon"), ("3", "voila bon"), ("4", "voila peu bon"), ("5", "not bon")]
     frame = local_frame(spark, texts, "headline_id string, title string")
     scores = dict(rows(op.lexicon_score(frame, local_frame(spark, [("bon", 2.0)], LEXICON), rules).select("headline_id", "score")))

@@ -117,9 +117,23 @@ def _around(hits: DataFrame, rules: ValenceRules) -> DataFrame:
     hits = hits.withColumns(nearby)
     # A function over an array is not compiled into its stage, so this also ends the stage that
     # reads every token: what follows is long code that would keep the token loop from being
-    # compiled to machine code, and it is for hits only.
+    # compiled to machine code, and it is for hits only. All that depends on the words alone is
+    # computed here, so that the stage after the lookups is short as well.
     words = F.array("back1", "back2", "back3")
-    return hits.withColumn("around", F.transform(words, lambda word: _effect(word, rules))).drop("tokens")
+    idiom, damped = _idioms(rules)
+    item, base = F.col("item"), F.col("base")
+    louder = F.when(base > 0, base + CAPS_BOOST).otherwise(base - CAPS_BOOST)
+    start = F.when(_is_upper(item) & F.col("mixed_caps"), louder).otherwise(base)
+    place, but = F.col("pos") + 1, F.col("but_at")
+    return hits.withColumns({
+        "around": F.transform(words, lambda word: _effect(word, rules)),
+        "idiom": idiom,
+        "damping": F.when(damped, BOOST).otherwise(0.0),
+        "value": F.when(F.col("at").isNotNull(), start),
+        "weight": F.when((but > 0) & (place < but), BUT_BEFORE)
+        .when((but > 0) & (place > but), BUT_AFTER)
+        .otherwise(1.0),
+    }).drop("tokens")
 
 
 def _effect(word: Column, rules: ValenceRules) -> Column:
@@ -193,7 +207,6 @@ def _valued(hits: DataFrame, rules: ValenceRules) -> DataFrame:
 
     Every stage is a column of its own, since the next one reads it several times.
     """
-    item, base, mixed = F.col("item"), F.col("base"), F.col("mixed_caps")
     b1, b2, b3 = (F.col(f"back{k}") for k in _BACK)
 
     def intensifier(word: Column) -> Column:
@@ -204,32 +217,24 @@ def _valued(hits: DataFrame, rules: ValenceRules) -> DataFrame:
         F.when((b2 == "never") & intensifier(b1), 1.5).otherwise(_near(2)["factor"]),
         F.when(((b3 == "never") & intensifier(b2)) | intensifier(b1), 1.25).otherwise(_near(3)["factor"]),
     )
-    louder = F.when(base > 0, base + CAPS_BOOST).otherwise(base - CAPS_BOOST)
-    start = F.when(_is_upper(item) & mixed, louder).otherwise(base)
-    hits = hits.withColumn("value", F.when(F.col("at").isNotNull(), start))
     for k in _BACK:
         # The k-th word back acts only if it is there and has no valence of its own.
         word, value = F.col(f"back{k}"), F.col("value")
         changed = _boosted(value, _near(k), DISTANCE_WEIGHTS[k - 1]) * factors[k - 1]
         if k == 3:
-            changed = _idioms(changed, rules)
+            changed = F.coalesce("idiom", changed) - F.col("damping")
         acts = word.isNotNull() & ~F.col(f"known{k}")
         hits = hits.withColumn("value", F.when(acts, changed).otherwise(value))
 
     kept_least = b2.isNotNull() & _near(2)["plain"].isin("at", "very")
     least = (_near(1)["plain"] == "least") & ~F.col("known1") & ~kept_least
-    place, but = F.col("pos") + 1, F.col("but_at")
-    weight = (
-        F.when((but > 0) & (place < but), BUT_BEFORE)
-        .when((but > 0) & (place > but), BUT_AFTER)
-        .otherwise(1.0)
-    )
-    final = F.col("value") * F.when(least, NEGATION_FACTOR).otherwise(1.0) * weight
+    final = F.col("value") * F.when(least, NEGATION_FACTOR).otherwise(1.0) * F.col("weight")
     return hits.withColumn("value", F.coalesce(final, F.lit(0.0)))
 
 
-def _idioms(value: Column, rules: ValenceRules) -> Column:
-    """A set phrase around the word replaces its value; phrases that begin with it come first."""
+def _idioms(rules: ValenceRules) -> tuple[Column, Column]:
+    """Value of a set phrase around the hit (those that begin with it come first), and whether a
+    booster of two words is before it."""
     b1, b2, b3 = (F.col(f"back{k}") for k in _BACK)
     item, n1, n2 = F.col("item"), F.col("next1"), F.col("next2")
 
@@ -237,15 +242,14 @@ def _idioms(value: Column, rules: ValenceRules) -> Column:
         # NULL as soon as one of the words is missing.
         return F.concat(words[0], *[part for word in words[1:] for part in (F.lit(" "), word)])
 
-    values = F.create_map(*[F.lit(part) for idiom in rules.idioms for part in idiom])
+    values = F.create_map(*[F.lit(part) for idiom in rules.idioms for part in idiom]).cast("map<string,double>")
     phrases = [
         phrase(item, n1, n2), phrase(item, n1),
         phrase(b1, item), phrase(b2, b1, item), phrase(b2, b1), phrase(b3, b2, b1), phrase(b3, b2),
     ]
-    value = F.coalesce(*[F.try_element_at(values, words) for words in phrases], value)
-    known = [*rules.boosters_up, *rules.boosters_down, *rules.booster_pairs]
-    damped = phrase(b3, b2).isin(known) | phrase(b2, b1).isin(known)
-    return value - F.when(damped, BOOST).otherwise(0.0)
+    value = F.coalesce(*[F.try_element_at(values, words) for words in phrases])
+    pairs = list(rules.booster_pairs)
+    return value, phrase(b3, b2).isin(pairs) | phrase(b2, b1).isin(pairs)
 
 
 def _fold(hits: DataFrame, ids: list[str]) -> DataFrame:
