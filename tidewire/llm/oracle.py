@@ -2,6 +2,68 @@
 
 from __future__ import annotations
 
+_ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_STRIP = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def _near(size: int, percent: int) -> str:
+    return rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_ALPHABET}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {size} + 2), lambda i: array_to_string(w[i:i + {size - 1}], ' '))) END AS s FROM split),
+classes AS (SELECT min(doc_id) AS c, list_sort(s) AS s, list(doc_id) AS members FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+items AS (SELECT c, len(s) AS n, unnest(s) AS e FROM classes),
+links AS (
+  SELECT a.c AS a, b.c AS b FROM items a JOIN items b ON a.e = b.e AND a.c <> b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+reach AS (SELECT c AS node, c AS root FROM classes UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
+named AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+members AS (SELECT unnest(members) AS doc_id, root FROM classes JOIN named ON c = node)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id, s.doc_id = coalesce(m.root, s.doc_id) AS kept
+FROM sets s LEFT JOIN members m ON m.doc_id = s.doc_id"""
+
+
+OP3 = _near(3, 85)
+
+OP5 = f"""
+WITH rows_of AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM rows_of),
+keyed AS (SELECT doc_id, pos, line, translate(trim(line, {_STRIP}), {_ALPHABET}) AS key FROM lines),
+often AS (SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, pos, line, coalesce(doc_id <> top, false) AS gone FROM keyed LEFT JOIN often USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+OP9 = rf"""
+WITH texts AS (SELECT doc_id, source AS host, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+base AS (
+  SELECT t.doc_id, t.host, t.text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, {_STRIP})) > 0))
+      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, {_STRIP})) > 0))) AS BIGINT) AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words
+  FROM texts t LEFT JOIN covered c ON c.doc_id = t.doc_id),
+lines AS (
+  SELECT host, text, key, max(len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS words
+  FROM (SELECT host, text, line, translate(trim(line, {_STRIP}), {_ALPHABET}) AS key FROM (SELECT host, text, unnest(string_split(text, chr(10))) AS line FROM texts))
+  WHERE length(key) > 0 GROUP BY host, text, key),
+hosts AS (SELECT host, count(DISTINCT text) AS n FROM lines GROUP BY host),
+often AS (SELECT l.host, key FROM lines l JOIN hosts h ON l.host = h.host GROUP BY l.host, key, h.n HAVING count(*) >= 20 AND 100 * count(*) > 20 * h.n),
+depleted AS (
+  SELECT l.host, l.text FROM lines l LEFT JOIN often o ON o.host = l.host AND o.key = l.key
+  GROUP BY l.host, l.text HAVING 100 * sum(CASE WHEN o.key IS NULL THEN words ELSE 0 END) < 30 * sum(words))
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND d.text IS NULL AS kept
+FROM base b LEFT JOIN depleted d ON d.host = b.host AND d.text = b.text"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_minhash_dedup": OP3, "op5_line_dedup": OP5, "op9_quality_rules": OP9}
