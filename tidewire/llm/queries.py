@@ -65,3 +65,10 @@ def op9_quality_rules(spark, sf_dir):
     from .quality import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents")).drop("host", "hash")
+
+
+@_query
+def op2_token_counts(spark, sf_dir):
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
