@@ -72,3 +72,29 @@ def op2_token_counts(spark, sf_dir):
     from .token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@_query
+def op7_sharding(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .sharding import uniform_shards
+
+    text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return uniform_shards(rows, shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@_query
+def op8_url_filter(spark, sf_dir):
+    from .url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), RULES)
