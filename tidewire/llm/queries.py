@@ -98,3 +98,10 @@ def op8_url_filter(spark, sf_dir):
     from .url_filter import filter_urls
 
     return filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+@_query
+def op10_lm_scoring(spark, sf_dir):
+    from .lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
