@@ -105,3 +105,10 @@ def op10_lm_scoring(spark, sf_dir):
     from .lm import lm_scores
 
     return lm_scores(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_substring_dedup(spark, sf_dir):
+    from .chunks import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
