@@ -1,0 +1,304 @@
+"""Operators against plain Python versions and the tokenizers' libraries."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from conftest import SMALL
+from sentencepiece import sentencepiece_model_pb2
+from tokenizers import Tokenizer
+
+from tidewire.llm import chunks, components, decontaminate, lines, lm, minhash, quality, sentencepiece_codec, sharding, token_counts, url_filter, words
+
+BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+ODD = ["", " ", "  two  spaces ", "a\tb\nc", "ünï 日本 😀 \x00", "▁mark ▁▁", "it's 12,5", "\u0558 \U0003fc3b new", "<|endoftext|>x<|endoftext|>", "aaaa" * 50]
+
+
+def as_docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_pieces_are_those_of_the_library(documents, doc_rows):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = {r["doc_id"]: r for r in sentencepiece_codec.encode(documents, PIECES).collect()}
+    assert all(got[i]["ids"] == library.encode(t) and got[i]["round_trip"] and got[i]["n_repaired"] == 0 for i, t in doc_rows)
+
+
+def test_odd_pieces_and_decoding(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    encoded = sentencepiece_codec.encode(as_docs(spark, ODD), PIECES)
+    for r in encoded.collect():
+        assert r["ids"] == library.encode(ODD[r["doc_id"]])
+        assert r["round_trip"] == ("▁" not in ODD[r["doc_id"]])
+    for r in sentencepiece_codec.decode(encoded, PIECES).collect():
+        assert r["text"] == library.decode(library.encode(ODD[r["doc_id"]]))
+
+
+def unigram_model(extra: bool) -> bytes:
+    """A model with hand-made scores; with ``extra``, white space is trimmed and one piece joins two words."""
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.trainer_spec.model_type = 1
+    proto.trainer_spec.byte_fallback = True
+    proto.normalizer_spec.name, proto.normalizer_spec.add_dummy_prefix = "identity", True
+    proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = extra, True
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{b:02X}>", 0, 6) for b in range(256)]
+    pieces += [(p, -1 - 0.37 * k, 1) for k, p in enumerate(["▁the", "▁", "th", "e", "t", "h", "er", "r", "▁a", "a", "in", "i", "n", "ing", "g", *(["e▁a"] if extra else [])])]
+    for piece, score, kind in pieces:
+        p = proto.pieces.add()
+        p.piece, p.score, p.type = piece, score, kind
+    return proto.SerializeToString()
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_unigram_parity(extra):
+    data = unigram_model(extra)
+    codec = sentencepiece_codec.Codec(data, verify=False)
+    library = sentencepiece.SentencePieceProcessor(model_proto=data)
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("thering a  ") for _ in range(draw.randrange(1, 40))) for _ in range(300)] + ["the a", "thé ring"]
+    texts = [t for t in texts if t.strip()]
+    ids, _ = codec.encode(texts)
+    assert codec.segmented != extra
+    assert [x.tolist() for x in ids] == library.encode(texts)
+
+
+def test_token_counts_are_those_of_the_library(spark, documents, doc_rows):
+    library = Tokenizer.from_file(BPE)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.token_counts(documents, BPE, block_bytes=100_000).collect()}
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in doc_rows}
+    assert got == {i: (len(t.encode()), want[i], want[i] > 1024) for i, t in doc_rows}
+    odd = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(as_docs(spark, ODD), BPE).collect()}
+    assert odd == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(ODD)}
+
+
+def test_sure_characters_are_cut_alike():
+    counting = token_counts.Counting(open(BPE, encoding="utf-8").read())
+    chars = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) <= 0xDFFF and not token_counts.UNSURE.search(c)]
+    assert len(chars) > 30_000
+    for at in range(0, len(chars), 3000):
+        text = "\x01".join(f"a1{c}a1" for c in chars[at : at + 3000])
+        assert token_counts.BYTE_LEVEL.findall(text) == [text[a:b] for _, (a, b) in counting.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+
+@pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
+def test_near_groups(documents, doc_rows, size, percent):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_groups(documents, size, percent).collect()}
+    assert got == brute.near_groups(doc_rows, size, percent)
+
+
+def test_large_family_of_near_copies(spark):
+    draw = random.Random(3)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(150)]
+    docs = []
+    for i in range(260):  # copies of copies, so that not all are linked with one
+        text = base[:]
+        for _ in range(draw.randrange(12)):
+            text[draw.randrange(150)] = f"e{draw.randrange(10**6)}"
+        docs.append((i, " ".join(text)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_groups(frame, 3, 85).collect()}
+    assert got == brute.near_groups(docs, 3, 85)
+
+
+def test_superminhash():
+    draw = np.random.default_rng(1)
+    sets = []
+    for n in (1, 2, 40, 3000):
+        both, a, b = (draw.integers(0, 1 << 63, n, dtype=np.uint64) for _ in range(3))
+        sets += [np.concatenate([both, both ^ np.uint64(5), a]), np.concatenate([both, both ^ np.uint64(5), b])]
+    signatures = minhash.superminhash(sets, 150)
+    assert (signatures < np.uint64(150 << 32)).all()
+    for k in range(4):  # Jaccard similarity 1/2
+        alike = (signatures[2 * k] == signatures[2 * k + 1]).mean()
+        assert abs(alike - 0.5) < (0.35 if k < 2 else 0.17)
+    alone = [minhash.superminhash([s], 150)[0] for s in sets]
+    assert all((a == b).all() for a, b in zip(alone, signatures))
+    bands, rows = minhash.banding(0.85)
+    assert (1 - 0.85**rows) ** bands <= minhash.MISS and bands * rows <= 150
+
+
+def test_shared_sizes():
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 20_000, 9000, dtype=np.uint64)) for _ in range(5)]
+    shared = minhash._shared(sets)
+    assert all(shared[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(5) for b in range(a))
+
+
+def test_components(spark):
+    draw = random.Random(4)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7), (None, 3)]
+    got = components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b")
+    want = {x: r for x, r in brute.components(e for e in edges if None not in e).items() if x != r}
+    assert {r["node"]: r["root"] for r in got.collect()} == want
+
+
+def test_passages(documents, doc_rows):
+    got = {r["doc_id"]: r for r in chunks.repeated_passages(documents).collect()}
+    assert {i for i, r in got.items() if r["n_spans"]} == brute.repeated_passages(doc_rows)
+    for i, t in doc_rows:
+        data = t.encode()
+        for start, end in reversed(got[i]["spans"]):
+            data = data[:start] + data[end:]
+        assert data.decode() == got[i]["kept_text"]
+
+
+def test_passages_resist_insertions(spark):
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopé") for _ in range(draw.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(60))
+    docs = [(i, " ".join([*(word() for _ in range(draw.randrange(90))), passage, *(word() for _ in range(20))])) for i in range(40)]
+    docs += [(100 + i, " ".join(word() for _ in range(100))) for i in range(10)]
+    got = {r["doc_id"]: r for r in chunks.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i for i, r in got.items() if r["n_spans"]} == set(range(1, 40))
+    assert all(passage not in got[i]["kept_text"] and 0 in got[i]["holders"] for i in range(1, 40))
+
+
+def test_gear_rolls():
+    data = np.frombuffer(random.Random(1).randbytes(500), np.uint8)
+    h, want = 0, []
+    for byte in data:
+        h = (h << 1) + int(chunks._GEAR[byte]) & 0xFFFF
+        want.append(h)
+    assert chunks.gear(data).tolist() == want
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_lines(documents, doc_rows, batches):
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"], r["kept_sha256"]) for r in lines.deduped_lines(documents, batches=batches).collect()}
+    assert got == brute.deduped_lines(doc_rows)
+    kept = lines.drop_repeated_lines(documents, batches=batches)
+    assert kept.columns == documents.columns
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {i: x[2] for i, x in got.items()}
+
+
+def test_leaks(spark, documents, doc_rows):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.contaminated(doc_rows, items)
+    for block_bytes in (decontaminate.BLOCK_BYTES, 2000):
+        found = decontaminate.contaminated(documents, frame, block_bytes=block_bytes).collect()
+        assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in found} == {k: round(v, 9) for k, v in want.items()}
+    kept = decontaminate.drop_contaminated(documents, frame)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in doc_rows} - {i for i, _ in want}
+
+
+def test_blocks_find_all_within_radius():
+    masks = decontaminate.block_masks()
+    assert sum(masks) == (1 << 64) - 1 and len(masks) == decontaminate.RADIUS + 1
+    draw = random.Random(8)
+    for _ in range(200):
+        a = draw.getrandbits(64)
+        b = a
+        for bit in draw.sample(range(64), decontaminate.RADIUS):
+            b ^= 1 << bit
+        assert any(a & m == b & m for m in masks)
+
+
+def test_shards(spark):
+    rows = spark.range(0, 1000, 1, 7)
+    got = sharding.uniform_shards(rows, 24).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert sorted(r["id"] for r in got) == list(range(1000))
+    assert sorted(len(x) for x in by.values()) == [41] * 8 + [42] * 16
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+    again = sharding.uniform_shards(rows, 24).collect()
+    assert sorted(got) == sorted(again)
+    assert sorted(got) != sorted(sharding.uniform_shards(rows, 24, seed=8).collect())
+
+
+def test_shuffle_is_uniform(spark):
+    rows = spark.range(0, 40, 1, 3)
+    places = Counter()
+    for seed in range(12):
+        for r in sharding.uniform_shards(rows, 2, seed=seed).collect():
+            places[r["id"] < 20, r["shard"]] += 1
+    assert all(abs(n - 120) < 40 for n in places.values())
+
+
+def test_hypergeometric():
+    matrix = sharding.communication_matrix([5, 0, 17, 3], [10, 10, 5], 1)
+    assert matrix.sum(axis=1).tolist() == [5, 0, 17, 3] and matrix.sum(axis=0).tolist() == [10, 10, 5]
+    rng = np.random.default_rng(1)
+    big = [sharding.hypergeometric(rng, 3 * 10**9, 7 * 10**9, 10**6) for _ in range(200)]
+    assert abs(np.mean(big) - 3e5) < 5 * 458 / 200**0.5 and 350 < np.std(big) < 570
+    small = [sharding.hypergeometric(rng, 3, 4, 5) for _ in range(300)]
+    assert min(small) >= 1 and max(small) <= 3
+
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/")]
+
+
+def test_rules(spark):
+    urls = {"http://a.com/x": ("com/", "allow"), "HTTP://M.Example.COM/en/1?x": ("example.com/en/", "block"), "https://www.example.com/en/1": ("www.example.com/en/", "allow"),
+            "http://b.www.example.com/en/": ("www.example.com/en/", "allow"), "http://xcom/": (None, "allow"), "http://x.net/es/1#top": ("net/es/", "block"),
+            "http://x.net/es": (None, "allow"), "http://example.com": (None, "allow"), "a://b://c.com/": (None, "allow"), "http://example.com?/en/": (None, "allow")}
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = url_filter.filter_urls(pages, RULES).collect()
+    assert {list(urls)[r["page_id"]]: (r["rule"], r["verdict"]) for r in got} == urls
+
+
+def test_aliases_share_verdicts(spark):
+    link, jump = '<LINK href="{}" rel="canonical">', "<meta http-equiv='Refresh' content='0; url={}'>"
+    pages = [
+        (1, "http://o.org/1", jump.format("http://o.org/2")), (2, "http://o.org/2", link.format("http://x.net/es/9")),  # blocked through two steps, no page at the end
+        (3, "http://o.org/3", link.format("http://x.net/es/8")), (4, "http://o.org/4?utm_source=a", jump.format("//o.org/3/")), (5, "https://o.org/4.html#x", None),
+        (6, "http://o.org/6", link.format("/7")), (7, "http://o.org/7", link.format("http://ok.com/")), (8, "http://o.org/8", jump.format("http://o.org/7") + link.format("http://x.net/es/1")),
+        (9, "http://x.net/es/1", None), (10, "http://o.org/10", "<p>"), (11, "http://x.net/de/1", link.format("http://x.net/es/1?ref=a")),
+    ]
+    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()
+    blocked = {r["page_id"] for r in got if r["verdict"] == "block"}
+    assert blocked == {1, 2, 3, 4, 5, 9}  # 6, 7, 8 and 11 are in a component with an allowed URL, 9 keeps its own rule
+
+
+def test_quality(spark, documents):
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in documents.collect()]
+    got = {r[0]: tuple(r)[1:] for r in quality.quality_rules(documents).drop("host", "hash").collect()}
+    assert got == brute.quality(rows)
+    draw = random.Random(2)
+    line = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    common = [line(30) for _ in range(3)]
+    own = [(i, "h", "\n".join([*(c.upper() for c in common[: i % 4]), line(60 if i % 5 else 10)])) for i in range(80)]
+    own += [(100 + i, "copies", "\n".join(common)) for i in range(50)]  # one text, however often
+    frame = spark.createDataFrame(own, "doc_id long, source string, text string")
+    got = {r[0]: tuple(r)[1:] for r in quality.quality_rules(frame).drop("host", "hash").collect()}
+    assert got == brute.quality(own)
+    assert any(not x[-1] and not x[-2] for x in got.values()) and all(got[100 + i][-1] for i in range(50))
+    assert {r["doc_id"] for r in quality.keep_good(frame).collect()} == {i for i, x in got.items() if x[-1]}
+
+
+def test_language_model(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang <> 'en' or doc_id % 3 = 0")
+    docs = {r["doc_id"]: r["text"].encode().lower().split() + [b"\n"] for r in frame.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}
+    count = Counter(w for i in docs if not held[i] for w in docs[i])
+    total, distinct = count.total(), len(count)
+    base = score = 0.0
+    for r in lm.lm_scores(frame, block_bytes=200_000).collect():
+        own = docs[r["doc_id"]]
+        want = sum(np.log10((count[w] + 1) / (total + distinct + 1)) for w in own)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(own), sum(w in count for w in own), total)
+        assert r["base_score"] == pytest.approx(want, rel=1e-9)
+        base, score = base + held[r["doc_id"]] * r["base_score"], score + held[r["doc_id"]] * r["score"]
+    assert score > 0.98 * base  # logs: the model explains held-out texts better than word counts
+
+
+def test_class_probabilities_add_up():
+    draw = np.random.default_rng(3)
+    model = lm.Model(draw.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32), np.sort(draw.integers(0, 1 << 32, 5, dtype=np.uint32)))
+    sequences = [draw.integers(0, 1 << 32, n, dtype=np.uint32) for n in (1, 2, 50)]
+    rows, kinds = model.examples(sequences, 9)
+    assert rows.shape == (53, 4) and rows.max() < lm.ROWS and kinds.max() < lm.CLASSES
+    assert np.exp(model.log_probabilities(rows)).sum(axis=1) == pytest.approx(np.ones(53), abs=1e-5)
+
+
+def test_words():
+    assert words.words_of("A\u00a0B\x0bÉé\x1cx  y") == ["a\u00a0b".encode(), "Éé\x1cx".encode(), b"y"]
+    assert len(words.shingle_set("a b", 3)) == 1 and len(words.shingle_set("", 3)) == 0
+    assert (words.shingle_set("a b c a b c", 3) == words.shingle_set("A B C A B", 3)).all()

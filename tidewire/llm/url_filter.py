@@ -96,13 +96,12 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
     """
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     judged = materialize(with_rules(narrow.drop("html"), rules).withColumn("node", canonical(F.col("url"))), "judged")
-    targets = links(narrow).select(canonical(F.col("url")).alias("a"), canonical(F.col("target")).alias("b"))
-    joined = components(materialize(targets.where("a is not null and b is not null and a <> b").distinct(), "edges"), "a", "b")
+    found = materialize(links(narrow).select(canonical(F.col("url")).alias("a"), canonical(F.col("target")).alias("b"), "target").where(
+        "a is not null and b is not null"), "links")
+    joined = components(found.select("a", "b").distinct(), "a", "b")
     # a target without a page still has a verdict by the rules
-    ends = joined.select(F.col("node").alias("url")).union(joined.select(F.col("root").alias("url"))).distinct()
-    known = with_rules(ends.select(F.concat(F.lit("http://"), "url").alias("url")), rules).select(
-        F.substring("url", 8, 1 << 30).alias("node"), "rule_verdict")
-    members = judged.select("node", "rule_verdict").union(known).where("node is not null and rule_verdict is not null").distinct()
+    known = with_rules(found.select(F.col("target").alias("url"), F.col("b").alias("node")).distinct(), rules)
+    members = judged.select("node", "rule_verdict").union(known.select("node", "rule_verdict")).where("node is not null and rule_verdict is not null").distinct()
     rooted = members.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     verdicts = rooted.groupBy("root").agg(
         F.when(F.max(F.col("rule_verdict") == "allow"), "allow").otherwise("block").alias("component_verdict"))
