@@ -65,5 +65,53 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base b LEFT JOIN depleted d ON d.host = b.host AND d.text = b.text"""
 
 
+_TRACKING = "utm_[a-z]+|gclid|fbclid|msclkid|ref"
+
+
+def _canonical(url: str) -> str:
+    host = rf"regexp_replace(translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), {_ALPHABET}), ':(80|443)$', '')"
+    path = rf"regexp_replace(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(\.html|/)$', '')"
+    query = rf"string_split(regexp_extract({url}, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&')"
+    kept = f"array_to_string(list_filter({query}, lambda q: q <> '' AND NOT regexp_matches(q, '^({_TRACKING})(=|$)')), '&')"
+    return f"CASE WHEN {host} <> '' THEN {host} || {path} || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END END"
+
+
+def _attribute(name: str) -> str:
+    head = rf"(?is)\s{name}\s*=\s*"
+    forms = ['"([^"]*)"', "''([^'']*)''", "([^\\s\"''>]+)"]
+    return " || ".join(f"coalesce(regexp_extract(tag, '{head}{form}', 1), '')" for form in forms)
+
+
+# Component verdicts need the closure of links; each node's root is the least node it reaches.
+OP8 = rf"""
+WITH RECURSIVE rules(rule_verdict, rule_host, rule_path) AS (VALUES
+  ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+tags AS (SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+hrefs AS (
+  SELECT url, CASE WHEN regexp_matches(lower({_attribute("rel")}), '(^|\s)canonical(\s|$)') THEN {_attribute("href")}
+    WHEN lower({_attribute("http-equiv")}) = 'refresh' THEN regexp_extract({_attribute("content")}, '(?is)url\s*=\s*[''"]?([^''"\s]+)', 1) END AS href FROM tags),
+targets AS (
+  SELECT url, CASE WHEN contains(h, '://') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || h
+    WHEN starts_with(h, '/') AND regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) <> '' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || h END AS target
+  FROM (SELECT url, replace(trim(href), '&amp;', '&') AS h FROM hrefs)),
+urls AS (SELECT url FROM pages UNION SELECT target FROM targets WHERE target IS NOT NULL),
+parts AS (
+  SELECT url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_ALPHABET}), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, {_canonical("url")} AS node FROM urls),
+judged AS (
+  SELECT p.url, host, path, node, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
+  FROM parts p LEFT JOIN rules r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY p.url, host, path, node),
+edges AS (
+  SELECT DISTINCT a.node AS a, b.node AS b FROM targets t JOIN parts a ON a.url = t.url JOIN parts b ON b.url = t.target WHERE a.node <> b.node),
+sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT DISTINCT node, node AS root FROM parts WHERE node IS NOT NULL UNION SELECT e.b, r.root FROM reach r JOIN sides e ON e.a = r.node),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+verdicts AS (
+  SELECT root, CASE WHEN bool_or(rule_verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict
+  FROM judged JOIN roots USING (node) WHERE rule_verdict IS NOT NULL GROUP BY root)
+SELECT p.page_id, j.host, j.path, j.rule, coalesce(j.rule_verdict, v.verdict, 'allow') AS verdict
+FROM pages p LEFT JOIN judged j ON j.url IS NOT DISTINCT FROM p.url LEFT JOIN roots r ON r.node = j.node LEFT JOIN verdicts v ON v.root = r.root"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_dedup": OP3, "op5_line_dedup": OP5, "op9_quality_rules": OP9}
+    return {"op3_minhash_dedup": OP3, "op5_line_dedup": OP5, "op8_url_filter": OP8, "op9_quality_rules": OP9}
