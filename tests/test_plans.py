@@ -10,7 +10,7 @@ from tidewire.plans import RunConfig, dashboard_tables, run_end_to_end
 from tidewire.schemas import LEXICON, PRICES
 from tidewire.session import local_frame, shared_dir
 from tidewire.sources import read_headlines, read_scores
-from tidewire.streaming import daily_stream, ingest_stream
+from tidewire.streaming import daily_partials_stream, daily_stream, ingest_stream, stored_daily
 
 GOOD, BAD = "good news today", "bad news today"
 
@@ -102,8 +102,7 @@ def test_stream_ingest_replay_and_scoring(spark, landed, tmp_path):
     ingest_stream(spark, landed.forum_path, store, str(tmp_path / "c3"), now, kind="forum", watch=landed.watch).awaitTermination()
     assert read_headlines(spark, f"{store}/headlines").where("source = 'reddit'").count() == 1
     batch = op.daily_sentiment(op.scored_frame(headlines, scores))
-    run_end_to_end(spark, RunConfig(**{**landed.__dict__, "forum_path": None, "store": str(tmp_path / "b")}))
-    direct = spark.read.parquet(str(tmp_path / "b" / "results" / "daily"))
+    direct = run_end_to_end(spark, RunConfig(**{**landed.__dict__, "forum_path": None, "store": str(tmp_path / "b")}))["daily"]
     assert rows(direct) == rows(batch)
 
 
@@ -125,3 +124,31 @@ def test_stream_daily_equals_batch_on_closed_days(spark, tmp_path):
 
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_earlier_results_stay(spark, landed):
+    first = run_end_to_end(spark, landed)
+    before = rows(first["daily"]), rows(first["equity"])
+    run_end_to_end(spark, landed)
+    assert (rows(first["daily"]), rows(first["equity"])) == before
+
+
+def test_many_watched_tickers(spark, landed, tmp_path):
+    names = [f"T{n}" for n in range(12_000)]
+    config = RunConfig(**{**landed.__dict__, "store": str(tmp_path / "many"), "watch": ["NVDA", *names]})
+    result = run_end_to_end(spark, config)
+    assert result["inserted"].count() == 12_001 and result["inserted"].where("inserted > 0").count() == 1
+    assert result["wide"].columns == ["date", "NVDA"]
+
+
+def test_partials_add_up(spark, tmp_path):
+    data = [("A" if n % 3 else None, f"u{n}", "s", dt.datetime(2024, 1, 1 + n * 7 % 5, n % 24, tzinfo=dt.timezone.utc),
+             float("nan") if n % 11 == 0 else n / 64, None if n % 2 else 0.5) for n in range(60)]
+    schema = "ticker string, url string, source string, published_at timestamp, score double, confidence double"
+    frame = local_frame(spark, data, schema)
+    for part in range(3):  # late rows too: days are spread over all files
+        frame.where(F.hash("url") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+        daily_partials_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    frame = frame.where(F.hash("url") % 3 >= 0)
+    assert rows(stored_daily(spark, str(tmp_path / "out"))) == [(a, b, pytest.approx(c), d, e) for a, b, c, d, e in rows(op.daily_sentiment(frame))]

@@ -50,14 +50,16 @@ def test_model_and_its_fallback(spark):
     assert rows(scored) == [("0", "positive", 0.8, 0.9, "shout"), ("1", "negative", -1.0, 1.0, "shout")]
     failing = op.model_score(texts(spark, ["fail good", "bad", None]).repartition(1), shouting_model(), "shout", lexicon(spark))
     assert [(row.label, row.model) for row in failing.orderBy("headline_id").collect()] == [
-        ("positive", "vader"), ("negative", "vader"), ("neutral", "vader")]
+        ("positive", "vader"), ("negative", "shout"), ("negative", "shout")]
 
 
-def test_a_batch_falls_back_alone(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+@pytest.mark.parametrize("batch", ["1", "10", "10000"])
+def test_a_failing_text_falls_back_alone(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        scored = op.model_score(texts(spark, ["good fail", "LOUD"]).repartition(1), shouting_model(), "shout", lexicon(spark))
-        assert sorted(row.model for row in scored.collect()) == ["shout", "vader"]
+        frame = texts(spark, ["LOUD" if n % 2 else "quiet" for n in range(60)] + ["good fail"]).repartition(1)
+        scored = op.model_score(frame, shouting_model(), "shout", lexicon(spark))
+        assert [row.headline_id for row in scored.collect() if row.model == "vader"] == ["60"]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 

@@ -20,12 +20,11 @@ def day(n):
 
 
 def scored_frame(spark):
-    data = []
-    for ticker, base in (("NVDA", 0.5), ("TSLA", -0.3)):
-        for n in range(8):
-            moment = dt.datetime(2024, 1, 1 + n, 14, tzinfo=dt.timezone.utc)
-            score = base + (0.1 if n % 2 == 0 else -0.1)
-            data.append((ticker, "t", f"https://x/{ticker}/{n}", "yfinance", moment, "p", "positive", score, 0.8, "test"))
+    levels = {"NVDA": [0.25, 0.75, 0.0, -0.5, 1.0, 0.125, 0.5, -0.25], "TSLA": [-1.0, 0.5, -0.125, 0.375, -0.75, 0.0, 0.625, -0.5]}
+    data = [
+        (ticker, f"{ticker} {n}", f"story:{ticker}:{n}", "yfinance", dt.datetime(2024, 1, 1 + n, 9, 5 * n, tzinfo=dt.timezone.utc), "desk", "neutral", level, 0.75, "hand")
+        for ticker, own in levels.items() for n, level in enumerate(own)
+    ]
     return local_frame(spark, data, "ticker string, title string, url string, source string, published_at timestamp, "
                        "publisher string, label string, score double, confidence double, model string")
 
@@ -64,11 +63,11 @@ def test_selections_and_feeds(spark):
     assert op.for_tickers(scored, ["TSLA"]).count() == 8 and op.for_tickers(scored, []).count() == 16
     assert rows(op.default_selection(scored, 1)) == [("NVDA",)]
     feed = op.latest_feed(scored, 3)
-    assert [row.url for row in feed.collect()] == ["https://x/NVDA/7", "https://x/TSLA/7", "https://x/NVDA/6"]
+    assert [row.url for row in feed.collect()] == ["story:NVDA:7", "story:TSLA:7", "story:NVDA:6"]
     assert len(feed.columns) == 8
     assert "TakeOrderedAndProject" in feed._jdf.queryExecution().executedPlan().toString()
     assert [row.ticker for row in op.top_scored(scored, 2).collect()] == ["NVDA", "NVDA"]
-    assert rows(op.ticker_summary(scored)) == [("NVDA", 8, pytest.approx(0.5)), ("TSLA", 8, pytest.approx(-0.3))]
+    assert rows(op.ticker_summary(scored)) == [("NVDA", 8, 0.234375), ("TSLA", 8, -0.109375)]
     assert rows(op.run_counters(scored)) == [(16, 0, 16, 8)]
     assert rows(op.run_counters(scored.limit(0))) == [(0, 0, 0, 0)]
 
@@ -119,8 +118,7 @@ def test_returns_need_one_shuffle_of_the_closes(spark):
     frame = op.forward_returns(op.returns(holes(spark)))
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "SortMergeJoin" not in plan
-    spine = plan[: plan.index("BroadcastExchange")]
-    assert spine.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning(ticker") == 1  # the others are of distinct days
 
 
 def test_calendar_is_built_before_tickers_are_dropped(spark):
@@ -158,9 +156,12 @@ def test_backtest_with_given_returns(spark):
     aligned, equity, metrics = op.backtest(daily, returns_frame=local_frame(spark, data, RETURNS))
     assert {row.signal for row in aligned.collect()} == {-1, 1} and aligned.count() == 16
     found = metrics.first()
-    assert found.n_days == 8 and found.cumulative_return == pytest.approx(1.01**8 - 1)
-    assert found.sharpe is None or abs(found.sharpe) > 1e6  # a constant P&L has none
-    assert [row.equity for row in equity.orderBy("date").collect()] == pytest.approx([1.01**n for n in range(1, 9)])
+    # by hand: medians are 0.1875 and -0.0625; the tickers agree on days 1, 2 (wrong) and 6, 7 (right)
+    pnl = [0, -0.01, -0.01, 0, 0, 0, 0.01, 0.01]
+    curve = [math.prod(1 + p for p in pnl[: n + 1]) for n in range(8)]
+    assert found.n_days == 8 and found.cumulative_return == pytest.approx(curve[-1] - 1)
+    assert found.sharpe == pytest.approx(0, abs=1e-9)
+    assert [row.equity for row in equity.orderBy("date").collect()] == pytest.approx(curve)
 
 
 def test_metrics_by_hand(spark):
@@ -204,3 +205,10 @@ def test_backtest_arguments(spark):
     daily = op.daily_sentiment(scored_frame(spark))
     with pytest.raises(ValueError):
         op.backtest(daily)
+
+
+def test_a_stray_date_adds_one_day(spark):
+    closes = [(day(n), ticker, 10.0 + n) for n in (0, 1, 4) for ticker in ("A", "B") if (n, ticker) != (1, "B")]
+    frame = local_frame(spark, [(dt.date(1, 1, 1), "A", 9.0), *closes], PRICES)
+    grid = op.calendar_grid(frame)
+    assert grid.count() == 8 and grid.where("close is null").count() == 2

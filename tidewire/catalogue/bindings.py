@@ -104,7 +104,7 @@ def document_headlines(spark: SparkSession, folder: str) -> DataFrame:
         headline_id(F.lit("yfinance"), url).alias("headline_id"),
         F.lit("yfinance").alias("source"),
         F.upper("lang").alias("ticker"),
-        F.substring("text", 1, 500).alias("title"),
+        F.col("text").alias("title"),
         url.alias("url"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("published_at"),
         F.col("source").alias("publisher"),

@@ -77,7 +77,7 @@ select round(1e-9 + (select max_by(equity, date) - 1 from eq), 6) as cumulative_
 
 HEADLINES = """
 doc_headlines as (
-  select doc_id, 'yfinance' as source, upper(lang) as ticker, substring(text, 1, 500) as title,
+  select doc_id, 'yfinance' as source, upper(lang) as ticker, text as title,
          'doc://' || md5(text) as url, 1704067200 + doc_id * 60 as seconds, source as publisher, 0 as turn, doc_id as seq
   from documents),
 page_headlines as (
@@ -287,6 +287,13 @@ def oracle_sql() -> dict[str, str]:
 
 
 _ROUNDED_DAILY = "select ticker, date, round(1e-9 + sentiment, 6) as sentiment, n, round(1e-9 + confidence, 6) as confidence from daily"
+_DASHBOARD = f"""with {EVENTS.replace('daily as', 'all_days as')}, {PRICES},
+       chosen as (select distinct ticker from all_days order by ticker limit 3),
+       daily as (select * from all_days where ticker in (select ticker from chosen)),
+       prices2 as (
+         select * from prices where ticker in (select ticker from chosen)
+           and date >= (select min(date) - 3 from daily) and date < (select max(date) + 3 from daily)),
+       {(RETURNS + ',' + SIGNAL).replace('prices', 'prices2')}"""
 _TICKERS = ["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW"]
 _FRESH_COLUMNS = "select source, url, ticker, title, publisher from fresh"
 
@@ -322,6 +329,9 @@ _ORACLE: dict[str, str] = {
     "insert_if_absent_small_batch": f"with {HEADLINES}, {_new_headlines('source', 'url')} {_FRESH_COLUMNS}",
     "insert_per_ticker_key": f"""with {HEADLINES}, {_new_headlines('source', 'url', 'ticker')}
        select source, url, ticker, publisher from fresh""",
+    "score_per_ticker_key": f"""with {HEADLINES}, {_new_headlines('source', 'url', 'ticker').replace('from headlines', 'from doc_headlines')},
+       named as (select sha256(source || chr(31) || url || chr(31) || ticker) as id, title as text from fresh),
+       {_lexicon('named')} select * from lexicon_scores""",
     "insert_counts": f"""with {HEADLINES}, {_new_headlines('source', 'url')},
        watch(ticker) as (values {', '.join(f"('{name}')" for name in b.LANGUAGES)})
        select w.ticker, count(f.ticker) as inserted from watch w left join fresh f on f.ticker = w.ticker group by w.ticker""",
@@ -393,16 +403,20 @@ _ORACLE: dict[str, str] = {
     "select 'fade' as strategy, * from ("
     + BACKTEST.replace("avg(score) as sentiment", "-avg(score) as sentiment") + METRICS + ")",
     "end_to_end": _end_to_end(),
-    "dashboard": f"""with {EVENTS.replace('daily as', 'all_days as')}, {PRICES},
-       chosen as (select distinct ticker from all_days order by ticker limit 3),
-       daily as (select * from all_days where ticker in (select ticker from chosen)),
-       prices2 as (
-         select * from prices where ticker in (select ticker from chosen)
-           and date >= (select min(date) - 3 from daily) and date < (select max(date) + 3 from daily)),
-       {(RETURNS + ',' + SIGNAL).replace('prices', 'prices2')}
-       {METRICS}""",
+    "dashboard": f"{_DASHBOARD} {METRICS}",
     "ingest_stream": f"""with {NEWS} select sha256('yfinance' || chr(31) || url) as headline_id,
        ticker, title, url, published_at, publisher from news where usable""",
-    "daily_stream": f"""with {EVENTS} {_ROUNDED_DAILY}
+    "daily_stream": f"with {EVENTS} {_ROUNDED_DAILY}",
+    "daily_stream_closed_days": f"""with {EVENTS} {_ROUNDED_DAILY}
        where date + interval 1 day <= (select max(ts) - interval 1 day from events)""",
+    "dashboard_tickers": f"with {EVENTS} select distinct ticker from scored",
+    "dashboard_daily": f"""{_DASHBOARD} select ticker, date, round(1e-9 + sentiment, 6) as sentiment, n,
+       cast(row_number() over (order by ticker, date) as integer) as position from daily""",
+    "dashboard_feed": f"""{_DASHBOARD} select url, ticker, label, round(1e-9 + score, 6) as score,
+       cast(row_number() over (order by published_at desc, url) as integer) as position
+       from scored where ticker in (select ticker from chosen) order by position limit 50""",
+    "dashboard_aligned": f"""{_DASHBOARD} select date, ticker, round(1e-9 + sentiment, 6) as sentiment, round(1e-9 + fwd_ret, 6) as fwd_ret,
+       cast(row_number() over (order by date, ticker) as integer) as position from sig""",
+    "dashboard_equity": f"""{_DASHBOARD} select date, round(1e-9 + pnl, 6) as pnl, round(1e-9 + equity, 6) as equity,
+       cast(row_number() over (order by date) as integer) as position from eq""",
 }

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import operators as op
 from .. import streaming
-from ..functions import first_time, item_times, label_of, parse_watchlist, ticker_mentions
+from ..functions import first_time, item_times, key_id, label_of, parse_watchlist, ticker_mentions
 from ..plans import RunConfig, dashboard_tables, run_end_to_end
 from ..schemas import LEXICON
 from ..session import fresh_dir, local_frame
@@ -152,6 +152,16 @@ def insert_per_ticker_key(spark, sf):
     return new.select("source", "url", "ticker", "publisher")
 
 
+@_query
+def score_per_ticker_key(spark, sf):
+    """Scores after an insert by (source, url, ticker): the id is made of the same columns."""
+    keys = ("source", "url", "ticker")
+    new = op.insert_if_absent(b.document_headlines(spark, sf), b.labelled_headlines(spark, sf), keys)
+    named = new.withColumn("headline_id", key_id(*[F.col(name) for name in keys]))
+    stored = b.label_scores(spark, sf)
+    return op.score_pending(named, stored, "vader", lexicon=b.lexicon(spark), rules=b.PROSE_RULES)
+
+
 @_query
 def insert_counts(spark, sf):
     new = op.insert_if_absent(b.all_headlines(spark, sf), b.labelled_headlines(spark, sf))
@@ -416,6 +426,44 @@ def dashboard(spark, sf):
     return tables["metrics"].select(*_metrics())
 
 
+def _numbered(frame, *order):
+    return frame.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
+@_query
+def dashboard_daily(spark, sf):
+    """The daily table of the dashboard with the position of each row in its order."""
+    daily = dashboard_tables(b.scored_events(spark, sf), b.order_prices(spark, sf))["daily"]
+    placed = daily.select("ticker", "date", r6("sentiment"), "n", F.monotonically_increasing_id().alias("id"))
+    return _numbered(placed, "id").drop("id")
+
+
+@_query
+def dashboard_feed(spark, sf):
+    feed = dashboard_tables(b.scored_events(spark, sf), b.order_prices(spark, sf))["feed"]
+    placed = feed.select("url", "ticker", "label", r6("score"), F.monotonically_increasing_id().alias("id"))
+    return _numbered(placed, "id").drop("id")
+
+
+@_query
+def dashboard_equity(spark, sf):
+    equity = dashboard_tables(b.scored_events(spark, sf), b.order_prices(spark, sf))["equity"]
+    placed = equity.select("date", r6("pnl"), r6("equity"), F.monotonically_increasing_id().alias("id"))
+    return _numbered(placed, "id").drop("id")
+
+
+@_query
+def dashboard_aligned(spark, sf):
+    aligned = dashboard_tables(b.scored_events(spark, sf), b.order_prices(spark, sf))["aligned"]
+    placed = aligned.select("date", "ticker", r6("sentiment"), r6("fwd_ret"), F.monotonically_increasing_id().alias("id"))
+    return _numbered(placed, "id").drop("id")
+
+
+@_query
+def dashboard_tickers(spark, sf):
+    return dashboard_tables(b.scored_events(spark, sf), b.order_prices(spark, sf))["tickers"]
+
+
 @_query
 def ingest_stream(spark, sf):
     """Landed news through the stream, twice with a lost checkpoint: the replay must store nothing."""
@@ -429,12 +477,10 @@ def ingest_stream(spark, sf):
     )
 
 
-@_query
-def daily_stream(spark, sf):
-    """Closed days of the events, in append mode."""
+def _event_stream(spark, sf):
     schema = b.table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    scored = events.select(
+    return events.select(
         F.upper("event_type").alias("ticker"),
         F.lit("events").alias("source"),
         F.col("event_id").cast("string").alias("url"),
@@ -442,8 +488,21 @@ def daily_stream(spark, sf):
         ((F.col("value") - 35.0) / 500.0).alias("score"),
         (F.get_json_object("props", "$.k").cast("double") / 100.0).alias("confidence"),
     )
+
+
+@_query
+def daily_stream(spark, sf):
+    """All days of the events, from the partial sums of every batch."""
+    out = fresh_dir(spark, "partials")
+    streaming.daily_partials_stream(_event_stream(spark, sf), out, fresh_dir(spark, "stream")).awaitTermination()
+    return streaming.stored_daily(spark, out).select("ticker", "date", r6("sentiment"), "n", r6("confidence"))
+
+
+@_query
+def daily_stream_closed_days(spark, sf):
+    """Closed days of the events, in append mode: the form with a watermark."""
     out = fresh_dir(spark, "daily")
-    days = streaming.daily_stream(scored)
+    days = streaming.daily_stream(_event_stream(spark, sf))
     (
         days.writeStream.format("parquet")
         .option("checkpointLocation", fresh_dir(spark, "stream"))

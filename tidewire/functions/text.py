@@ -13,12 +13,18 @@ POSITIVE_FROM = 0.05
 NEGATIVE_FROM = -0.05
 
 
-def headline_id(source: Column, url: Column) -> Column:
-    """Deterministic key of a headline: SHA-256 over source and url.
+def key_id(*parts: Column) -> Column:
+    """Deterministic id of a row: SHA-256 over its key columns (NULL if one is).
 
     A 64-bit hash would collide at the row counts this is meant for.
     """
-    return F.sha2(F.concat(source, F.lit("\x1f"), url), 256)
+    pieces = [piece for part in parts for piece in (F.lit("\x1f"), part)][1:]
+    return F.sha2(F.concat(*pieces), 256)
+
+
+def headline_id(source: Column, url: Column) -> Column:
+    """The id of a headline where source and url are its key."""
+    return key_id(source, url)
 
 
 def parse_watchlist(text: Column) -> Column:

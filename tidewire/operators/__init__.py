@@ -10,6 +10,8 @@ from .backtest import (
 )
 from .daily import (
     backtest_range,
+    daily_from_partials,
+    daily_partials,
     daily_sentiment,
     default_selection,
     distinct_tickers,
@@ -37,7 +39,7 @@ from .returns import calendar_grid, drop_empty_dates, drop_incomplete, forward_r
 from .scoring import fold_probabilities, model_score, register_backend, score, score_pending
 
 __all__ = [
-    "align", "backtest", "backtest_range", "calendar_grid", "common_tickers", "daily_sentiment",
+    "align", "backtest", "backtest_range", "calendar_grid", "common_tickers", "daily_from_partials", "daily_partials", "daily_sentiment",
     "default_selection", "distinct_tickers", "drop_empty_dates", "drop_incomplete",
     "equity_curve", "explode_mentions", "fits_broadcast", "fold_probabilities", "for_ticker",
     "for_tickers", "forward_returns", "insert_counts", "insert_if_absent", "latest_feed",

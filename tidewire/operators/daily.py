@@ -38,11 +38,36 @@ def daily_sentiment(scored: DataFrame) -> DataFrame:
     )
 
 
+def daily_partials(scored: DataFrame) -> DataFrame:
+    """Per ticker and UTC day: sums and counts that partials of other rows can be added to."""
+    def known(name: str) -> Column:
+        return F.nanvl(F.col(name), F.lit(None).cast("double"))
+
+    rows = scored.select("ticker", day_of(scored).alias("date"), known("score").alias("score"), known("confidence").alias("confidence"))
+    return rows.where("ticker is not null and date is not null").groupBy("ticker", "date").agg(
+        F.sum("score").alias("score_sum"),
+        F.count("score").alias("score_n"),
+        F.sum("confidence").alias("confidence_sum"),
+        F.count("confidence").alias("confidence_n"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
+def daily_from_partials(partials: DataFrame) -> DataFrame:
+    """The daily table of all rows whose partials are given; equals `daily_sentiment` of those rows."""
+    return partials.groupBy("ticker", "date").agg(
+        F.try_divide(F.sum("score_sum"), F.sum("score_n")).alias("sentiment"),
+        F.sum("n").alias("n"),
+        F.try_divide(F.sum("confidence_sum"), F.sum("confidence_n")).alias("confidence"),
+    )
+
+
 def pivot_sentiment(daily: DataFrame, tickers: Iterable[str] | None = None) -> DataFrame:
     """One row per day, one column per ticker. A repeated (day, ticker) is an error.
 
-    Passing the tickers saves the job that finds them, and bounds the width. The wide form is
-    for output: everything else here works on the long form.
+    Passing the tickers saves the job that finds them, and bounds the width; without them, Spark
+    finds them and refuses beyond ``spark.sql.pivotMaxValues``. The wide form is for output:
+    everything else here works on the long form.
     """
     cell = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("pivot: repeated (date, ticker)"))).otherwise(
         F.first("sentiment")

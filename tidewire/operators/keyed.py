@@ -79,6 +79,7 @@ def insert_counts(new: DataFrame, watch: str | Iterable[str]) -> DataFrame:
     """Newly stored rows per watched ticker, 0 where there are none."""
     wanted = local_frame(new.sparkSession, [(name,) for name in normal_watchlist(watch)], "ticker string")
     counts = new.groupBy("ticker").agg(F.count(F.lit(1)).alias("inserted"))
-    return wanted.join(counts, "ticker", "left").select(
+    # the names come from an argument
+    return counts.join(F.broadcast(wanted), "ticker", "right").select(
         "ticker", F.coalesce("inserted", F.lit(0)).alias("inserted")
     )

@@ -1,9 +1,8 @@
 """Lexicon scorer as a Spark job.
 
-Text is cut into tokens, tokens are exploded and looked up in the lexicon, and each hit is
-adjusted by the words around it; the values are then summed per headline. The lookups are joins,
-the adjustments plain expressions on the row, and the sums start before the shuffle: a headline's
-tokens come from one row, so what is shuffled is one small row per headline.
+Text is cut into tokens, tokens are exploded with the words around them and looked up in the lexicon, and
+each hit is adjusted by those words; the values are then summed per word and per headline. The lookups are joins, the adjustments plain expressions on the row, and one shuffle of the hits serves all sums. No row
+holds more than six words after the explode, so the work grows with the number of tokens, however long a text is.
 """
 
 from __future__ import annotations
@@ -30,7 +29,6 @@ from ..functions.valence import (
 from .keyed import fits_broadcast
 
 MODEL_NAME = "vader"  # fixed value
-SALTS = 16
 
 # A token is a run of two or more non-blank characters, less one punctuation mark (or a listed run
 # of them) before or after it when all the rest is free of punctuation. Matches follow each other
@@ -45,6 +43,9 @@ _TOKEN = (
 )
 _BACK = (1, 2, 3)
 
+# Tells rows apart that share a key.
+ROW = "_row"
+
 
 def lexicon_score(
     headlines: DataFrame,
@@ -58,22 +59,25 @@ def lexicon_score(
     """Scores texts with a lexicon (token, valence): key, label, score, confidence, model.
 
     ``lexicon`` has lower-case tokens, one row each. It is broadcast after its size was measured;
-    beyond the bound the lookups become a salted shuffle join with the same result
-    (``broadcast`` overrides the choice). ``keep`` names columns that pass through.
+    beyond the bound the lookups are shuffle joins, whose frequent words AQE splits (``broadcast``
+    overrides the choice). ``keep`` names columns that pass through. Every row is scored by its own
+    text, also if rows share a key.
     """
     tokens = _tokenize(headlines, key, text, keep)
     lexicon = lexicon.groupBy("token").agg(F.max("valence").alias("valence"))
     if broadcast is None:
         broadcast = fits_broadcast(lexicon)
-    looked_up = _broadcast_lookup if broadcast else _shuffled_lookup
-    hits = looked_up(tokens, lexicon, rules, [key, *keep])
-    return _fold(_valued(hits, rules), [key, *keep])
+    hits = _around(_hits(_look_up(_explode(tokens), lexicon, F.lower("item"), "base", broadcast)), rules)
+    for k in _BACK:
+        hits = _look_up(hits, lexicon, _near(k)["plain"], f"valence{k}", broadcast)
+    hits = hits.withColumns({f"known{k}": F.col(f"valence{k}").isNotNull() for k in _BACK})
+    return _fold(_valued(hits, rules), [key, *keep, ROW]).drop(ROW)
 
 
 def _tokenize(headlines: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> DataFrame:
     """Per text: its tokens, and what depends on the text as a whole."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    texts = headlines.select(key, *keep, whole.alias("whole"))
+    texts = headlines.select(key, *keep, F.monotonically_increasing_id().alias(ROW), whole.alias("whole"))
     texts = texts.withColumn("tokens", F.regexp_extract_all("whole", F.lit(_TOKEN), F.lit(1)))
     caps = F.size(F.filter("tokens", _is_upper))
     # First "but", counted from 1; 0 where there is none.
@@ -88,6 +92,7 @@ def _tokenize(headlines: DataFrame, key: str, text: str, keep: tuple[str, ...])
     return texts.select(
         key,
         *keep,
+        ROW,
         "tokens",
         ((caps > 0) & (caps < F.size("tokens"))).alias("mixed_caps"),
         but_at.cast("int").alias("but_at"),
@@ -97,6 +102,23 @@ def _tokenize(headlines: DataFrame, key: str, text: str, keep: tuple[str, ...])
     )
 
 
+def _explode(texts: DataFrame) -> DataFrame:
+    """One row per token, with the words around it; texts without tokens keep one row."""
+    def with_context(item: Column, pos: Column) -> Column:
+        back = [F.get("tokens", pos - k).alias(f"back{k}") for k in _BACK]
+        ahead = [F.get("tokens", pos + k).alias(f"next{k}") for k in (1, 2)]
+        return F.struct(pos.alias("pos"), item.alias("item"), *back, *ahead)
+
+    entries = texts.withColumn("entries", F.transform("tokens", with_context)).drop("tokens")
+    return entries.withColumn("entry", F.explode_outer("entries")).select("*", "entry.*").drop("entries", "entry")
+
+
+def _look_up(rows: DataFrame, lexicon: DataFrame, word: Column, name: str, broadcast: bool) -> DataFrame:
+    """Adds the valence of a word, NULL where the lexicon lacks it."""
+    entry = lexicon.select(F.col("token").alias("_token"), F.col("valence").alias(name))
+    return rows.join(F.broadcast(entry) if broadcast else entry, word == F.col("_token"), "left").drop("_token")
+
+
 def _hits(found: DataFrame) -> DataFrame:
     """Tokens with a value, and the first token of every text, so that no text is lost.
 
@@ -106,15 +128,10 @@ def _hits(found: DataFrame) -> DataFrame:
 
 
 def _around(hits: DataFrame, rules: ValenceRules) -> DataFrame:
-    """Adds the words around a hit. A repeated word takes the context of its first occurrence."""
-    hits = hits.withColumn("first", F.when(F.col("base").isNotNull(), F.array_position("tokens", F.col("item")).cast("int")))
+    """Adds what the words around a hit do to it."""
     word = F.lower("item")
-    of_kind = (word == "kind") & (F.lower(F.coalesce(F.get("tokens", F.col("first")), F.lit(""))) == "of")
+    of_kind = (word == "kind") & (F.lower(F.coalesce("next1", F.lit(""))) == "of")
     booster = word.isin(*rules.boosters_up, *rules.boosters_down, *rules.booster_pairs)
-    hits = hits.withColumn("at", F.when(F.col("first").isNotNull() & ~booster & ~of_kind, F.col("first") - 1))
-    nearby = {f"back{k}": F.when(F.col("at") >= k, F.get("tokens", F.col("at") - k)) for k in _BACK}
-    nearby |= {f"next{k}": F.get("tokens", F.col("at") + k) for k in (1, 2)}
-    hits = hits.withColumns(nearby)
     # A function over an array is not compiled into its stage, so this also ends the stage that
     # reads every token: what follows is long code that would keep the token loop from being
     # compiled to machine code, and it is for hits only. All that depends on the words alone is
@@ -129,11 +146,11 @@ def _around(hits: DataFrame, rules: ValenceRules) -> DataFrame:
         "around": F.transform(words, lambda word: _effect(word, rules)),
         "idiom": idiom,
         "damping": F.when(damped, BOOST).otherwise(0.0),
-        "value": F.when(F.col("at").isNotNull(), start),
+        "value": F.when(base.isNotNull() & ~booster & ~of_kind, start),
         "weight": F.when((but > 0) & (place < but), BUT_BEFORE)
         .when((but > 0) & (place > but), BUT_AFTER)
         .otherwise(1.0),
-    }).drop("tokens")
+    })
 
 
 def _effect(word: Column, rules: ValenceRules) -> Column:
@@ -148,44 +165,6 @@ def _effect(word: Column, rules: ValenceRules) -> Column:
     )
 
 
-def _broadcast_lookup(texts: DataFrame, lexicon: DataFrame, rules: ValenceRules, ids: list[str]) -> DataFrame:
-    exploded = texts.select("*", F.posexplode_outer("tokens").alias("pos", "item"))
-    entry = lexicon.select(F.col("token").alias("word"), F.col("valence").alias("base"))
-    found = exploded.join(F.broadcast(entry), F.lower("item") == F.col("word"), "left")
-    hits = _around(_hits(found), rules)
-    for k in _BACK:
-        entry = lexicon.select(F.col("token").alias(f"word{k}"))
-        hits = hits.join(F.broadcast(entry), _near(k)["plain"] == F.col(f"word{k}"), "left")
-    return hits.withColumns({f"known{k}": F.col(f"word{k}").isNotNull() for k in _BACK})
-
-
-def _shuffled_lookup(texts: DataFrame, lexicon: DataFrame, rules: ValenceRules, ids: list[str]) -> DataFrame:
-    """Lookup in a lexicon too large to broadcast: one join on (token, salt).
-
-    The salt spreads frequent tokens. The values come back as an array beside the tokens, which
-    is again one row per text and no larger than the text was.
-    """
-    context = [*ids, "mixed_caps", "but_at", "n_tokens", "bangs", "questions"]
-    salt = F.pmod(F.xxhash64(ids[0], "pos"), F.lit(SALTS)).cast("int")
-    exploded = texts.select(*context, F.posexplode_outer("tokens").alias("pos", "item"))
-    exploded = exploded.withColumns({"word": F.lower("item"), "salt": salt})
-    salted = lexicon.select(
-        F.col("token").alias("word"),
-        F.col("valence").alias("base"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-    )
-    found = exploded.join(salted, ["word", "salt"], "left")
-    entries = F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), F.struct("pos", "item", "base"))))
-    again = found.groupBy(*context).agg(entries.alias("entries"))
-    # The arrays are taken apart before the explode, once per text and not once per token.
-    arrays = again.select(*context, F.col("entries.item").alias("tokens"), F.col("entries.base").alias("bases"))
-    hits = arrays.select("*", F.posexplode_outer("tokens").alias("pos", "item"))
-    hits = _around(_hits(hits.withColumn("base", F.get("bases", F.col("pos")))), rules)
-    return hits.withColumns(
-        {f"known{k}": F.when(F.col("at") >= k, F.get("bases", F.col("at") - k)).isNotNull() for k in _BACK}
-    )
-
-
 def _is_upper(word: Column) -> Column:
     return (word == F.upper(word)) & (word != F.lower(word))
 
@@ -203,7 +182,7 @@ def _boosted(value: Column, effect: Column, weight: float) -> Column:
 
 
 def _valued(hits: DataFrame, rules: ValenceRules) -> DataFrame:
-    """Adds ``value`` per token: 0 unless it is a lexicon hit, else its adjusted valence.
+    """Adds ``value`` per token, before its weight: 0 unless it is a lexicon hit, else its adjusted valence.
 
     Every stage is a column of its own, since the next one reads it several times.
     """
@@ -228,7 +207,7 @@ def _valued(hits: DataFrame, rules: ValenceRules) -> DataFrame:
 
     kept_least = b2.isNotNull() & _near(2)["plain"].isin("at", "very")
     least = (_near(1)["plain"] == "least") & ~F.col("known1") & ~kept_least
-    final = F.col("value") * F.when(least, NEGATION_FACTOR).otherwise(1.0) * F.col("weight")
+    final = F.col("value") * F.when(least, NEGATION_FACTOR).otherwise(1.0)
     return hits.withColumn("value", F.coalesce(final, F.lit(0.0)))
 
 
@@ -254,12 +233,21 @@ def _idioms(rules: ValenceRules) -> tuple[Column, Column]:
 
 def _fold(hits: DataFrame, ids: list[str]) -> DataFrame:
     """Sums per text, punctuation emphasis, normalized score and shares."""
+    # A repeated word takes the value of its first occurrence; only the weights are of each place.
+    # One shuffle, of the hits alone, serves both aggregates.
+    words = hits.select(*ids, "item", "pos", "value", "weight", "n_tokens", "bangs", "questions").repartition(*ids).groupBy(*ids, "item").agg(
+        F.min_by("value", "pos").alias("value"),
+        F.sum("weight").alias("weight"),
+        F.count(F.lit(1)).alias("times"),
+        *[F.max(name).alias(name) for name in ("n_tokens", "bangs", "questions")],
+    )
     value = F.col("value")
-    sums = hits.groupBy(*ids).agg(
+    words = words.withColumn("value", F.coalesce("value", F.lit(0.0)) * F.col("weight"))
+    sums = words.groupBy(*ids).agg(
         F.sum("value").alias("total"),
-        F.sum(F.when(value > 0, value + 1).otherwise(0.0)).alias("up"),
-        F.sum(F.when(value < 0, value - 1).otherwise(0.0)).alias("down"),
-        (F.max("n_tokens") - F.count_if(value != 0)).alias("flat"),
+        F.sum(F.when(value > 0, value + F.col("times")).otherwise(0.0)).alias("up"),
+        F.sum(F.when(value < 0, value - F.col("times")).otherwise(0.0)).alias("down"),
+        (F.max("n_tokens") - F.sum(F.when(value != 0, F.col("times")).otherwise(0))).alias("flat"),
         F.max("bangs").alias("bangs"),
         F.max("questions").alias("questions"),
     )

@@ -19,28 +19,28 @@ def _by_ticker():
 def calendar_grid(prices: DataFrame) -> DataFrame:
     """Closes on every day that any ticker has a row for: date, ticker, close (NULL in gaps).
 
-    ``prices`` has one row per (date, ticker). Each row is stretched over the days up to the
-    ticker's next row, and days that no ticker has are removed again, so no product of days and
-    tickers is joined. The day list may be broadcast whatever the data: a DATE column has at most
-    3.7 million values (a century of trading has 25,000).
+    ``prices`` has one row per (date, ticker). The days are numbered, and each row is stretched over the
+    numbers up to the ticker's next row: no product of days and tickers is joined, and a stray date adds one
+    day. The day list may be broadcast whatever the data: a DATE column has at most 3.7 million values (a
+    century of trading has 25,000).
     """
-    days = prices.select("date").distinct()
-    first_day = prices.agg(F.min("date").alias("day")).scalar()
-    last_day = prices.agg(F.max("date").alias("day")).scalar()
-    spans = prices.select(
+    days = prices.select("date").distinct().select("date", F.row_number().over(W.orderBy("date")).alias("number"))
+    last_number = days.agg(F.max("number").alias("number")).scalar()
+    numbered = prices.join(F.broadcast(days), "date")
+    spans = numbered.select(
         "ticker",
-        "date",
+        "number",
         "close",
-        F.when(F.lag("date").over(_by_ticker()).isNull(), first_day).otherwise(F.col("date")).alias("from"),
-        F.coalesce(F.date_sub(F.lead("date").over(_by_ticker()), 1), last_day).alias("to"),
+        F.when(F.lag("number").over(_by_ticker()).isNull(), 1).otherwise(F.col("number")).alias("from"),
+        F.coalesce(F.lead("number").over(_by_ticker()) - 1, last_number).alias("to"),
     )
-    cells = spans.select("ticker", "date", "close", F.explode(F.sequence("from", "to")).alias("day"))
+    cells = spans.select("ticker", "number", "close", F.explode(F.sequence("from", "to")).alias("day"))
     cells = cells.select(
-        F.col("day").alias("date"),
+        F.col("day").alias("number"),
         "ticker",
-        F.when(F.col("day") == F.col("date"), F.col("close")).alias("close"),
+        F.when(F.col("day") == F.col("number"), F.col("close")).alias("close"),
     )
-    return cells.join(F.broadcast(days), "date", "left_semi").select("date", "ticker", "close")
+    return cells.join(F.broadcast(days), "number").select("date", "ticker", "close")
 
 
 def drop_empty_dates(returns: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ from ..schemas import PROBABILITIES, SCORES
 from .keyed import insert_if_absent, scoring_backlog
 from .lexicon import lexicon_score
 
+log = logging.getLogger(__name__)
+
 Predict = Callable[[list[str]], Iterable[Iterable[tuple[str, float]]]]
 Scorer = Callable[..., DataFrame]
 
@@ -58,20 +61,34 @@ def fold_probabilities(rows: DataFrame, probs: str = "probs") -> DataFrame:
     }).drop("_classes")
 
 
+def _each(predict: Predict, texts: list[str]) -> list[dict | None]:
+    """Results of a model; a batch that fails is split until only the texts that fail have none."""
+    try:
+        results = [dict(classes) for classes in predict(texts)]
+        if len(results) != len(texts):
+            raise ValueError("a model must return one result per text")
+        return results
+    except Exception:  # any failure of a model sends its text to the fallback
+        if len(texts) <= 1:
+            return [None] * len(texts)
+        half = len(texts) // 2
+        return _each(predict, texts[:half]) + _each(predict, texts[half:])
+
+
 def _classify(load: Callable[[], Predict]):
-    """Batches through a model that is loaded once per task; a batch that fails has NULL results."""
+    """Texts through a model that is loaded once per task; those that it fails on have NULL results."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
             predict = load()
         except Exception:  # no model on this worker: its rows go to the fallback
+            log.exception("the model can't be loaded; all texts of the task go to the fallback")
             predict = None
         for batch in batches:
-            try:
-                results = [dict(classes) for classes in predict(batch["title"].fillna("").tolist())]
-                if len(results) != len(batch):
-                    raise ValueError("a model must return one result per text")
-            except Exception:  # any failure of a model sends its batch to the fallback
-                results = [None] * len(batch)
+            texts = batch["title"].fillna("").tolist()
+            results = [None] * len(texts) if predict is None else _each(predict, texts)
+            failed = sum(result is None for result in results)
+            if failed and predict is not None:
+                log.warning("the model failed on %d of %d texts; they go to the fallback", failed, len(texts))
             yield batch.assign(probs=results)
 
     return run
@@ -80,11 +97,13 @@ def _classify(load: Callable[[], Predict]):
 def model_score(
     headlines: DataFrame, load: Callable[[], Predict], model: str, lexicon: DataFrame, **lexicon_options
 ) -> DataFrame:
-    """Scores with a classifier, and with the lexicon where a batch of it failed.
+    """Scores with a classifier, and with the lexicon where it failed on a text.
 
     ``load()`` runs on the executors and returns ``predict(texts)``, one list of
-    (class, probability) per text. The model sees every text once: a failed batch is scored
-    in the same pass, by giving the lexicon only those texts.
+    (class, probability) per text. A batch that fails is split until only failing texts are left, so
+    that results don't depend on how texts are batched; those are scored in the same pass, by giving the
+    lexicon only them. Failures are logged; fallback rows carry the lexicon's model name, by which they
+    can be counted.
     """
     schema = T.StructType([
         T.StructField("headline_id", T.StringType()),
@@ -119,8 +138,8 @@ def score(headlines: DataFrame, backend: str | None = None, **options) -> DataFr
 def score_pending(headlines: DataFrame, scores: DataFrame, backend: str | None = None, **options) -> DataFrame:
     """Score rows to append: the backlog, scored; a headline that has a score keeps it.
 
-    The backlog holds each headline once and excludes scored ones, so nothing is left to
-    de-duplicate against the table.
+    The backlog excludes scored headlines. Ids must tell its rows apart (`key_id` of the key columns in
+    use); rows that repeat an id are scored each by their own text.
     """
     return score(scoring_backlog(headlines, scores), backend, **options)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -11,17 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_watchlist
-from ..operators.backtest import backtest
+from ..operators.backtest import backtest, equity_curve
+from ..operators.backtest import metrics as signal_metrics
 from ..operators.daily import backtest_range, daily_sentiment, pivot_sentiment, require_days
-from ..operators.keyed import insert_if_absent, scored_frame, union_sources
+from ..operators.keyed import insert_counts, insert_if_absent, scored_frame, union_sources
 from ..operators.normalize import normalize_news, normalize_posts
 from ..operators.scoring import score_pending
 from ..schemas import DAILY
-from ..session import local_frame
+from ..session import local_frame, materialize
 from ..sources.landed import read_listing, read_news, read_prices
 from ..sources.tables import (
-    append_headlines_by_ticker,
+    append_headlines,
     append_scores,
+    create_store,
     read_headlines,
     read_scores,
     write_results,
@@ -48,6 +51,7 @@ class RunConfig:
     pad_days: int = 3
     lookback: int = 365
     prices_format: str = "parquet"
+    wide: str | Iterable[str] | None = None
 
     @property
     def now(self) -> Column:
@@ -55,8 +59,9 @@ class RunConfig:
         return F.convert_timezone(F.lit("UTC"), F.current_timezone(), moment).cast("timestamp")
 
 
-def ingest(spark: SparkSession, config: RunConfig) -> dict[str, int]:
+def ingest(spark: SparkSession, config: RunConfig) -> DataFrame:
     """Stores new headlines of both sources; returns the inserted rows per watched ticker."""
+    create_store(spark, config.store)
     batch = normalize_news(read_news(spark, config.news_path), config.now, config.watch)
     if config.forum_path:
         try:
@@ -67,8 +72,9 @@ def ingest(spark: SparkSession, config: RunConfig) -> dict[str, int]:
                 raise
             log.warning("no forum listing at %s: going on with news only", config.forum_path)
     path = f"{config.store}/headlines"
-    new = insert_if_absent(batch, read_headlines(spark, path))
-    return append_headlines_by_ticker(new, path, normal_watchlist(config.watch))
+    new = materialize(insert_if_absent(batch, read_headlines(spark, path)), "new-headlines")
+    append_headlines(new, path)
+    return materialize(insert_counts(new, config.watch), "inserted")
 
 
 def score_store(spark: SparkSession, config: RunConfig) -> int:
@@ -82,20 +88,26 @@ def score_store(spark: SparkSession, config: RunConfig) -> int:
 def run_end_to_end(spark: SparkSession, config: RunConfig) -> dict[str, DataFrame]:
     """Runs all steps and returns their tables: inserted, daily, wide, aligned, equity, metrics.
 
+    Results are written to ``store/results/<run>``, a new folder each time, so that the tables of an
+    earlier run stay readable. ``wide`` has a column for each ticker of ``wide`` in the arguments (the watchlist
+    by default) that has a day.
+
     The daily table is written before it is used: the guard, the date range and the backtest all
     read it, and none of them should repeat the join of headlines and scores.
     """
     inserted = ingest(spark, config)
     scored = score_store(spark, config)
-    counts = [(ticker, rows) for ticker, rows in inserted.items()]
 
-    results = f"{config.store}/results"
+    results = f"{config.store}/results/{uuid.uuid4().hex}"
     frame = scored_frame(
         read_headlines(spark, f"{config.store}/headlines"), read_scores(spark, f"{config.store}/scores")
     )
     write_results(results, daily=daily_sentiment(frame))
     daily = spark.read.schema(DAILY).parquet(f"{results}/daily")
 
+    # no more than the argument names
+    shown = daily.where(F.col("ticker").isin(normal_watchlist(config.wide or config.watch)))
+    shown = [row["ticker"] for row in shown.select("ticker").distinct().collect()]
     lookback = None if config.start else config.lookback
     span = backtest_range(daily, config.pad_days, lookback, config.as_of)
     prices = read_prices(
@@ -105,13 +117,17 @@ def run_end_to_end(spark: SparkSession, config: RunConfig) -> dict[str, DataFram
         end=config.end or span.select("end").scalar(),
         fmt=config.prices_format,
     ).join(daily.select("ticker").distinct(), "ticker", "left_semi")
-    aligned, equity, metrics = backtest(require_days(daily, config.min_days), prices)
+    signal, equity, metrics = backtest(require_days(daily, config.min_days), prices)
+    write_results(results, aligned=signal)
+    aligned = spark.read.schema(signal.schema).parquet(f"{results}/aligned")
+    equity = equity_curve(aligned)
+    metrics = signal_metrics(aligned, equity)
     write_results(results, equity=equity, metrics=metrics)
     return {
-        "inserted": local_frame(spark, counts, "ticker string, inserted long"),
+        "inserted": inserted,
         "scored": local_frame(spark, [(scored,)], "scored long"),
         "daily": daily.orderBy("ticker", "date"),
-        "wide": pivot_sentiment(daily).orderBy("date"),
+        "wide": pivot_sentiment(daily, shown).orderBy("date"),
         "aligned": aligned.orderBy("date", "ticker"),
         "equity": spark.read.schema(equity.schema).parquet(f"{results}/equity").orderBy("date"),
         "metrics": spark.read.schema(metrics.schema).parquet(f"{results}/metrics"),

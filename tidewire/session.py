@@ -13,20 +13,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 log = logging.getLogger(__name__)
 
+#: Folders of local sessions that name none; removed at exit.
+_LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
-    Where it is unset, a local session gets a temporary one; a cluster must name its own.
+    Where it is unset, a local session gets one of its own, which goes when Python ends; a cluster must name its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tidewire-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.TemporaryDirectory(prefix="tidewire-", ignore_cleanup_errors=True)
+    return _LOCAL[application].name
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

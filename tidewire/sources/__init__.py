@@ -4,6 +4,7 @@ from .landed import read_listing, read_news, read_prices
 from .tables import (
     append_headlines,
     append_scores,
+    create_store,
     read_headlines,
     read_scores,
     save_bucketed,
@@ -11,6 +12,6 @@ from .tables import (
 )
 
 __all__ = [
-    "append_headlines", "append_scores", "read_headlines", "read_listing", "read_news",
+    "append_headlines", "append_scores", "create_store", "read_headlines", "read_listing", "read_news",
     "read_prices", "read_scores", "save_bucketed", "write_results",
 ]

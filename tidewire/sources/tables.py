@@ -10,20 +10,20 @@ from ..schemas import HEADLINES, SCORES
 from ..session import local_frame
 
 
-def _open(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    # Creates the table if there is none; leaves it alone otherwise.
-    local_frame(spark, [], schema).write.mode("ignore").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def create_store(spark: SparkSession, store: str) -> None:
+    """Creates the headline and score tables of a store; leaves existing ones alone."""
+    for name, schema in (("headlines", HEADLINES), ("scores", SCORES)):
+        local_frame(spark, [], schema).write.mode("ignore").parquet(f"{store}/{name}")
 
 
 def read_headlines(spark: SparkSession, path: str) -> DataFrame:
-    """Stored headlines; an empty table where there was none yet."""
-    return _open(spark, path, HEADLINES)
+    """Stored headlines; a path without a table is an error (see `create_store`)."""
+    return spark.read.schema(HEADLINES).parquet(path)
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """Stored scores; selecting ``headline_id`` alone reads that one column."""
-    return _open(spark, path, SCORES)
+    return spark.read.schema(SCORES).parquet(path)
 
 
 def _append(rows: DataFrame, path: str, schema: T.StructType, counts: dict[str, Column]) -> dict[str, int]:
@@ -43,12 +43,6 @@ def append_headlines(new: DataFrame, path: str) -> int:
     return _append(new, path, HEADLINES, {"rows": F.count(F.lit(1))})["rows"]
 
 
-def append_headlines_by_ticker(new: DataFrame, path: str, tickers: list[str]) -> dict[str, int]:
-    """The same, with the count of every given ticker, 0 included."""
-    counts = {ticker: F.count_if(F.col("ticker") == ticker) for ticker in tickers}
-    return _append(new, path, HEADLINES, counts)
-
-
 def append_scores(new: DataFrame, path: str) -> int:
     return _append(new, path, SCORES, {"rows": F.count(F.lit(1))})["rows"]
 
@@ -62,6 +56,6 @@ def save_bucketed(table: DataFrame, name: str, key: str, buckets: int, path: str
 
 
 def write_results(folder: str, **tables: DataFrame) -> None:
-    """Result tables (daily, equity, metrics) as parquet: the data behind the charts."""
+    """Result tables (daily, equity, metrics) as parquet in a new folder: the data behind the charts."""
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        table.write.mode("errorifexists").parquet(f"{folder}/{name}")

@@ -1,12 +1,14 @@
-"""Daily sentiment over a stream of scored headlines."""
+"""Daily sentiment over a stream of scored headlines: exact by partial sums, or windowed with a watermark."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import utc_day
+from ..operators.daily import daily_from_partials, daily_partials
 
 
 def daily_stream(scored: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -14,7 +16,7 @@ def daily_stream(scored: DataFrame, delay: str = "1 day") -> DataFrame:
 
     In append mode a day comes out once the watermark has passed its end; rows later than
     ``delay`` are dropped, and copies of a (source, url) are recognized within that delay only.
-    The batch form has neither limit and stays the reference for closed days.
+    `daily_partials_stream` has neither limit; this form is for consumers of closed days only.
 
     ``published_at`` is an instant (Spark takes no zone-less time as event time).
     """
@@ -33,3 +35,20 @@ def daily_stream(scored: DataFrame, delay: str = "1 day") -> DataFrame:
         )
         .select("ticker", utc_day(F.col("day.start"), T.TimestampType()).alias("date"), "sentiment", "n", "confidence")
     )
+
+
+def daily_partials_stream(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the partials of each batch below ``path``, in a folder of its own, then stops.
+
+    A batch that runs again replaces its folder, so every row counts once, however late it is. Rows should be
+    those that `insert_if_absent` let through: copies that are in the stream count.
+    """
+    def add(batch: DataFrame, batch_id: int) -> None:
+        daily_partials(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return scored.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_daily(spark, path: str) -> DataFrame:
+    """The complete daily table from all partials below a path."""
+    return daily_from_partials(spark.read.parquet(path))

@@ -10,30 +10,39 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.keyed import fits_broadcast, insert_if_absent
 from ..operators.normalize import normalize_news, normalize_posts
-from ..operators.scoring import score_pending
+from ..operators.scoring import score, score_pending
+from ..session import materialize
 from ..sources.landed import arrival, parse_listing, parse_news
-from ..sources.tables import append_headlines, append_scores, read_headlines, read_scores
+from ..sources.tables import append_headlines, append_scores, create_store, read_headlines, read_scores
+
+
+def score_leftovers(spark: SparkSession, store: str, score_backend: str, **score_options) -> int:
+    """Scores all stored headlines without a score, such as those of a run that was cut short; returns how many."""
+    pending = score_pending(
+        read_headlines(spark, f"{store}/headlines"), read_scores(spark, f"{store}/scores"), score_backend, **score_options
+    )
+    return append_scores(pending, f"{store}/scores")
 
 
 def ingest_batch(
     rows: DataFrame, store: str, score_backend: str | None = None, **score_options
 ) -> tuple[int, int]:
-    """Stores the new ones of some headline rows, and scores what has no score; returns both counts.
+    """Stores the new ones of some headline rows, and scores them; returns both counts.
 
-    Running it again on the same rows stores nothing, so a replayed batch is harmless. A batch
-    that measures small has its keys broadcast against the stored ones.
+    Running it again on the same rows stores nothing, so a replayed batch is harmless. The rows are
+    computed once; a batch that measures small has its keys broadcast against the stored ones. Only the
+    batch's own new rows are scored (`score_leftovers` is for older ones). The store must exist.
     """
     spark = rows.sparkSession
-    headlines, scores = f"{store}/headlines", f"{store}/scores"
-    small = fits_broadcast(rows.select("source", "url"))
-    new = insert_if_absent(rows, read_headlines(spark, headlines), small_batch=small)
-    inserted = append_headlines(new, headlines)
+    rows = materialize(rows, "batch")
+    small = fits_broadcast(rows.select("source", "url").distinct())
+    new = insert_if_absent(rows, read_headlines(spark, f"{store}/headlines"), small_batch=small)
     if score_backend is None:
-        return inserted, 0
-    pending = score_pending(
-        read_headlines(spark, headlines), read_scores(spark, scores), score_backend, **score_options
-    )
-    return inserted, append_scores(pending, scores)
+        return append_headlines(new, f"{store}/headlines"), 0
+    new = materialize(new, "new-headlines")
+    inserted = append_headlines(new, f"{store}/headlines")
+    scores = score(new.select("headline_id", "ticker", "title"), score_backend, **score_options)
+    return inserted, append_scores(scores, f"{store}/scores")
 
 
 def ingest_stream(
@@ -53,6 +62,9 @@ def ingest_stream(
     ``kind`` is ``news`` or ``forum`` (which needs a watchlist). The checkpoint remembers the
     files; the store itself remembers the keys, so a lost checkpoint costs time, not rows.
     """
+    create_store(spark, store)
+    if score_backend is not None:
+        score_leftovers(spark, store, score_backend, **score_options)
     lines = (
         spark.readStream.format("text")
         .option("maxFilesPerTrigger", files_per_batch)
