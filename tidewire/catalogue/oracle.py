@@ -273,13 +273,37 @@ daily as (
   select ticker, cast(make_timestamp(published_at) as date) as date,
          avg(round_even(total / sqrt(total * total + 15), 4)) as sentiment
   from landed join sums using (url) group by 1, 2),
+forum_daily as (
+  select ticker, cast(make_timestamp(published_at) as date) as date from mentions where ticker = 'EN' group by 1, 2),
 prices2 as (
   select * from prices
   where ticker in (select ticker from daily)
     and date >= (select greatest(min(date) - 3, date '2024-03-01' - 365) from daily)
     and date < (select max(date) + 3 from daily)),
 {(RETURNS + ',' + SIGNAL).replace('prices', 'prices2')}
-{METRICS}, cast(0 as bigint) as inserted_again"""
+{METRICS}, cast(0 as bigint) as inserted_again,
+  (select count(*) from daily) + (select count(*) from forum_daily) as daily_rows, (select count(*) from forum_daily) as forum_days"""
+
+
+def _scored_stream() -> str:
+    """Stored rows of both feeds (of a forum post, the first ticker by name) with their scores."""
+    words = ", ".join(f"('{word}', cast({value} as double))" for word, value in b.EVENT_WORDS)
+    label = "case when score >= 0.05 then 'positive' when score <= -0.05 then 'negative' else 'neutral' end"
+    return f"""with {NEWS}, {FORUM},
+words(word, valence) as (values {words}),
+news_tokens as (select url, ticker, unnest(string_split(title, ' ')) as token from news where usable),
+news_sums as (
+  select url, ticker, sum(coalesce(w.valence, 0)) as total
+  from news_tokens t left join words w on w.word = t.token where length(t.token) > 1 group by 1, 2),
+news_scores as (select url, ticker, coalesce(round_even(total / sqrt(total * total + 15), 4), 0) as score from news_sums),
+stored_posts as (
+  select url, min(ticker) as ticker, any_value(substring(title, 1, 500)) as title from mentions
+  where ticker in ({_strings(b.LANGUAGES)}) group by url),
+post_texts as (select url as id, title as text from stored_posts),
+{_lexicon('post_texts')}
+select 'yfinance' as source, url, ticker, {label} as label, round(1e-9 + score, 6) as score from news_scores
+union all
+select 'reddit', url, ticker, label, round(1e-9 + score, 6) from lexicon_scores join stored_posts on url = headline_id"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -406,6 +430,8 @@ _ORACLE: dict[str, str] = {
     "dashboard": f"{_DASHBOARD} {METRICS}",
     "ingest_stream": f"""with {NEWS} select sha256('yfinance' || chr(31) || url) as headline_id,
        ticker, title, url, published_at, publisher from news where usable""",
+    "ingest_score_stream": _scored_stream(),
+    "rejected_lines": "select count(*) as rejected from documents where doc_id % 10 = 0",
     "daily_stream": f"with {EVENTS} {_ROUNDED_DAILY}",
     "daily_stream_closed_days": f"""with {EVENTS} {_ROUNDED_DAILY}
        where date + interval 1 day <= (select max(ts) - interval 1 day from events)""",

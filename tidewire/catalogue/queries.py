@@ -13,7 +13,7 @@ from ..functions import first_time, item_times, key_id, label_of, parse_watchlis
 from ..plans import RunConfig, dashboard_tables, run_end_to_end
 from ..schemas import LEXICON
 from ..session import fresh_dir, local_frame
-from ..sources import read_headlines
+from ..sources import read_headlines, read_scores, rejected
 from ..sources.landed import parse_listing, parse_news
 from . import bindings as b
 
@@ -409,7 +409,7 @@ def end_to_end(spark, sf):
         forum_path=forum,
         prices_path=prices,
         store=fresh_dir(spark, "store"),
-        watch="click, error, view, signup",
+        watch="click, error, view, signup, en",
         as_of=b.AS_OF,
         backend="vader",
         score_options={"lexicon": local_frame(spark, b.EVENT_WORDS, LEXICON)},
@@ -417,7 +417,10 @@ def end_to_end(spark, sf):
     run_end_to_end(spark, config)
     again = run_end_to_end(spark, config)
     inserted = again["inserted"].agg(F.sum("inserted")).scalar()
-    return again["metrics"].select(*_metrics(), inserted.alias("inserted_again"))
+    days = again["daily"].agg(F.count("*")).scalar()
+    forum_days = again["daily"].where("ticker = 'EN'").agg(F.count("*")).scalar()
+    return again["metrics"].select(
+        *_metrics(), inserted.alias("inserted_again"), days.alias("daily_rows"), forum_days.alias("forum_days"))
 
 
 @_query
@@ -477,6 +480,31 @@ def ingest_stream(spark, sf):
     )
 
 
+@_query
+def ingest_score_stream(spark, sf):
+    """News and forum files through the stream, each scored as it is stored."""
+    store, forum = fresh_dir(spark, "store"), fresh_dir(spark, "landed-forum")
+    b.document_listing_lines(spark, sf).select("value").write.text(forum)
+    streaming.ingest_stream(
+        spark, _landed(spark, sf), store, fresh_dir(spark, "stream"), b.as_of(), score_backend="vader",
+        lexicon=local_frame(spark, b.EVENT_WORDS, LEXICON),
+    ).awaitTermination()
+    streaming.ingest_stream(
+        spark, forum, store, fresh_dir(spark, "stream"), b.as_of(), kind="forum", watch=b.LANGUAGES, score_backend="vader",
+        lexicon=b.lexicon(spark), rules=b.PROSE_RULES,
+    ).awaitTermination()
+    frame = op.scored_frame(read_headlines(spark, f"{store}/headlines"), read_scores(spark, f"{store}/scores"))
+    return frame.select("source", "url", "ticker", "label", r6("score"))
+
+
+@_query
+def rejected_lines(spark, sf):
+    """Lines of a landed file that are no JSON: here, every tenth document is cut in the middle."""
+    lines = b.document_listing_lines(spark, sf)
+    cut = F.when(F.col("seq.line") % 10 == 0, F.expr("substring(value, 1, length(value) div 2)")).otherwise(F.col("value"))
+    return rejected(lines.select(cut.alias("value"), "seq")).agg(F.count("*").alias("rejected"))
+
+
 def _event_stream(spark, sf):
     schema = b.table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)

@@ -1,7 +1,7 @@
 """Raw inputs as they land: news items, forum listings, daily closes.
 
 Fetching over the network is left to whatever lands the files. A feed that failed has no lines,
-and a line that is not JSON has no row, so one bad feed never stops the others.
+and a line that is not JSON has no row, so one bad feed never stops the others; `rejected` lists such lines.
 """
 
 from __future__ import annotations
@@ -70,6 +70,15 @@ def parse_listing(lines: DataFrame) -> DataFrame:
     )
 
 
+def rejected(lines: DataFrame) -> DataFrame:
+    """The lines (value, seq) that hold no JSON, which `parse_news` and `parse_listing` pass over; empty lines are none."""
+    return lines.where(F.try_parse_json("value").isNull() & (F.trim("value") != ""))
+
+
+def read_rejected(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return rejected(_lines(spark, path))
+
+
 def read_news(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_news(_lines(spark, path))
 
