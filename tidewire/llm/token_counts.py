@@ -63,9 +63,11 @@ _COUNTING: dict[str, Counting] = {}
 
 
 def _counting(spec) -> Counting:
-    if not _COUNTING:
-        _COUNTING["one"] = Counting(spec.value)
-    return _COUNTING["one"]
+    """The worker's tokenizer; tasks with another one replace it."""
+    if spec.value not in _COUNTING:
+        _COUNTING.clear()
+        _COUNTING[spec.value] = Counting(spec.value)
+    return _COUNTING[spec.value]
 
 
 def _blocks(spec, block_bytes: int):
