@@ -179,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """Rows of ``docs`` that hold no item, with all their columns."""
-    leaks = contaminated(docs, benchmark, size, threshold).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
-    tagged = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_texthash": F.xxhash64("text")})
-    on = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_texthash") == F.col("_hash"))
-    return tagged.join(leaks, on, "left_anti").select(*docs.columns)
+    leaks = contaminated(docs, benchmark, size, threshold).select("doc_id", "hash").distinct().toDF("bad_id", "bad_hash")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    on = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash"))
+    return rows.join(leaks, on, "left_anti").select("row.*")

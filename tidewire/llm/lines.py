@@ -153,11 +153,11 @@ def deduped_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batch
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4) -> DataFrame:
     """``docs`` with the texts that `deduped_lines` leaves; rows and other columns stay, also where nothing is left."""
-    dropped = repeated_lines(docs, min_docs, min_chars, batches).toDF("_id", "_old", "_dropped")
+    dropped = repeated_lines(docs, min_docs, min_chars, batches).toDF("cut_id", "cut_hash", "dropped")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tagged = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_hash": F.xxhash64(text)})
-    joined = tagged.join(dropped, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_old")), "left")
-    kept = let(F.split(text, "\n"), lambda lines: F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped")), lambda at: F.get(lines, at)), "\n"))
-    new = F.when(F.col("_dropped").isNull(), F.col("text").cast("string")).otherwise(kept).alias("text")
-    return joined.select(*[new if c == "text" else joined[c] for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"))
+    joined = rows.join(dropped, F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("hash") == F.col("cut_hash")), "left")
+    kept = let(F.split(F.coalesce("row.text", F.lit("")), "\n"), lambda lines: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped")), lambda at: F.get(lines, at)), "\n"))
+    new = F.when(F.col("dropped").isNull(), F.col("row.text").cast("string")).otherwise(kept).alias("text")
+    return joined.select(*[new if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

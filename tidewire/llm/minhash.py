@@ -225,12 +225,12 @@ def _cells(members: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, hash, n_shingles, component_id`` of each row of ``docs`` (doc_id long, text string).
+    """``doc_id, hash, n_shingles, component_id, root`` of each row of ``docs`` (doc_id long, text string).
 
     Rows are linked if their sets of ``size``-word shingles have a Jaccard similarity of at least
     ``percent`` / 100; ``component_id`` is the least doc_id that links reach. ``hash`` is the 64-bit hash
-    of the text. Texts with fewer words have one shingle of all their words; null, empty and blank texts
-    have none, are linked with nothing and are their own component. Rows that repeat a doc_id are rows
+    of the text, ``root`` tells components apart also where doc_ids repeat. Texts with fewer words have one shingle of all their words; null, empty and blank texts
+    have none, are linked with nothing and are their own component (null root). Rows that repeat a doc_id are rows
     of their own. A null doc_id stays null unless a link reaches another; it is never the least one.
     Other columns are ignored.
     """
@@ -273,9 +273,9 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     root = F.coalesce("root", "class")
     named = classes.select("class", "doc_id").join(found.withColumnRenamed("node", "class"), "class", "left")
     least = named.groupBy(root.alias("root")).agg(F.min("doc_id").alias("component_id"))
-    named = named.select("class", root.alias("root")).join(least, "root").select("class", "component_id")
+    named = named.select("class", root.alias("root")).join(least, "root").select("class", "component_id", "root")
     return signed_rows.drop("keys").join(named, "class", "left").select(
-        "doc_id", "hash", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", "hash", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -284,11 +284,11 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     Rows without words are kept. Repeated rows are one document and are kept once. All columns stay.
     """
     groups = near_groups(docs, size, percent)
-    best = groups.where("n_shingles > 0").groupBy("component_id").agg(
+    best = groups.where("root is not null").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")).alias("best")).select(
         F.col("best.doc_id").alias("kept_id"), F.col("best.hash").alias("kept_hash"))
-    none = groups.where("n_shingles = 0").select(F.col("doc_id").alias("kept_id"), F.col("hash").alias("kept_hash"))
+    none = groups.where("root is null").select(F.col("doc_id").alias("kept_id"), F.col("hash").alias("kept_hash"))
     kept = best.union(none).distinct()
-    ids = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
-    return ids.join(kept, F.col("_id").eqNullSafe(F.col("kept_id")) & (F.col("_hash") == F.col("kept_hash"))).dropDuplicates(
-        ["_id", "_hash"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    on = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
+    return rows.join(kept, on).dropDuplicates(["id", "hash"]).select("row.*")

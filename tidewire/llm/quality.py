@@ -108,9 +108,9 @@ def quality_rules(docs: DataFrame, **limits) -> DataFrame:
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """Rows of ``docs`` that `quality_rules` keeps, with all their columns."""
-    gone = depleted_texts(docs, **limits).select(F.col("host").alias("_h"), F.col("hash").alias("_hash"))
-    failed = text_rules(docs).where("base_failed").select(F.col("host").alias("_h"), F.col("hash").alias("_hash"))
-    bad = gone.union(failed).distinct()
+    failed = text_rules(docs).where("base_failed").select("host", "hash")
+    bad = depleted_texts(docs, **limits).select("host", "hash").union(failed).distinct().toDF("bad_host", "bad_hash")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tagged = docs.withColumns({"_host": F.col("source").cast("string"), "_texthash": F.xxhash64(text)})
-    return tagged.join(bad, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_texthash") == F.col("_hash")), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").cast("string").alias("host"), F.xxhash64(text).alias("hash"))
+    on = F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("hash") == F.col("bad_hash"))
+    return rows.join(bad, on, "left_anti").select("row.*")
