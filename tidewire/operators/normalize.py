@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import headline_id, mentions, normal_watchlist
 from ..functions.times import NESTED_TIME_FIELDS, TIME_FIELDS, epoch_or, first_time, time_fields
+from ..session import local_frame
 
 # Fixed values.
 NEWS_SOURCE = "yfinance"
@@ -64,12 +65,10 @@ def normalize_news(raw: DataFrame, as_of: Column, watch: str | Iterable[str] | N
     the publisher follows the same condition. Rows without a title or url drop out. With a
     watchlist, only its tickers pass, and its order comes first in the arrival order.
     """
-    ticker = F.upper("ticker")
-    rank = F.lit(0)
+    ticker, rank, wanted = F.upper("ticker"), F.lit(0), None
     if watch is not None:
         wanted = normal_watchlist(watch)
         raw = raw.where(ticker.isin(wanted))
-        rank = F.array_position(F.lit(wanted), F.col("ticker")).cast("int")
     # One typed read of the item. It is the output of a generator, since a plain expression would be
     # repeated in every filter that is pushed below it.
     flat = raw.select(
@@ -90,6 +89,10 @@ def normalize_news(raw: DataFrame, as_of: Column, watch: str | Iterable[str] | N
         times.alias("times"),
     ).where("title is not null and url is not null")
     rows = rows.withColumn("published_at", first_time(F.col("times"), as_of))
+    if wanted is not None:
+        # the names come from an argument
+        places = local_frame(raw.sparkSession, [(name, place) for place, name in enumerate(wanted, 1)], "ticker string, place int")
+        rows, rank = rows.join(F.broadcast(places), "ticker"), F.col("place")
     return _headline(rows, NEWS_SOURCE, rank)
 
 

@@ -1,4 +1,7 @@
-"""Table schemas. Every table is declared; nothing is inferred from data."""
+"""Table schemas. Every table is declared; nothing is inferred from data.
+
+Names and order of the columns are fixed values: the contract of the tables.
+"""
 
 from __future__ import annotations
 
