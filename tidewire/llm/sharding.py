@@ -67,7 +67,7 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
 
 
 def uniform_shards(rows: DataFrame, shards: int, seed: int = 7, max_parts: int = MAX_PARTS, strips: int = STRIPS) -> DataFrame:
-    """``rows`` with ``shard`` (0 to shards - 1) and ``slot`` (from 0, gapless in each shard).
+    """``rows`` with ``shard`` (0 to shards - 1) and ``slot`` (long, from 0, gapless in each shard).
 
     Counts of shards are at most one apart; which rows get where is a uniform permutation. Columns, nulls and
     repeated rows don't matter: rows are told apart by a number given when they're written. Columns of ``rows`` that are
@@ -95,6 +95,6 @@ def uniform_shards(rows: DataFrame, shards: int, seed: int = 7, max_parts: int =
     offsets = sizes.select("shard", "_strip", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     at = F.row_number().over(Window.partitionBy("shard", "_strip").orderBy(*order(2)))
     # shards x strips rows
-    placed = dealt.join(F.broadcast(offsets), ["shard", "_strip"]).withColumn("slot", (F.col("_offset") + at - 1).cast("int"))
+    placed = dealt.join(F.broadcast(offsets), ["shard", "_strip"]).withColumn("slot", (F.col("_offset") + at - 1).cast("long"))
     own = [F.col(f"row.`{c}`").alias(f"_{c}" if c.lower() in ("shard", "slot") else c) for c in rows.columns]
     return placed.select(*own, "shard", "slot")
