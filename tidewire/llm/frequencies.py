@@ -13,7 +13,7 @@ from collections import Counter
 import numpy as np
 
 #: Bytes of text in a block (a longer text is a block of its own).
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 32_000_000
 
 
 def pack(codes: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:

@@ -33,6 +33,10 @@ BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{
 UNSURE = re.compile("[^\0-՗Ḁ-ỿ‐-‧ぁ-ゖァ-ヺ一-鿿가-힣]")
 
 
+#: Rows that a task gathers before it packs them by block.
+OUT_ROWS = 200_000
+
+
 class Counting:
     """Cuts texts into pre-tokens and counts the pieces of a pre-token, for a byte-level tokenizer."""
 
@@ -99,28 +103,44 @@ def _blocks(spec, block_bytes: int):
     return run
 
 
+def _packed_by_block(blocks: np.ndarray, codes: np.ndarray, pieces: np.ndarray) -> pa.RecordBatch:
+    """One row per block with the numbers of its tokens and their pieces."""
+    order = np.argsort(blocks, kind="stable")
+    blocks, codes, pieces = blocks[order], codes[order], pieces[order]
+    edges = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1, append=blocks[-1:] + 1))
+    rows = [(int(blocks[a]), *pack(codes[a:b], pieces[a:b])) for a, b in zip(edges, edges[1:])]
+    kinds = [pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 3, kinds)], ["block", "codes", "pieces"])
+
+
 def _count_once(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counting, last, pieces = _counting(spec), None, 0
+        held, n = [], 0
         for batch in batches:  # sorted by token
+            if not batch.num_rows:
+                continue
             tokens = batch.column("token").dictionary_encode()
             distinct = tokens.dictionary.to_pylist()
-            found = np.zeros(len(distinct), np.int32)
-            start = 1 if distinct and distinct[0] == last else 0
-            if start:
-                found[0] = pieces
-            found[start:] = counting.pieces(distinct[start:])
-            if distinct:
-                last, pieces = distinct[-1], int(found[-1])
-            per_row = found[tokens.indices.to_numpy()] if distinct else found
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(per_row, pa.int32())], ["block", "code", "pieces"])
+            start = int(distinct[0] == last)
+            found = np.array([pieces] * start + counting.pieces(distinct[start:]), np.int64)
+            last, pieces = distinct[-1], int(found[-1])
+            held.append((batch.column("block").to_numpy(), batch.column("code").to_numpy(), found[tokens.indices.to_numpy()]))
+            n += batch.num_rows
+            if n >= OUT_ROWS:
+                yield _packed_by_block(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if held:
+            yield _packed_by_block(*map(np.concatenate, zip(*held)))
 
     return run
 
 
 def _sum(docs: pa.Table, counted: pa.Table) -> pa.Table:
-    pieces = np.zeros(max(counted.num_rows, 1), np.int64)
-    pieces[counted.column("code").to_numpy()] = counted.column("pieces").to_numpy()
+    parts = [unpack(c, p) for c, p in zip(counted.column("codes").to_pylist(), counted.column("pieces").to_pylist())]
+    pieces = np.zeros(sum(len(at) for at, _ in parts), np.int64)  # every number of the block once
+    for at, n in parts:
+        pieces[at] = n
     totals = []
     for codes, counts in zip(docs.column("codes").to_pylist(), docs.column("counts").to_pylist()):
         at, n = unpack(codes, counts)
@@ -145,7 +165,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, block_bytes
         _blocks(spec, block_bytes), "block long, doc_id long, n_bytes long, codes binary, counts binary, tokens array<string>"), "frequencies")
     tokens = held.where("tokens is not null").select("block", F.posexplode("tokens").alias("code", "token"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_count_once(spec), "block long, code int, pieces int")
+    counted = tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_count_once(spec), "block long, codes binary, pieces binary")
     rows = held.where("tokens is null").select("block", "doc_id", "n_bytes", "codes", "counts")
     summed = rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
     return summed.select("*", (F.col("n_tokens") > limit).alias("over_limit"))
