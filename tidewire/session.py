@@ -40,7 +40,7 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 def materialize(frame: DataFrame, name: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: computed once, safe from lost executors."""
     path = fresh_dir(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
