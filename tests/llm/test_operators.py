@@ -158,6 +158,61 @@ def test_passages_resist_insertions(spark):
     assert all(passage not in got[i]["kept_text"] and 0 in got[i]["holders"] for i in range(1, 40))
 
 
+def passages_by_brute_force(docs, min_words):
+    """doc_id -> bytes of windows of whole words, and of runs of equal bytes, that a smaller doc_id holds."""
+    out = {}
+    for i, t in docs:
+        data = np.frombuffer(t.encode(), np.uint8)
+        count = chunks.word_counts(data)
+        begins, least, most = np.flatnonzero(np.diff(count)), np.zeros(len(data), bool), np.zeros(len(data), bool)
+        for j, other in docs:
+            if j < i:
+                theirs = np.frombuffer(other.encode(), np.uint8)
+                own = set(np.flatnonzero(np.diff(chunks.word_counts(theirs))).tolist())
+                for shift in range(-len(theirs), len(data)):
+                    for start, end in chunks.equal_runs(data, theirs, shift):
+                        start, end = chunks.at_characters(data, start, end)
+                        most[start:end] |= count[end] - count[start] >= min_words
+                        inside = [b for b in begins[count[start] : count[end]].tolist() if b - shift in own]
+                        if len(inside) >= min_words:
+                            ends = [b + len(data[b:].tobytes().split()[0]) for b in inside]
+                            whole = [e for e in ends if e <= end and not theirs[e - shift : e - shift + 1].tobytes().strip()]  # in both texts
+                            least[inside[0] : whole[-1] if len(whole) >= min_words else inside[-1] + 1] = True
+                            least[inside[-1]] = True
+        out[i] = least, most
+    return out
+
+
+def marked(row):
+    mine = np.zeros(row["n_bytes"], bool)
+    for start, end in row["spans"]:
+        mine[start:end] = True
+    return mine
+
+
+def test_passages_of_later_holders(spark):
+    draw = random.Random(11)
+    line = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randrange(2, 8))) for _ in range(n))
+    for _ in range(3):
+        passage = line(60).split()
+        cut = lambda a, b: "\n".join([line(15), " ".join(passage[a:b]), line(15)])  # noqa: B023, E731
+        docs = [(1, cut(0, 42)), (2, cut(18, 60)), (3, cut(0, 60)), (4, cut(0, 60)), (5, cut(5, 56)), (6, cut(0, 49))]
+        got = {r["doc_id"]: r for r in chunks.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert [got[i]["n_spans"] for i, _ in docs] == [0, 0, 0, 1, 1, 0]
+        for i, (least, most) in passages_by_brute_force(docs, 50).items():
+            assert (least <= marked(got[i])).all() and (marked(got[i]) <= most).all()
+
+
+@pytest.mark.parametrize("min_words", [1, 6])
+def test_passages_of_few_short_words(spark, min_words):
+    draw = random.Random(12)
+    docs = [(i, draw.choice(["", " "]) + "".join(draw.choice("aab \u00e9") for _ in range(90))) for i in range(8)]
+    got = {r["doc_id"]: r for r in chunks.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), min_words).collect()}
+    for i, (least, most) in passages_by_brute_force(docs, min_words).items():
+        whole = np.frombuffer(docs[i][1].encode(), np.uint8) < 128  # parts of characters stay
+        assert (least <= marked(got[i]))[whole].all() and (marked(got[i]) <= most).all()
+
+
 def test_gear_rolls():
     data = np.frombuffer(random.Random(1).randbytes(500), np.uint8)
     h, want = 0, []

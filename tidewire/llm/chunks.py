@@ -1,11 +1,14 @@
-"""Substring dedup by content-defined chunking.
+"""Substring dedup by content-defined chunking and keys of whole passages.
 
 1. *Chunks.* A gear hash rolls over the bytes of a text; a chunk ends where the upper bits of the hash are below a
    limit. As only the last 16 bytes decide, equal passages are cut alike wherever they stand, and an
    insertion shifts nothing beyond the chunk it falls in. Chunks of fewer than ``MIN_CHUNK`` bytes aren't indexed.
-2. *Digests.* A digest that several texts hold points from each of them to its first holder (least doc_id): one pointer per
-   chunk, by an aggregate and a join on the digest, never all pairs of holders.
-3. *Spans.* Pointers from a text to one holder and on one diagonal are one candidate; the bytes of both texts
+2. *Windows.* A window runs from the begin of a word to the first character of the ``min_words``-th. It can only be repeated if
+   several texts hold each chunk that its own bytes decide; windows without such chunks may be, too. All of these get two
+   keys at each place where they occur: the hash of their bytes, and that with all of the last word.
+3. *Holders.* A key that several texts hold points from each place in the later ones to its first holder (least doc_id), which
+   has the whole window: one pointer per place, by an aggregate and a join on the key, never all pairs of holders.
+4. *Spans.* Pointers from a text to one holder and on one diagonal are one candidate; the bytes of both texts
    along the diagonal are compared, and runs of equal bytes with at least ``min_words`` words are repeated passages.
 
 Copies of a whole text are found first, by hash; only one of them takes part in the steps above.
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .words import mix
+from .words import HASHES, U64, mix, shingle_hashes
 
 #: Mean distance of cuts, least indexed and largest chunk, in bytes.
 MEAN_CHUNK, MIN_CHUNK, MAX_CHUNK = 24, 16, 512
@@ -41,36 +44,99 @@ def gear(data: np.ndarray) -> np.ndarray:
     return rolled
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of a text's bytes."""
-    ends = np.flatnonzero(gear(data) < (1 << 16) // MEAN_CHUNK) + 1
-    ends = np.unique(np.concatenate([ends, [len(data)]])) if len(data) else ends
+def cuts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the chunks of a text's bytes, and those of them that the hash gave."""
+    found = np.flatnonzero(gear(data) < (1 << 16) // MEAN_CHUNK) + 1
+    ends = np.unique(np.concatenate([found, [len(data)]])) if len(data) else found
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     long = np.flatnonzero(ends - starts > MAX_CHUNK)
     if len(long):  # without a cut for very long: cut at fixed distances from the last one
         more = [np.arange(starts[i] + MAX_CHUNK, ends[i], MAX_CHUNK) for i in long]
         ends = np.unique(np.concatenate([ends, *more]))
-    return ends
+    return ends, found
+
+
+def chunks_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and digests of the indexed chunks: those that the bytes from 16 before their start decide."""
+    ends, found = cuts(np.frombuffer(data, np.uint8))
+    starts = np.concatenate([[0], ends[:-1]])
+    keep = (ends - starts >= MIN_CHUNK) & np.isin(starts, found) & ((ends < len(data)) | np.isin(ends, found))
+    starts, ends = starts[keep], ends[keep]
+    return starts, ends, np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), U64, len(starts))
 
 
 def _chunking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns: list[list] = [[], [], [], []]
-        for doc_id, text_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_id", "text"))):
-            data = text.encode()
-            ends = cuts(np.frombuffer(data, np.uint8))
-            starts = np.concatenate([[0], ends[:-1]])
-            keep = ends - starts >= MIN_CHUNK
-            starts, ends = starts[keep], ends[keep]
-            digests = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
-            _, first = np.unique(digests, return_index=True)  # of repeats within a text, the first
-            columns[0].append(digests[first].view(np.int64))
-            columns[1].append(np.full(len(first), doc_id, np.int64))
-            columns[2].append(np.full(len(first), text_id, np.int64))
-            columns[3].append(starts[first].astype(np.int32))
-        kinds = [np.int64, np.int64, np.int64, np.int32]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([np.zeros(0, k), *c])) for k, c in zip(kinds, columns)], ["digest", "doc_id", "text_id", "start"])
+        digests, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for text_id, text in zip(batch.column("text_id").to_pylist(), batch.column("text").to_pylist()):
+            own = np.unique(chunks_of(text.encode())[2])
+            digests.append(own.view(np.int64))
+            owners.append(np.full(len(own), text_id, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digests)), pa.array(np.concatenate(owners))], ["digest", "text_id"])
+
+
+def first_characters(data: bytes, at: np.ndarray) -> np.ndarray:
+    """The UTF-8 bytes of the characters that begin at some places, as numbers."""
+    padded = np.frombuffer(data + b"   ", np.uint8)
+    code, inside = padded[at].astype(U64), np.ones(len(at), bool)
+    for shift in (1, 2, 3):
+        inside &= padded[at + shift] & 0xC0 == 0x80
+        code = np.where(inside, code << U64(8) | padded[at + shift], code)
+    return code
+
+
+def windows(data: bytes, repeated: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and keys of the windows in which all chunks are among the ``repeated`` digests."""
+    begins = np.flatnonzero(np.diff(word_counts(np.frombuffer(data, np.uint8))))
+    n = len(begins) - min_words + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    last = begins[min_words - 1 :]
+    starts, ends, digests = chunks_of(data)
+    single = ~np.isin(digests, repeated)
+    # a chunk lies in the windows from the first that ends behind it to the last that begins 16 bytes before it
+    low = np.searchsorted(last + 1, ends[single])
+    high = np.searchsorted(begins[:n], starts[single] - 16, "right")
+    low, high = low[low < high], high[low < high]
+    closed = np.zeros(n + 1, np.int64)
+    np.add.at(closed, low, 1)
+    np.add.at(closed, high, -1)
+    at = np.flatnonzero(np.cumsum(closed[:n]) == 0)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    edges = [*begins.tolist(), len(data)]
+    tokens = [data[a:b] for a, b in zip(edges, edges[1:])]  # with the white space behind
+    final = [x.rstrip() for x in tokens[min_words - 1 :]]
+    keys = np.concatenate([mix(first_characters(data, last) + U64(1)), mix(HASHES.of(final))])
+    if min_words > 1:
+        keys = mix(keys ^ np.tile(shingle_hashes(HASHES.of(tokens[:-1]), min_words - 1), 2))
+    return np.tile(begins[at], 2), keys[np.concatenate([at, at + n])]
+
+
+def _keying(min_words: int):
+    names, kinds = ["key", "doc_id", "text_id", "start"], [np.int64, np.int64, np.int64, np.int32]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[], [], [], []]
+            total = 0
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *c])) for k, c in zip(kinds, columns)], names)
+
+            for doc_id, text_id, text, digests in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_id", "text", "digests"))):
+                starts, keys = windows(text.encode(), np.array(digests or [], np.int64).view(U64), min_words)
+                columns[0].append(keys.view(np.int64))
+                columns[1].append(np.full(len(keys), doc_id, np.int64))
+                columns[2].append(np.full(len(keys), text_id, np.int64))
+                columns[3].append(starts.astype(np.int32))
+                total += len(keys)
+                if total > 300_000:
+                    yield out()
+                    columns, total = [[], [], [], []], 0
+            yield out()
+
+    return run
 
 
 def word_counts(data: np.ndarray) -> np.ndarray:
@@ -148,8 +214,8 @@ def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``doc_id, n_bytes, n_spans, dropped_bytes, spans, holders, kept_text, kept_sha256`` of each row of ``docs`` (doc_id, text).
 
-    A passage is dropped if a text with a smaller doc_id holds it, too, and it has at least ``min_words`` words (begun in
-    it). ``spans`` are [start, end) in UTF-8 bytes, ``holders`` the doc_ids that the passages were compared with.
+    A passage is dropped, wherever it stands, if a text with a smaller doc_id holds it, too, and it has at least ``min_words``
+    words (begun in it, and in the other text). ``spans`` are [start, end) in UTF-8 bytes, ``holders`` the doc_ids that the passages were compared with.
     A copy of a whole text with as many words is dropped whole, of equal doc_ids all but the first; shorter copies stay. Null, empty and blank texts lose
     nothing; their kept text is empty if null. A null doc_id counts as larger than all others. Other columns are ignored.
     """
@@ -159,18 +225,23 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     last = F.lit((1 << 63) - 1)
     texts = hashed.where("length(text) > 0").groupBy("text_id", "check").agg(F.min(F.coalesce("doc_id", last)).alias("least"), F.count("*").alias("copies"))
     texts = materialize(texts, "texts")
-    single = hashed.join(texts.drop("copies"), ["text_id", "check"]).where(F.coalesce("doc_id", last) == F.col("least"))
-    # rows that repeat both doc_id and text give the same chunks, which changes nothing
-    one = single.select(F.col("least").alias("doc_id"), "text_id", "text")
-    chunks = one.mapInArrow(_chunking, "digest long, doc_id long, text_id long, start int")
-    chunks = materialize(chunks, "chunks")
-    first = chunks.groupBy("digest").agg(
-        F.min(F.struct("doc_id", "text_id", "start")).alias("first"), F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a <> b").select("digest", "first")
-    pointers = chunks.join(first, "digest").where("text_id <> first.text_id").select(
+    # shorter texts hold no passage; copies give the same chunks, which changes nothing
+    long = hashed.where(F.length("text") >= 2 * min_words - 1)
+    chunks = materialize(long.select("text_id", "text").mapInArrow(_chunking, "digest long, text_id long"), "chunks")
+    shared = chunks.groupBy("digest").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a <> b").select("digest")
+    repeated = chunks.join(shared, "digest").groupBy("text_id").agg(F.collect_set("digest").alias("digests"))
+    known = texts.select("text_id", "check", "least").join(repeated, "text_id", "left")
+    one = long.join(known, ["text_id", "check"]).where(F.coalesce("doc_id", last) == F.col("least"))
+    keyed = one.select(F.col("least").alias("doc_id"), "text_id", "text", "digests").mapInArrow(
+        _keying(min_words), "key long, doc_id long, text_id long, start int")
+    keyed = materialize(keyed, "windows")
+    first = keyed.groupBy("key").agg(
+        F.min(F.struct("doc_id", "text_id", "start")).alias("first"), F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a <> b").select("key", "first")
+    pointers = keyed.join(first, "key").where("text_id <> first.text_id").select(
         "text_id", F.col("first.text_id").alias("holder_id"), (F.col("start") - F.col("first.start")).alias("shift"))
-    pairs = materialize(pointers.groupBy("text_id", "holder_id").agg(F.collect_set("shift").alias("shifts")), "pairs")
+    pairs = materialize(pointers.distinct().groupBy("text_id", "holder_id").agg(F.collect_list("shift").alias("shifts")), "pairs")
     wanted = pairs.select("text_id").union(pairs.select("holder_id")).distinct()
-    sources = materialize(one.select("text_id", "text").join(wanted, "text_id").dropDuplicates(["text_id"]), "sources")
+    sources = materialize(long.select("text_id", "text").join(wanted, "text_id").dropDuplicates(["text_id"]), "sources")
     joined = pairs.join(sources, "text_id").join(sources.toDF("holder_id", "holder_text"), "holder_id")
     spans = joined.mapInArrow(_comparing(min_words), "text_id long, start int, end int, holder_id long")
     names = texts.select(F.col("text_id").alias("holder_id"), F.col("least").alias("holder"))
