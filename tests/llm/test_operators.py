@@ -196,9 +196,10 @@ def test_passages_of_later_holders(spark):
     for _ in range(3):
         passage = line(60).split()
         cut = lambda a, b: "\n".join([line(15), " ".join(passage[a:b]), line(15)])  # noqa: B023, E731
-        docs = [(1, cut(0, 42)), (2, cut(18, 60)), (3, cut(0, 60)), (4, cut(0, 60)), (5, cut(5, 56)), (6, cut(0, 49))]
+        docs = [(1, cut(0, 42)), (2, cut(18, 60)), (3, cut(0, 60)), (4, cut(0, 60)), (5, cut(5, 56)), (6, cut(0, 49)),
+                (7, "\n".join([cut(0, 60), cut(0, 60), cut(3, 55)]))]  # three times in one text
         got = {r["doc_id"]: r for r in chunks.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-        assert [got[i]["n_spans"] for i, _ in docs] == [0, 0, 0, 1, 1, 0]
+        assert [got[i]["n_spans"] for i, _ in docs] == [0, 0, 0, 1, 1, 0, 3]
         for i, (least, most) in passages_by_brute_force(docs, 50).items():
             assert (least <= marked(got[i])).all() and (marked(got[i]) <= most).all()
 
