@@ -243,6 +243,36 @@ def test_leaks(spark, documents, doc_rows):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in doc_rows} - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_leaks_of_documents_shorter_than_the_item(spark, threshold):
+    draw = random.Random(9)
+    items = [(k, " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))) for k, n in enumerate([59, 59, 30, 15, 6, 5, 4])]
+    items.append((len(items), " ".join([items[0][1], "tail"])))  # shares its shingles with another
+    docs = []
+    for _, text in items:
+        own = text.split()
+        docs += [" ".join(own[a : len(own) - b]).upper() for a in (0, 1, 3, 7) for b in (0, 1, 4, 9) if len(own) > a + b]
+        docs.append(" ".join([*own[: len(own) // 2], *own[len(own) // 2 + 1 :]]))  # without a word in the middle
+    docs = list(enumerate(docs))
+
+    def weights(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1)))
+
+    want = {}
+    for i, text in docs:
+        for k, item in items:
+            w, x = text.lower().split(), item.split()
+            windows = [weights(w[a : a + len(x)]) for a in range(max(len(w) - len(x) + 1, 1))]
+            score = max((v & weights(x)).total() / (v | weights(x)).total() for v in windows)
+            if score >= threshold - 1e-9 and len(w) < len(x):
+                want[i, k] = (0, len(w), round(score, 9))
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(as_docs(spark, [t for _, t in docs]), frame, threshold=threshold).collect()
+    sizes = {k: len(t.split()) for k, t in items}
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["words"], round(r["similarity"], 9)) for r in found if r["words"] < sizes[r["item_id"]]}
+    assert want and got == want
+
+
 def test_blocks_find_all_within_radius():
     masks = decontaminate.block_masks()
     assert sum(masks) == (1 << 64) - 1 and len(masks) == decontaminate.RADIUS + 1

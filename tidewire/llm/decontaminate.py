@@ -9,6 +9,10 @@ them. Candidates are verified by the exact weighted Jaccard similarity of their
 A window whose similarity is at least t has 2t / (1 + t) of its shingles in common with an item of its
 length. Windows with fewer shingles of any item are therefore not fingerprinted; that loses nothing.
 
+A document with fewer words than an item is the one window for it. As the SimHash of a shorter window is further off, such
+a document isn't fingerprinted: each longer item that shares a shingle with it is compared exactly, where the
+numbers of shingles allow the threshold.
+
 The benchmark is taken in blocks of a bounded number of bytes, one pass over the documents for each
 block; its index is broadcast. Documents aren't shuffled.
 """
@@ -70,7 +74,11 @@ class ItemIndex:
             for table, mask in zip(tables, self.masks):
                 table[print_ & mask].append(len(self.items))
             self.items.append((item_id, print_, Counter(shingles.tolist())))
-        self.shingles = np.unique(np.concatenate(found)) if found else np.zeros(0, U64)
+        every = np.concatenate(found) if found else np.zeros(0, U64)
+        order = np.argsort(every, kind="stable")
+        #: Each occurrence of a shingle, sorted, and the item that it is in.
+        self.every, self.owners = every[order], np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])[order]
+        self.shingles = np.unique(every)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.shingles >> U64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
@@ -90,6 +98,19 @@ class ItemIndex:
                     near.add(item)
         return near
 
+    def longer(self, shingles: np.ndarray) -> Iterator[tuple[int, float]]:
+        """Items with more shingles than a whole document, and similarities of at least the threshold."""
+        n = len(shingles)
+        low, high = np.searchsorted(self.every, np.unique(shingles)), np.searchsorted(self.every, np.unique(shingles), "right")
+        weights = None
+        for item in np.unique(np.concatenate([self.owners[a:b] for a, b in zip(low, high)])).tolist():
+            theirs = self.items[item][2]
+            if n < theirs.total() <= n / self.threshold + 1e-9:
+                weights = weights or Counter(shingles.tolist())
+                score = similarity(weights, theirs)
+                if score >= self.threshold - 1e-9:
+                    yield item, score
+
     def matches(self, text: str | None) -> list[tuple[int, int, int, float]]:
         """Item, first word, words and similarity: the best window (leftmost of ties) for each item."""
         hashes = HASHES.of(words_of(text))
@@ -104,7 +125,7 @@ class ItemIndex:
             return []
         need = 2 * self.threshold / (1 + self.threshold)
         for length in self.tables:
-            if length > len(hashes):
+            if length > len(hashes):  # below
                 continue
             if length < self.size:  # its one shingle is all its words
                 windows = shingle_hashes(hashes, length)
@@ -125,6 +146,9 @@ class ItemIndex:
                     score = similarity(weights, self.items[item][2])
                     if score >= self.threshold - 1e-9:
                         best[item] = max(best.get(item, (0.0, 0, 0)), (score, -start, length))
+        # of n shingles and more than n of the item, t / (1 + t) of both together are in common
+        if len(long) and total[-1] >= need * len(long) - 1e-9:
+            best.update((item, (score, 0, len(hashes))) for item, score in self.longer(long))
         return [(self.items[item][0], -start, length, score) for item, (score, start, length) in best.items()]
 
 
@@ -158,7 +182,8 @@ def _blocks(items: Iterator, block_bytes: int) -> Iterator[list[tuple[int, str]]
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, hash, item_id, start, words, similarity`` of each row of ``docs`` and item found in it.
 
-    ``start`` and ``words`` give the best window (in words; the leftmost of ties). Words are lower-cased (A-Z)
+    ``start`` and ``words`` give the best window (in words; the leftmost of ties): as long as the item, or the
+    whole document if it has fewer words than the item. Words are lower-cased (A-Z)
     runs without white space. Null, empty and blank texts hold nothing and are found nowhere; null
     item_ids are kept as null. Items under ``size`` words are compared whole. Repeated rows are found each.
     """
