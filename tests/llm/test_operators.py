@@ -343,6 +343,24 @@ def test_aliases_share_verdicts(spark):
     assert blocked == {1, 2, 3, 4, 5, 9}  # 6, 7, 8 and 11 are in a component with an allowed URL, 9 keeps its own rule
 
 
+def test_relative_targets_share_verdicts(spark):
+    link, jump = '<link rel="canonical" href="{}">', "<meta http-equiv=refresh content='0;url={}'>"
+    pages = [
+        (1, "http://o.org/a/b/1?x=1#y", link.format("2.html")), (2, "http://o.org/a/b/2", link.format("../c/./3")), (3, "http://o.org/a/c/3", jump.format("http://x.net/es/1")),
+        (4, "http://o.org/q?id=2", link.format("?id=1&amp;ref=z")), (5, "http://o.org/q?id=1", link.format("//x.net/es/2")),
+        (6, "http://p.org", jump.format("../../index.html")), (7, "http://p.org/index.html", jump.format("http://x.net/es/3")),
+        (8, "http://o.org/u/v", link.format("go?to=http://b/..")), (9, "http://o.org/u/go?to=http://b/..", link.format("http://x.net/es/4")),
+        (10, "http://o.org/d/e/f", link.format("..")), (11, "http://o.org/d/", link.format("http://x.net/es/5")), (12, "http://o.org/i/j", link.format("/d/../d/.")),
+        (13, "http://o.org/k", link.format("") + link.format("#z")), (14, "http://o.org/l", link.format("mailto:x.net")), (15, "http://o.org/m?id=1", link.format("m")),
+    ]
+    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == {*range(1, 13)}
+    targets = [tuple(r) for r in url_filter.links(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()]
+    assert {t for u, t in targets if u.endswith(("/k", "/m?id=1"))} == {"http://o.org/k", "http://o.org/k#z", "http://o.org/m"}
+    assert ("http://o.org/a/b/2", "http://o.org/a/c/3") in targets and ("http://o.org/d/e/f", "http://o.org/d/") in targets
+    assert not any(u == "http://o.org/l" for u, _ in targets)
+
+
 def test_quality(spark, documents):
     rows = [(r["doc_id"], r["source"], r["text"]) for r in documents.collect()]
     got = {r[0]: tuple(r)[1:] for r in quality.quality_rules(documents).drop("host", "hash").collect()}

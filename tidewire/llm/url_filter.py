@@ -42,14 +42,33 @@ def canonical(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept))))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), lambda a, s: (
+        F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s)))))
+    final = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), final)
+
+
 def absolute(target: Column, url: Column) -> Column:
-    """A link's target as an absolute URL; null for relative paths other than those from the root."""
+    """A link's target as an absolute URL; null for other schemes (``mailto:``) and for pages without ``://``.
+
+    Relative targets are resolved against the page's URL: from the root, from its path up to the last ``/``, or, if they
+    are only a query, a fragment or empty, from the page itself. A ``<base>`` of the page isn't read.
+    """
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
     target = F.regexp_replace(F.trim(target), "&amp;", "&")
-    return (F.when(target.contains("://"), target)
+    path, rest = (F.regexp_extract(target, r"(?s)^([^?#]*)(.*)$", k) for k in (1, 2))
+    same = F.when(rest.startswith("?"), F.regexp_extract(url, r"(?s)^([^?#]*)", 1)).otherwise(F.regexp_extract(url, r"(?s)^([^#]*)", 1))
+    return (F.when(target.rlike(r"^[^/?#]*://"), target)
             .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-            .when(target.startswith("/") & (root != ""), F.concat(root, target)))
+            .when((root == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+            .when(path == "", F.concat(same, rest))
+            .when(path.startswith("/"), F.concat(root, without_dots(path), rest))
+            .otherwise(F.concat(root, without_dots(F.concat(folder, path)), rest)))
 
 
 def links(pages: DataFrame) -> DataFrame:
