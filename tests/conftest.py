@@ -19,8 +19,3 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
-
-
-def rows(frame, *order):
-    """Rows as tuples, sorted by the given columns (all by default)."""
-    return [tuple(row) for row in frame.orderBy(*(order or frame.columns)).collect()]

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from tidewire import operators as op

@@ -4,7 +4,7 @@ import math
 import string
 
 import pytest
-from conftest import rows
+from frames import rows
 
 from tidewire import operators as op
 from tidewire.functions.valence import BOOSTERS_DOWN, BOOSTERS_UP, IDIOMS, NEGATIONS, ValenceRules

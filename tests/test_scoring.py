@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from frames import rows
 
 from tidewire import operators as op
 from tidewire.operators import scoring
