@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from conftest import SMALL
+from paths import SMALL
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 

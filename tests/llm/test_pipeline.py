@@ -1,7 +1,7 @@
 """Every stage of the pipeline against a plain version, on what its predecessor kept."""
 
 import brute
-from conftest import SMALL
+from paths import SMALL
 
 import corpus_pipeline
 

@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SMALL
+from paths import SMALL
 
 import __spark_entry__ as entry_points
 from tidewire.llm import queries
