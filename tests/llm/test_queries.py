@@ -17,6 +17,7 @@ COLUMNS = {
     "op9_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
                          "base_failed boolean, kept boolean",
     "op10_lm_scoring": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op11_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
 }
 
 
@@ -30,7 +31,7 @@ def duck():
 
 def test_all_are_registered():
     found = entry_points.queries()
-    assert {int(name[2:].split("_")[0]) for name in found if name.startswith("op")} == set(range(1, 11)) and "pipeline" in found
+    assert {int(name[2:].split("_")[0]) for name in found if name.startswith("op")} == set(range(1, 14)) and "pipeline" in found
     assert set(queries.queries()) <= set(found) and set(oracle_sql()) <= set(queries.queries())
 
 

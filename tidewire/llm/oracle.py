@@ -113,5 +113,29 @@ SELECT p.page_id, j.host, j.path, j.rule, coalesce(j.rule_verdict, v.verdict, 'a
 FROM pages p LEFT JOIN judged j ON j.url IS NOT DISTINCT FROM p.url LEFT JOIN roots r ON r.node = j.node LEFT JOIN verdicts v ON v.root = r.root"""
 
 
+OP11 = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+groups AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY text)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t.text) AS text_sha256
+FROM texts t JOIN groups g ON g.text = t.text"""
+
+OP13 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), %(alphabet)s), '%(term)s') AS w FROM documents),
+totals AS (SELECT CAST(count(*) FILTER (WHERE len(w) > 0) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM words),
+asked AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), %(alphabet)s), '%(term)s'))) AS term FROM benchmark),
+postings AS (
+  SELECT doc_id, n_terms, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_terms, unnest(w) AS term FROM words)
+  WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n_terms, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n_terms * n) // l)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term), totals GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+""" % {"alphabet": _ALPHABET, "term": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_dedup": OP3, "op5_line_dedup": OP5, "op8_url_filter": OP8, "op9_quality_rules": OP9}
+    return {"op3_minhash_dedup": OP3, "op5_line_dedup": OP5, "op8_url_filter": OP8, "op9_quality_rules": OP9, "op11_exact_dedup": OP11}

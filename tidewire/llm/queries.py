@@ -112,3 +112,11 @@ def op4_substring_dedup(spark, sf_dir):
     from .chunks import repeated_passages
 
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_exact_dedup(spark, sf_dir):
+    from .exact import exact_groups
+
+    groups = exact_groups(table(spark, sf_dir, "documents"))
+    return groups.selectExpr("doc_id", "keep_id", "group_size", "doc_id <=> keep_id as kept", "lower(hex(digest)) as text_sha256")
