@@ -120,3 +120,10 @@ def op11_exact_dedup(spark, sf_dir):
 
     groups = exact_groups(table(spark, sf_dir, "documents"))
     return groups.selectExpr("doc_id", "keep_id", "group_size", "doc_id <=> keep_id as kept", "lower(hex(digest)) as text_sha256")
+
+
+@_query
+def op12_token_alignment(spark, sf_dir):
+    from .alignment import alignment_statistics
+
+    return alignment_statistics(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
