@@ -25,7 +25,7 @@ COLUMNS = {
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "benchmark"):
         connection.execute(f"create view {name} as select * from '{SMALL}/{name}.parquet'")
     return connection
 

@@ -138,4 +138,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_dedup": OP3, "op5_line_dedup": OP5, "op8_url_filter": OP8, "op9_quality_rules": OP9, "op11_exact_dedup": OP11}
+    return {"op3_minhash_dedup": OP3, "op5_line_dedup": OP5, "op8_url_filter": OP8, "op9_quality_rules": OP9, "op11_exact_dedup": OP11, "op13_lexical_search": OP13}

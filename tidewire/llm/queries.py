@@ -127,3 +127,10 @@ def op12_token_alignment(spark, sf_dir):
     from .alignment import alignment_statistics
 
     return alignment_statistics(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@_query
+def op13_lexical_search(spark, sf_dir):
+    from .search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
