@@ -26,16 +26,6 @@ def plain_groups(ends_a, ends_b):
     return out
 
 
-def singles(groups, ends_a, ends_b):
-    out = []
-    for a, b, m, n in groups:
-        if m == n and ends_a[a] == ends_b[b]:
-            out += [(a + k, a + k, b + k, b + k) for k in range(m)]
-        else:
-            out.append((a, a + m - 1, b, b + n - 1))
-    return out
-
-
 def test_diagonal_against_common_offsets():
     rng = random.Random(1)
     for trial in range(400):
@@ -44,18 +34,16 @@ def test_diagonal_against_common_offsets():
         base = sorted(rng.sample(range(1, 4 * size + 2), size))
         a = sorted({x for x in base if rng.random() < share} | {base[-1]} | ({rng.randrange(1, base[-1] + 1)} if trial % 2 else set()))
         b = sorted({x for x in base if rng.random() < share} | {base[-1]})
-        got = alignment.diagonal(np.array(a, np.int32), np.array(b, np.int32))
-        assert singles(got, a, b) == plain_groups(a, b)
+        found = alignment.diagonal(np.array(a, np.int32), np.array(b, np.int32))
+        groups = plain_groups(a, b)
+        assert set(range(len(a))) - set(found.inner_a) == {x for _, x, _, _ in groups}
+        assert set(range(len(b))) - set(found.inner_b) == {y for _, _, _, y in groups}
+        starts_a, starts_b = [0, *a], [0, *b]
+        overlaps = [(x, y) for x in range(len(a)) for y in range(len(b)) if starts_a[x] < b[y] and starts_b[y] < a[x]]
+        assert sorted([(x + k, y + k) for x, y, n in found.runs for k in range(n)] + list(zip(found.links_a, found.links_b))) == overlaps
     same = np.arange(1, 100_001, dtype=np.int32)
-    assert alignment.diagonal(same, same) == [(0, 0, 100_000, 100_000)]  # one run, whatever its length
-    assert alignment.diagonal(same[:0], same[:0]) == []
-
-
-def test_links_are_overlaps():
-    a, b = [3, 4, 9, 10], [1, 2, 6, 10]
-    starts_a, starts_b = [0, *a], [0, *b]
-    expected = [(x, y) for x in range(4) for y in range(4) if starts_a[x] < b[y] and starts_b[y] < a[x]]
-    assert sorted(alignment.links_within(a, b, 0, 0, 4, 4)) == expected
+    assert alignment.diagonal(same, same) == ([(0, 0, 100_000)], [], [], [], [])  # one run, whatever its length
+    assert alignment.diagonal(same[:0], same[:0]) == ([], [], [], [], [])
 
 
 def plain(rows):
@@ -114,7 +102,7 @@ def test_statistics_of_documents(spark, documents, doc_rows):
 
 
 def test_odd_rows(spark, odd):
-    more = [(20, "marker ▁ inside"), (21, "<s> </s> <0x41> <unk> <|endoftext|>"), (22, "\x00\x01   ﻿­"), (23, " "), (24, "ａ🙂‍👩🏽‍🚀 é"), (25, "\r\n\t  x   ")]
+    more = [(20, "marker ▁ inside"), (21, "<s> </s> <0x41> <unk> <|endoftext|>"), (22, "\x00\x01   ﻿­"), (23, " "), (24, "ａ🙂‍👩🏽‍🚀 é"), (25, "\r\n\t  x   "), (26, "a" + " " * 30_000 + "b\n" * 5_000)]
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + more
     frame = odd.select("doc_id", "text", "n", "block", "codes").union(spark.createDataFrame([(i, t, "", "", "") for i, t in more], "doc_id long, text string, n string, block string, codes string"))
     assert found(alignment.alignment_statistics(frame, BPE, PIECES)) == plain(rows)

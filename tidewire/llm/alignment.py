@@ -13,76 +13,81 @@ meet by a shuffle, and their totals return to the blocks, as numbers only.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import json
+import re
 from collections.abc import Iterator
-from itertools import chain
-from operator import add
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ..session import materialize
 from .frequencies import BLOCK_BYTES, Block, pack, unpack
-from .sentencepiece_codec import Codec
-from .token_counts import Counting
+from .token_counts import BYTE_LEVEL, UNSURE
 
-#: Bytes of an array element, and pre-tokens that a worker keeps.
-ITEM, CACHE = 4, 400_000
+#: Bytes of an array element.
+ITEM = 4
 #: An id pair as one number: the A id above these bits, the B id below.
 SHIFT = 24
+#: Texts that A encodes by its own library: of characters with an uncertain class, or of white space so long that the other one can't cut it.
+OWN_LIBRARY = re.compile(f"{UNSURE.pattern}|\\s{{1000}}")
 
 
-def diagonal(ends_a: np.ndarray, ends_b: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Groups of two lists of tokens that end at ``ends_a`` and ``ends_b`` (int32, ascending, with the same last offset).
+class Groups(NamedTuple):
+    """What `diagonal` finds."""
 
-    Each is (a, b, m, n): m tokens of A from number a and n of B from number b. A run of one-to-one groups is given once, with m == n;
-    an irregular group has m > 1 or n > 1, and its inner ends differ.
-    """
+    runs: list[tuple[int, int, int]]  # one-to-one stretches: first token of A, of B, and how many
+    links_a: list[int]  # overlapping tokens of irregular groups: of A ...
+    links_b: list[int]  # ... and of B
+    inner_a: list[int]  # tokens of A that don't end a group
+    inner_b: list[int]  # tokens of B that don't
+
+
+def diagonal(ends_a: np.ndarray, ends_b: np.ndarray) -> Groups:
+    """Groups of two lists of tokens that end at ``ends_a`` and ``ends_b`` (int32, ascending, with the same last offset)."""
     raw_a, raw_b = ends_a.tobytes(), ends_b.tobytes()
     list_a, list_b = ends_a.tolist(), ends_b.tolist()
-    found, a, b, total = [], 0, 0, len(list_a)
+    found = runs, links_a, links_b, inner_a, inner_b = Groups([], [], [], [], [])
+    a, b, total = 0, 0, len(list_a)
     while a < total:
-        start, step = a, 1
-        move = (b - a) * ITEM  # the shift, which holds for the whole run
-        low, high = a * ITEM, (a + 1) * ITEM
-        while a + step <= total and raw_a[low:high] == raw_b[low + move : high + move]:
-            a, step = a + step, 2 * step
-            low, high = high, (a + step) * ITEM
-        while step > 1:  # the run ends within the last stretch
-            step //= 2
-            high = (a + step) * ITEM
-            if a + step <= total and raw_a[low:high] == raw_b[low + move : high + move]:
-                a, low = a + step, high
-        if a > start:
-            found.append((start, b, a - start, a - start))
+        if list_a[a] == list_b[b]:
+            start, move, step = a, (b - a) * ITEM, 2  # the shift holds for the whole run
+            a += 1
+            low, high = a * ITEM, (a + 2) * ITEM
+            while a + step <= total and raw_a[low:high] == raw_b[low + move : high + move]:
+                a, step = a + step, 2 * step
+                low, high = high, (a + step) * ITEM
+            while step > 1:  # the run ends within the last stretch
+                step //= 2
+                high = low + step * ITEM
+                if a + step <= total and raw_a[low:high] == raw_b[low + move : high + move]:
+                    a, low = a + step, high
+            runs.append((start, b, a - start))
             b += a - start
             if a == total:
                 break
-        first_a, first_b = a, b
         end_a, end_b = list_a[a], list_b[b]
-        while end_a != end_b:
+        while True:  # whichever is behind moves on; the two tokens at hand always overlap
+            links_a.append(a)
+            links_b.append(b)
             if end_a < end_b:
+                inner_a.append(a)
                 a += 1
                 end_a = list_a[a]
-            else:
+            elif end_b < end_a:
+                inner_b.append(b)
                 b += 1
                 end_b = list_b[b]
+            else:
+                break
         a, b = a + 1, b + 1
-        found.append((first_a, first_b, a - first_a, b - first_b))
-    return found
-
-
-def links_within(ends_a: list[int], ends_b: list[int], a: int, b: int, m: int, n: int) -> list[tuple[int, int]]:
-    """Numbers of the tokens of an irregular group whose bytes overlap."""
-    found, stop_a, stop_b = [], a + m, b + n
-    while a < stop_a and b < stop_b:
-        found.append((a, b))
-        end_a, end_b = ends_a[a], ends_b[b]
-        a += end_a <= end_b
-        b += end_b <= end_a
     return found
 
 
@@ -93,67 +98,83 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+class Alignment:
+    """The tokens of one text and their groups."""
+
+    def __init__(self, pair: Pair, ids_a: np.ndarray, ids_b: np.ndarray):
+        self.pair, self.ids_a, self.ids_b = pair, ids_a, ids_b
+        self.ends_a = np.cumsum(pair.length_a[ids_a], dtype=np.int32)
+        self.found = diagonal(self.ends_a, np.cumsum(pair.length_b[ids_b], dtype=np.int32))
+        #: Whether a token is the last one of its group.
+        self.last_a, self.last_b = np.ones(len(ids_a), bool), np.ones(len(ids_b), bool)
+        self.last_a[self.found.inner_a] = False
+        self.last_b[self.found.inner_b] = False
+        #: Numbers of tokens up to the end of each group.
+        self.stops_a, self.stops_b = np.flatnonzero(self.last_a) + 1, np.flatnonzero(self.last_b) + 1
+
+    def links(self) -> np.ndarray:
+        """The id pair of each A and B token that overlap, as one number."""
+        runs = np.array(self.found.runs, np.int64).reshape(-1, 3)
+        lengths = runs[:, 2]
+        within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at_a = np.concatenate([np.repeat(runs[:, 0], lengths) + within, np.array(self.found.links_a, np.int64)])
+        at_b = np.concatenate([np.repeat(runs[:, 1], lengths) + within, np.array(self.found.links_b, np.int64)])
+        return self.ids_a[at_a].astype(np.int64) << SHIFT | self.ids_b[at_b]
+
+    def written(self) -> bytes:
+        """The groups as ``a1,a2|b1;a3|b2,b3``."""
+        size_a, n_a, n_b = len(self.pair.length_a), len(self.ids_a), len(self.ids_b)
+        group_a, group_b = np.cumsum(self.last_a) - self.last_a, np.cumsum(self.last_b) - self.last_b
+        place = np.empty(n_a + n_b, np.int64)  # every token with the sign behind it, in its place
+        place[np.arange(n_a) + np.concatenate([[0], self.stops_b])[group_a]] = self.ids_a + size_a * self.last_a
+        place[np.arange(n_b) + self.stops_a[group_b]] = 2 * size_a + self.ids_b + len(self.pair.length_b) * self.last_b
+        return "".join(map(self.pair.signs.__getitem__, place.tolist()))[:-1].encode()
+
+
 class Pair:
-    """Both tokenizers of a worker: ids of a text, their bytes, and the groups they form."""
+    """Both tokenizers of a worker.
+
+    A's vocabulary and merges, whose order must be that of their ids, also make an encoder of the tiktoken library, which gives the same ids
+    several times faster; texts for which that isn't certain are encoded by the tokenizers library.
+    """
 
     def __init__(self, spec: str, model: bytes):
-        self.cut = Counting(spec)
-        self.cut.tokenizer.encode_special_tokens = True
-        if not self.cut.regular:
-            raise ValueError("not a byte-level tokenizer with the published pattern and without a normalizer")
-        self.codec = Codec(model)
-        alphabet, size = _byte_alphabet(), self.cut.tokenizer.get_vocab_size(with_added_tokens=True)
-        entries = [self.cut.tokenizer.id_to_token(i) for i in range(size)]
-        self.bytes_a = [bytes(alphabet[c] for c in e) if all(c in alphabet for c in e) else e.encode() for e in entries]
-        self.bytes_b = self.codec.bytes
-        self.length_a = np.array([len(x) for x in self.bytes_a], np.int32)
+        self.a, self.b = Tokenizer.from_str(spec), sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.a.no_truncation()
+        self.a.no_padding()
+        self.a.encode_special_tokens = True
+        rules = json.loads(spec)
+        vocab, alphabet = rules["model"]["vocab"], _byte_alphabet()
+        merges = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in rules["model"]["merges"]]
+        cut = str(self.a.pre_tokenizer)
+        if self.a.normalizer is not None or "use_regex=True" not in cut or "add_prefix_space=False" not in cut or merges != sorted(merges):
+            raise ValueError("not a byte-level tokenizer with the published pattern, ids in order of merges and without a normalizer")
+        ranks = {bytes(map(alphabet.__getitem__, entry)): i for entry, i in vocab.items() if all(c in alphabet for c in entry)}
+        if not all(bytes([b]) in ranks for b in range(256)):  # then A's tokens spell any text
+            raise ValueError("the vocabulary lacks single bytes")
+        self.fast = tiktoken.Encoding("A", pat_str=BYTE_LEVEL.pattern, mergeable_ranks=ranks, special_tokens={})
+        entries = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size(with_added_tokens=True))]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        self.length_a = np.array([len(e) for e in entries], np.int32)  # a character for each byte
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int32)
-        self.first, self.second = [f"{i}|" for i in range(size)], [f"{i};" for i in range(len(self.bytes_b))]
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of space+text by A, and of text by B; A's are looked up by pre-token, learnt in multithreaded batches."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        parts = [self.cut._cut(" " + t) if t else [] for t in texts]
-        new = list({p for part in parts for p in part if p not in known})
-        known.update(zip(new, (x.ids for x in self.cut.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        ids_a = [np.fromiter(chain.from_iterable(map(known.__getitem__, part)), np.int32) for part in parts]
-        return ids_a, self.codec.encode(texts)[0]
-
-    def align(self, text: str | None, ids_a: np.ndarray, ids_b: np.ndarray):
-        """The groups of a text (see `diagonal`) with the ends of its tokens, or None where it has no tokens by the rule of `alignments`."""
+        self.signs = [f"{i}{sign}" for size, sign in ((len(entries), ","), (len(entries), "|"), (len(pieces), ","), (len(pieces), ";")) for i in range(size)]
+
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of space+text by A, and of text by B, which puts the space in front itself."""
+        spaced = " " + text
+        a = self.a.encode(spaced, add_special_tokens=False).ids if OWN_LIBRARY.search(text) else self.fast.encode_ordinary(spaced)
+        return a, self.b.encode(text)
+
+    def align(self, text: str | None) -> Alignment | None:
+        """None where the text has no tokens, by the rule of `alignments`."""
         if not text:
             return None
+        a, b = self.encode(text)
         whole = (" " + text).encode()
-        if b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) != whole or b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) != whole:
+        if b"".join(map(self.bytes_b.__getitem__, b)) != whole:
             return None
-        ends_a, ends_b = np.cumsum(self.length_a[ids_a], dtype=np.int32), np.cumsum(self.length_b[ids_b], dtype=np.int32)
-        return diagonal(ends_a, ends_b), ends_a, ends_b
-
-    def linked(self, ids_a: np.ndarray, ids_b: np.ndarray, groups, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, int, bytes]:
-        """Id pairs of all links, the number of groups, and the groups written out: ``a1,a2|b1;a3|b2,b3``."""
-        list_a, list_b, list_ends_a, list_ends_b = ids_a.tolist(), ids_b.tolist(), ends_a.tolist(), ends_b.tolist()
-        first, second = self.first, self.second
-        at_a: list[int] = []
-        at_b: list[int] = []
-        written: list[str] = []
-        n_groups = 0
-        for a, b, m, n in groups:
-            if m == n and (m == 1 or list_ends_a[a] == list_ends_b[b]):
-                at_a += range(a, a + m)
-                at_b += range(b, b + n)
-                written += map(add, map(first.__getitem__, list_a[a : a + m]), map(second.__getitem__, list_b[b : b + n]))
-                n_groups += m
-            else:
-                for x, y in links_within(list_ends_a, list_ends_b, a, b, m, n):
-                    at_a.append(x)
-                    at_b.append(y)
-                written.append(",".join(map(str, list_a[a : a + m])) + "|" + ",".join(map(str, list_b[b : b + n])) + ";")
-                n_groups += 1
-        pairs = ids_a[at_a].astype(np.int64) << SHIFT | ids_b[at_b]
-        return pairs, n_groups, "".join(written)[:-1].encode()
+        return Alignment(self, np.array(a, np.int32), np.array(b, np.int32))
 
 
 _PAIRS: dict[tuple[str, int], Pair] = {}
@@ -179,17 +200,20 @@ def _read(docs: DataFrame, tokenizer: str, model: str):
     return docs.sparkSession.sparkContext.broadcast((spec, data)), texts
 
 
-def _texts(pair: Pair, batches: Iterator[pa.RecordBatch]):
-    """doc_id, text, ids of A, ids of B, alignment; a few hundred texts are encoded at a time."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            part = whole.slice(at, 256)
-            texts = part.column("text").to_pylist()
-            for doc_id, text, ids_a, ids_b in zip(part.column("doc_id").to_pylist(), texts, *pair.encode(texts)):
-                yield doc_id, text, ids_a, ids_b, pair.align(text, ids_a, ids_b)
+def _grouped(found: list[Alignment | None]) -> pa.Array:
+    """A list of groups (ids of A, ids of B, end) for each alignment."""
+    some = [x for x in found if x is not None]
 
+    def lists(ids: list[np.ndarray], stops: list[np.ndarray]) -> pa.Array:
+        begins = accumulate(map(len, ids), initial=0)
+        offsets = np.concatenate([[0], *[begin + stop for begin, stop in zip(begins, stops)]]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
 
-GROUPS = pa.list_(pa.struct([("a_ids", pa.list_(pa.int32())), ("b_ids", pa.list_(pa.int32())), ("end", pa.int32())]))
+    a_ids, b_ids = lists([x.ids_a for x in some], [x.stops_a for x in some]), lists([x.ids_b for x in some], [x.stops_b for x in some])
+    ends = pa.array(np.concatenate([np.zeros(0, np.int32), *[x.ends_a[x.last_a] for x in some]]))
+    groups = pa.StructArray.from_arrays([a_ids, b_ids, ends], ["a_ids", "b_ids", "end"])
+    sizes = [0 if x is None else len(x.stops_a) for x in found]
+    return pa.ListArray.from_arrays(pa.array(list(accumulate(sizes, initial=0)), pa.int32()), groups)
 
 
 def alignments(docs: DataFrame, tokenizer: str, model: str) -> DataFrame:
@@ -204,20 +228,12 @@ def alignments(docs: DataFrame, tokenizer: str, model: str) -> DataFrame:
     shared, texts = _read(docs, tokenizer, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows = [], []
-        for doc_id, _, ids_a, ids_b, aligned in _texts(_pair(shared), batches):
-            groups = []
-            for a, b, m, n in aligned[0] if aligned else ():
-                ends = aligned[1]
-                singles = m == n and (m == 1 or ends[a] == aligned[2][b])
-                cuts = [(a + i, b + i, 1, 1) for i in range(m)] if singles else [(a, b, m, n)]
-                groups += [{"a_ids": ids_a[x : x + k], "b_ids": ids_b[y : y + j], "end": int(ends[x + k - 1])} for x, y, k, j in cuts]
-            ids.append(doc_id)
-            rows.append(groups)
-            if len(rows) >= 64:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, GROUPS)], ["doc_id", "groups"])
-                ids, rows = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, GROUPS)], ["doc_id", "groups"])
+        pair = _pair(shared)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                part = whole.slice(at, 64)
+                found = [pair.align(text) for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _grouped(found)], ["doc_id", "groups"])
 
     return texts.mapInArrow(run, "doc_id long, groups array<struct<a_ids:array<int>,b_ids:array<int>,end:int>>")
 
@@ -231,25 +247,27 @@ def _blocks(shared, block_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, number = _pair(shared), TaskContext.get().partitionId() << 32
-        block, totals, rows = Block(), Counter(), []
+        block, totals, rows = Block(), np.zeros(1 << 16, np.int64), []
 
         def closing() -> tuple:
-            return (number, *[None] * 8, list(block.codes), [totals[p] for p in block.codes])
+            return (number, *[None] * 8, list(block.codes), totals[: len(block.codes)])
 
-        for doc_id, text, ids_a, ids_b, aligned in _texts(pair, batches):
+        for doc_id, text in ((i, t) for x in batches for i, t in zip(x.column("doc_id").to_pylist(), x.column("text").to_pylist())):
+            aligned = pair.align(text)
             if aligned is None:
                 rows.append((number, doc_id, 0, 0, 0, 0, "", b"", b"", None, None))
             else:
-                links, n_groups, written = pair.linked(ids_a, ids_b, *aligned)
+                links = aligned.links()
                 distinct, times = np.unique(links, return_counts=True)
-                found = dict(zip(distinct.tolist(), times.tolist()))
-                totals.update(found)
-                packed = pack(*block.add(found, len(text)))
-                sha = hashlib.sha256(written).hexdigest()
-                rows.append((number, doc_id, len(ids_a), len(ids_b), n_groups, len(links), sha, *packed, None, None))
+                codes, times = block.add(dict(zip(distinct.tolist(), times.tolist())), len(text))
+                if len(block.codes) > len(totals):
+                    totals = np.concatenate([totals, np.zeros(len(block.codes), np.int64)])
+                totals[codes] += times
+                sizes = len(aligned.ids_a), len(aligned.ids_b), len(aligned.stops_a), len(links)
+                rows.append((number, doc_id, *sizes, hashlib.sha256(aligned.written()).hexdigest(), *pack(codes, times), None, None))
             if block.bytes >= block_bytes:
                 yield out([*rows, closing()])
-                block, totals, rows, number = Block(), Counter(), [], number + 1
+                block, totals, rows, number = Block(), np.zeros(1 << 16, np.int64), [], number + 1
             elif len(rows) > 2_000:
                 yield out(rows)
                 rows = []
