@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from frames import rows
@@ -10,7 +11,8 @@ from tidewire.plans import RunConfig, dashboard_tables, run_end_to_end
 from tidewire.schemas import LEXICON, PRICES
 from tidewire.session import local_frame, shared_dir
 from tidewire.sources import read_headlines, read_scores
-from tidewire.streaming import daily_partials_stream, daily_stream, ingest_stream, stored_daily
+from tidewire.sources.tables import add_daily_partials, read_daily_partials, replace_daily_partials
+from tidewire.streaming import daily_partials_stream, daily_stream, ingest, ingest_stream, stored_daily
 
 GOOD, BAD = "good news today", "bad news today"
 
@@ -152,3 +154,60 @@ def test_partials_add_up(spark, tmp_path):
         daily_partials_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     frame = frame.where(F.hash("url") % 3 >= 0)
     assert rows(stored_daily(spark, str(tmp_path / "out"))) == [(a, b, pytest.approx(c), d, e) for a, b, c, d, e in rows(op.daily_sentiment(frame))]
+
+
+def test_a_batch_reads_its_own_keys_only(spark, landed, tmp_path, monkeypatch):
+    store, now = str(tmp_path / "keyed"), F.lit("2024-02-01").cast("timestamp")
+
+    def run(checkpoint):
+        ingest_stream(spark, landed.news_path, store, str(tmp_path / checkpoint), now, watch=landed.watch).awaitTermination()
+        return read_headlines(spark, f"{store}/headlines").count()
+
+    def no_scan(*args):
+        raise AssertionError("the stored headlines were read")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(ingest, "read_headlines", no_scan)
+        assert run("k1") == 16
+        (tmp_path / "news" / "2.json").write_text("\n".join([news_line("nvda", 0, False), news_line("nvda", 8, True)]))
+        assert run("k1") == 17
+        assert run("k2") == 17  # a new checkpoint learns the keys from the store's files
+
+    # a batch that was stored, but fell before it was noted, is compared with the store when it runs again
+    (tmp_path / "news" / "3.json").write_text(news_line("tsla", 8, True))
+    store_new = ingest.store_new
+
+    def fall(*args, **options):
+        store_new(*args, **options)
+        raise RuntimeError("fell")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(ingest, "store_new", fall)
+        with pytest.raises(Exception, match="fell"):
+            run("k2")
+    assert run("k2") == 18
+
+
+def test_a_day_has_one_file(spark, tmp_path):
+    path, truth = str(tmp_path / "days"), []
+    for batch in range(6):
+        data = [("AB"[n % 2], "s", f"{batch}-{n}", dt.datetime(2024, 1, 1 + (n + batch) % 3, 5, tzinfo=dt.timezone.utc), n / 8, 0.5) for n in range(8)]
+        truth += data
+        frame = local_frame(spark, data, "ticker string, source string, url string, published_at timestamp, score double, confidence double")
+        add_daily_partials(op.daily_partials(frame), path, batch)
+    add_daily_partials(op.daily_partials(frame), path, 5)  # the last batch again
+    everything = local_frame(spark, truth, "ticker string, source string, url string, published_at timestamp, score double, confidence double")
+    assert rows(stored_daily(spark, path)) == rows(op.daily_sentiment(everything).select("ticker", "date", "sentiment", "n", "confidence"))
+    days = sorted(name for name in os.listdir(path) if name.startswith("date="))
+    assert days == ["date=2024-01-01", "date=2024-01-02", "date=2024-01-03"]
+    before = {day: os.listdir(f"{path}/{day}") for day in days}
+    assert all(sum(name.endswith(".parquet") for name in files) == 1 for files in before.values())
+    add_daily_partials(op.daily_partials(frame.where("day(published_at) = 2")), path, 6)
+    assert {day for day in days if os.listdir(f"{path}/{day}") != before[day]} == {"date=2024-01-02"}
+
+
+def test_daily_partials_that_lack_rows_are_made_anew(spark, landed, tmp_path):
+    first = run_end_to_end(spark, landed)
+    before = rows(first["daily"])
+    replace_daily_partials(read_daily_partials(spark, f"{landed.store}/daily").where("ticker = 'NVDA'").drop("applied"), f"{landed.store}/daily")
+    assert rows(run_end_to_end(spark, landed)["daily"]) == before

@@ -72,8 +72,28 @@ def test_short_results_are_a_failure(spark):
 
 
 def test_model_sees_every_text_once(spark):
-    scored = op.model_score(texts(spark, ["good"]), shouting_model(), "shout", lexicon(spark))
-    assert scored._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    seen = spark.sparkContext.accumulator(0)
+
+    def load():
+        def predict(batch):
+            seen.add(len(batch))
+            return [[("Positive", 1.0)] for _ in batch]
+
+        return predict
+
+    scored = op.model_score(texts(spark, ["good"] * 30), load, "m", lexicon(spark))
+    assert scored.count() == 30 and scored.where("model = 'm'").count() == 30
+    assert seen.value == 30
+
+
+def test_scored_rows_are_not_shuffled_again(spark):
+    scored = op.model_score(texts(spark, ["LOUD"] * 40 + ["fail good"]), shouting_model(), "shout", lexicon(spark))
+    plan = scored._jdf.queryExecution().sparkPlan().toString()
+    model_side = plan[: plan.index("shout")].count("Exchange")
+    assert model_side == 0 and "MapInPandas" not in plan
+    # the lexicon's side reads the failed texts only
+    assert "isnull(score" in plan and "isnotnull(score" in plan
+    assert sorted(row.model for row in scored.collect()) == ["shout"] * 40 + ["vader"]
 
 
 def test_backends(spark):

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from frames import rows
@@ -213,3 +214,29 @@ def test_a_stray_date_adds_one_day(spark):
     frame = local_frame(spark, [(dt.date(1, 1, 1), "A", 9.0), *closes], PRICES)
     grid = op.calendar_grid(frame)
     assert grid.count() == 8 and grid.where("close is null").count() == 2
+
+
+@pytest.mark.parametrize("fill", ["pad", None])
+def test_next_day_returns_equal_the_grid(spark, fill):
+    rng = random.Random(11)
+    for trial in range(4):
+        days = [dt.date(2024, 1, 1) + dt.timedelta(days=n) for n in range(14)]
+        closes = [(day, ticker, rng.choice([None, 0.0, 1.0, 2.5, 7.0, float("nan"), 3.0, 4.0])) for ticker in "ABCD" for day in days
+                  if rng.random() < (0.9, 0.5, 0.25, 0.1)[trial] and (ticker != "D" or day.day > 9)]
+        prices = local_frame(spark, closes, "date date, ticker string, close double")
+        pairs = [(day, ticker, name, rng.random()) for ticker in "ABDZ" for day in days + [dt.date(2023, 1, 1), dt.date(2025, 1, 1)] for name in ("x", "y")]
+        daily = local_frame(spark, pairs, "date date, ticker string, strategy string, sentiment double")
+        grid = op.align(daily, op.forward_returns(op.returns(prices, fill)))
+        direct = op.align_prices(daily, prices, fill)
+        assert direct.columns == grid.columns
+        assert rows(direct) == rows(grid)
+
+
+def test_next_day_returns_without_a_grid(spark):
+    daily = local_frame(spark, [(dt.date(2024, 1, 2), "A", 0.5)], "date date, ticker string, sentiment double")
+    prices = local_frame(spark, [(dt.date(2024, 1, n), "A", float(n)) for n in (1, 2, 5)], "date date, ticker string, close double")
+    found = op.align_prices(daily, prices)
+    assert [row.fwd_ret for row in found.collect()] == [1.5]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    assert op.align_prices(daily.limit(0), prices).count() == 0 and op.align_prices(daily, prices.limit(0)).count() == 0

@@ -138,9 +138,7 @@ def insert_if_absent(spark, sf):
 
 @_query
 def insert_if_absent_small_batch(spark, sf):
-    batch = b.all_headlines(spark, sf)
-    small = op.fits_broadcast(batch.select("source", "url"))
-    new = op.insert_if_absent(batch, b.labelled_headlines(spark, sf), small_batch=small)
+    new = op.insert_if_absent(b.all_headlines(spark, sf), b.labelled_headlines(spark, sf), small_batch=True)
     return new.select("source", "url", "ticker", "title", "publisher")
 
 
@@ -345,7 +343,7 @@ def forward_returns(spark, sf):
 
 @_query
 def align(spark, sf):
-    return op.align(_daily(spark, sf), _forward(spark, sf)).select(
+    return op.align_prices(_daily(spark, sf), b.order_prices(spark, sf)).select(
         "date", "ticker", r6("sentiment"), r6("fwd_ret")
     )
 

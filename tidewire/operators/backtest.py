@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .returns import drop_incomplete, forward_returns, returns
+from .returns import drop_incomplete, forward_returns, next_day_returns
 
 TRADING_DAYS = 252  # fixed value
 MEDIAN_FROM_DAYS = 3  # fixed value
@@ -26,6 +26,13 @@ def align(daily: DataFrame, forward: DataFrame) -> DataFrame:
     return drop_incomplete(joined, ["sentiment", "fwd_ret"])
 
 
+def align_prices(daily: DataFrame, prices: DataFrame, fill: str | None = "pad") -> DataFrame:
+    """`align` from closes: returns are found for the days of the sentiment only."""
+    extra = [name for name in daily.columns if name not in {"date", "ticker", "sentiment", "n", "confidence"}]
+    pairs = daily.select("date", "ticker", *extra, "sentiment")
+    return drop_incomplete(next_day_returns(pairs, prices, fill), ["sentiment", "fwd_ret"])
+
+
 def common_tickers(daily: DataFrame, forward: DataFrame) -> DataFrame:
     """Tickers with both sentiment and returns. For reports: ``align`` implies it."""
     return daily.select("ticker").distinct().join(forward.select("ticker").distinct(), "ticker", "left_semi")
@@ -98,13 +105,13 @@ def backtest(
     """(aligned with signal and pnl, equity, metrics) of a daily frame, lazily.
 
     Give closes, or ready returns (date, ticker, ret). ``partition_cols`` names columns of
-    ``daily`` that tell strategies apart. Returns are built on the calendar of all given tickers
-    before they meet the sentiment.
+    ``daily`` that tell strategies apart. Days are those of all given tickers, but returns are only
+    worked out where there is sentiment.
     """
     if (prices is None) == (returns_frame is None):
         raise ValueError("give either prices or returns_frame")
     partition_cols = list(partition_cols)
-    forward = forward_returns(returns(prices, fill) if returns_frame is None else returns_frame)
-    signal = with_pnl(median_split_signal(align(daily, forward), partition_cols))
+    aligned = align_prices(daily, prices, fill) if returns_frame is None else align(daily, forward_returns(returns_frame))
+    signal = with_pnl(median_split_signal(aligned, partition_cols))
     equity = equity_curve(signal, partition_cols)
     return signal, equity, metrics(signal, equity, partition_cols)

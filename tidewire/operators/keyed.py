@@ -30,6 +30,14 @@ def fits_broadcast(rows: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: i
     return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
+def first_of_key(rows: DataFrame, keys: Iterable[str] = HEADLINE_KEY, order: Iterable[str] = ARRIVAL) -> DataFrame:
+    """One row per key: the first in ``order``. Rows are folded before the shuffle."""
+    keys = list(keys)
+    payload = [name for name in rows.columns if name not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*payload), F.struct(*order)).alias("first"))
+    return first.select(*keys, "first.*").select(*rows.columns)
+
+
 def insert_if_absent(
     batch: DataFrame,
     existing: DataFrame,
@@ -41,18 +49,18 @@ def insert_if_absent(
 
     Stored rows are never updated. Duplicates are folded before the shuffle, so a key that
     holds a large share of the batch reaches the shuffle once per task; the anti-join then
-    reuses that partitioning. ``small_batch`` is for a batch that was measured
-    (``fits_broadcast``): its keys are broadcast to cut the stored keys down in place, so a
-    small increment does not shuffle the whole history.
+    reuses that partitioning. With ``small_batch``, the distinct keys of the batch are measured
+    (``fits_broadcast``), and broadcast if few, to cut the stored keys down in place, so that a
+    small increment does not shuffle the whole history. Stored tables are bucketed by
+    ``headline_id``: with it as the key, the history stays in place whatever the batch's size.
     """
-    keys, order = list(keys), list(order)
-    payload = [name for name in batch.columns if name not in keys]
-    first = batch.groupBy(*keys).agg(
-        F.min_by(F.struct(*payload), F.struct(*order)).alias("first")
-    ).select(*keys, "first.*")
+    keys = list(keys)
+    first = first_of_key(batch, keys, order)
     known = existing.select(*keys)
     if small_batch:
-        known = known.join(F.broadcast(batch.select(*keys)), keys, "left_semi")
+        asked = batch.select(*keys).distinct()
+        if fits_broadcast(asked):
+            known = known.join(F.broadcast(asked), keys, "left_semi")
     return first.join(known, keys, "left_anti").select(*batch.columns)
 
 

@@ -70,6 +70,51 @@ def forward_returns(returns: DataFrame) -> DataFrame:
     return returns.select("date", "ticker", F.lead("ret").over(_by_ticker()).alias("fwd_ret"))
 
 
+def _days_with_returns(days: DataFrame, closes: DataFrame, fill: str | None) -> DataFrame:
+    """The numbered days (date, number) on which any ticker has a return, from closes (ticker, number, close)."""
+    by_number = W.partitionBy("ticker").orderBy("number")
+    if fill is None:
+        before = F.when(F.lag("number").over(by_number) == F.col("number") - 1, F.lag("close").over(by_number))
+        found = closes.withColumn("before", before).where("close is not null and before <> 0").select("number").distinct()
+        return days.join(F.broadcast(found), "number", "left_semi")
+    # A close that is no 0 gives a return on each day from the next one to the ticker's next close. These intervals
+    # are added up as steps: one row for each day that one begins or ends on, however many closes there are.
+    spans = closes.where("close is not null").select(
+        "close", (F.col("number") + 1).alias("from"), (F.lead("number").over(by_number) + 1).alias("after")
+    ).where("close <> 0")
+    steps = spans.groupBy(F.col("from").alias("number")).agg(F.count("*").alias("step")).unionByName(
+        spans.where("after is not null").groupBy(F.col("after").alias("number")).agg((-F.count("*")).alias("step"))
+    ).groupBy("number").agg(F.sum("step").alias("step"))
+    open_spans = F.sum("step").over(W.orderBy("number").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return days.join(steps, "number", "left").select("date", "number", open_spans.alias("spans")).where("spans > 0").drop("spans")
+
+
+def next_day_returns(pairs: DataFrame, prices: DataFrame, fill: str | None = "pad") -> DataFrame:
+    """``pairs`` (date, ticker, ...) on days with returns, with ``fwd_ret``: equals their join with ``forward_returns(returns(prices, fill))``.
+
+    Returns are worked out for the pairs only, not for every ticker and day. A pair is placed on the next day with returns, between its ticker's
+    closes; one sorted pass over both finds the close of that day and the last one before. Only day lists are broadcast (see `calendar_grid`).
+    """
+    if fill not in ("pad", None):
+        raise ValueError(f"fill must be 'pad' or None, not {fill!r}")
+    days = prices.select("date").distinct().select("date", F.row_number().over(W.orderBy("date")).alias("number"))
+    closes = prices.join(F.broadcast(days), "date").select("ticker", "number", "close")
+    kept = _days_with_returns(days, closes, fill)
+    places = kept.select("date", F.lead("number").over(W.orderBy("date")).alias("number"))
+
+    asked = pairs.join(F.broadcast(places), "date").select("ticker", "number", F.struct(*pairs.columns).alias("pair"))
+    both = asked.unionByName(closes, allowMissingColumns=True)
+    by_number = W.partitionBy("ticker").orderBy("number")
+    now = F.max("close").over(by_number.rangeBetween(0, 0))
+    if fill == "pad":
+        before = F.last("close", ignorenulls=True).over(by_number.rangeBetween(W.unboundedPreceding, -1))
+        now = F.coalesce(now, before)
+    else:
+        before = F.max("close").over(by_number.rangeBetween(-1, -1))
+    ret = F.try_divide(now, before) - 1
+    return both.withColumn("fwd_ret", ret).where("pair is not null").select("pair.*", "fwd_ret")
+
+
 def drop_incomplete(rows: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Removes rows with a NULL or NaN in one of the columns."""
     return rows.dropna(subset=list(columns))

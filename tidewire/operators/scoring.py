@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import PROBABILITIES, SCORES
+from ..session import materialize
 from .keyed import insert_if_absent, scoring_backlog
 from .lexicon import lexicon_score
 
@@ -95,14 +96,15 @@ def _classify(load: Callable[[], Predict]):
 
 
 def model_score(
-    headlines: DataFrame, load: Callable[[], Predict], model: str, lexicon: DataFrame, **lexicon_options
+    headlines: DataFrame, load: Callable[[], Predict], model: str, lexicon: DataFrame, profile=None, **lexicon_options
 ) -> DataFrame:
     """Scores with a classifier, and with the lexicon where it failed on a text.
 
     ``load()`` runs on the executors and returns ``predict(texts)``, one list of
     (class, probability) per text. A batch that fails is split until only failing texts are left, so
-    that results don't depend on how texts are batched; those are scored in the same pass, by giving the
-    lexicon only them. Failures are logged; fallback rows carry the lexicon's model name, by which they
+    that results don't depend on how texts are batched. The model's results are written once, in a stage without a shuffle that can have
+    executors of its own (``profile``, a Spark resource profile, such as one with GPUs); only the texts that it failed on are read again, for the
+    lexicon. Failures are logged; fallback rows carry the lexicon's model name, by which they
     can be counted.
     """
     schema = T.StructType([
@@ -110,18 +112,14 @@ def model_score(
         T.StructField("title", T.StringType()),
         T.StructField("probs", PROBABILITIES),
     ])
-    classified = headlines.select("headline_id", "title").mapInPandas(_classify(load), schema)
-    folded = fold_probabilities(classified).select(
-        "headline_id",
-        F.when(F.col("score").isNull(), F.col("title")).alias("title"),
-        F.when(F.col("score").isNotNull(), F.struct("label", "score", "confidence", F.lit(model).alias("model")))
-        .alias("classified"),
-    )
-    scored = lexicon_score(folded, lexicon, keep=("classified",), **lexicon_options)
-    fallback = F.struct("label", "score", "confidence", "model")
-    return scored.select("headline_id", F.coalesce("classified", fallback).alias("result")).select(
-        "headline_id", "result.*"
+    classified = headlines.select("headline_id", "title").mapInPandas(_classify(load), schema, profile=profile)
+    failed = F.col("score").isNull()
+    written = materialize(
+        fold_probabilities(classified).select("headline_id", "label", "score", "confidence", F.when(failed, F.col("title")).alias("title")), "model-scores"
     )
+    scored = written.where(~failed).select("headline_id", "label", "score", "confidence", F.lit(model).alias("model"))
+    fallback = lexicon_score(written.where(failed).select("headline_id", "title"), lexicon, **lexicon_options)
+    return scored.unionByName(fallback.select(scored.columns))
 
 
 def score(headlines: DataFrame, backend: str | None = None, **options) -> DataFrame:

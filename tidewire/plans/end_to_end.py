@@ -14,19 +14,23 @@ from pyspark.sql import functions as F
 from ..functions.text import normal_watchlist
 from ..operators.backtest import backtest, equity_curve
 from ..operators.backtest import metrics as signal_metrics
-from ..operators.daily import backtest_range, daily_sentiment, pivot_sentiment, require_days
+from ..operators.daily import backtest_range, daily_from_partials, daily_partials, pivot_sentiment, require_days
 from ..operators.keyed import insert_counts, insert_if_absent, scored_frame, union_sources
 from ..operators.normalize import normalize_news, normalize_posts
 from ..operators.scoring import score_pending
 from ..schemas import DAILY
-from ..session import local_frame, materialize
+from ..session import materialize
 from ..sources.landed import read_listing, read_news, read_prices
 from ..sources.tables import (
+    STORE_KEY,
+    add_daily_partials,
     append_headlines,
     append_scores,
     create_store,
+    read_daily_partials,
     read_headlines,
     read_scores,
+    replace_daily_partials,
     write_results,
 )
 
@@ -72,17 +76,35 @@ def ingest(spark: SparkSession, config: RunConfig) -> DataFrame:
                 raise
             log.warning("no forum listing at %s: going on with news only", config.forum_path)
     path = f"{config.store}/headlines"
-    new = materialize(insert_if_absent(batch, read_headlines(spark, path)), "new-headlines")
+    # The id is made of the key, and the store is bucketed by it: the history isn't moved.
+    new = materialize(insert_if_absent(batch, read_headlines(spark, path), (STORE_KEY,)), "new-headlines")
     append_headlines(new, path)
     return materialize(insert_counts(new, config.watch), "inserted")
 
 
-def score_store(spark: SparkSession, config: RunConfig) -> int:
-    """Scores the stored headlines that have no score; returns how many."""
+def score_store(spark: SparkSession, config: RunConfig) -> DataFrame:
+    """Scores the stored headlines that have no score; returns the new scores."""
     headlines = read_headlines(spark, f"{config.store}/headlines")
     scores = read_scores(spark, f"{config.store}/scores")
-    pending = score_pending(headlines, scores, config.backend, **config.score_options)
-    return append_scores(pending, f"{config.store}/scores")
+    pending = materialize(score_pending(headlines, scores, config.backend, **config.score_options), "new-scores")
+    append_scores(pending, f"{config.store}/scores")
+    return pending
+
+
+def update_daily(spark: SparkSession, store: str, new_scores: DataFrame) -> DataFrame:
+    """The daily table, of partials that are kept by day: only the days of new scores are read and rewritten.
+
+    The partials must have as many rows as there are scores; where they don't, as after a run that was cut short between the two, or in a
+    store that has none yet, all days are computed anew.
+    """
+    headlines, scores = read_headlines(spark, f"{store}/headlines"), read_scores(spark, f"{store}/scores")
+    path = f"{store}/daily"
+    add_daily_partials(daily_partials(scored_frame(headlines, new_scores)), path)
+    counted = read_daily_partials(spark, path).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    if counted != scores.count():
+        log.warning("the daily partials have %d rows of another number of scores: computing all days anew", counted)
+        replace_daily_partials(daily_partials(scored_frame(headlines, scores)), path)
+    return daily_from_partials(read_daily_partials(spark, path))
 
 
 def run_end_to_end(spark: SparkSession, config: RunConfig) -> dict[str, DataFrame]:
@@ -92,17 +114,14 @@ def run_end_to_end(spark: SparkSession, config: RunConfig) -> dict[str, DataFram
     earlier run stay readable. ``wide`` has a column for each ticker of ``wide`` in the arguments (the watchlist
     by default) that has a day.
 
-    The daily table is written before it is used: the guard, the date range and the backtest all
-    read it, and none of them should repeat the join of headlines and scores.
+    Headlines, scores and daily partials grow by what is new; a run reads the history only for the ids of the two tables, in place.
+    The daily table of a run is written before it is used: the guard, the date range and the backtest all read it.
     """
     inserted = ingest(spark, config)
-    scored = score_store(spark, config)
+    new_scores = score_store(spark, config)
 
     results = f"{config.store}/results/{uuid.uuid4().hex}"
-    frame = scored_frame(
-        read_headlines(spark, f"{config.store}/headlines"), read_scores(spark, f"{config.store}/scores")
-    )
-    write_results(results, daily=daily_sentiment(frame))
+    write_results(results, daily=update_daily(spark, config.store, new_scores).select(DAILY.names))
     daily = spark.read.schema(DAILY).parquet(f"{results}/daily")
 
     # no more than the argument names
@@ -125,7 +144,7 @@ def run_end_to_end(spark: SparkSession, config: RunConfig) -> dict[str, DataFram
     write_results(results, equity=equity, metrics=metrics)
     return {
         "inserted": inserted,
-        "scored": local_frame(spark, [(scored,)], "scored long"),
+        "scored": new_scores.agg(F.count("*").alias("scored")),
         "daily": daily.orderBy("ticker", "date"),
         "wide": pivot_sentiment(daily, shown).orderBy("date"),
         "aligned": aligned.orderBy("date", "ticker"),

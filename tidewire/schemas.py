@@ -42,6 +42,18 @@ DAILY = T.StructType([
     T.StructField("confidence", T.DoubleType(), True),
 ])
 
+#: Sums and counts of a ticker's day, and the last batch that the day took in (see `add_daily_partials`).
+PARTIALS = T.StructType([
+    T.StructField("ticker", T.StringType(), True),
+    T.StructField("score_sum", T.DoubleType(), True),
+    T.StructField("score_n", T.LongType(), True),
+    T.StructField("confidence_sum", T.DoubleType(), True),
+    T.StructField("confidence_n", T.LongType(), True),
+    T.StructField("n", T.LongType(), True),
+    T.StructField("applied", T.LongType(), True),
+    T.StructField("date", T.DateType(), True),
+])
+
 PRICES = T.StructType([
     T.StructField("date", T.DateType(), False),
     T.StructField("ticker", T.StringType(), False),

@@ -1,40 +1,94 @@
-"""The stored tables: scan, append, bucketed save, results."""
+"""The stored tables: bucketed headlines and scores, daily partials by day, results."""
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import HEADLINES, SCORES
-from ..session import local_frame
+from ..schemas import HEADLINES, PARTIALS, SCORES
+from ..session import local_frame, materialize
+
+#: Headlines and scores are bucketed by it, so that joins of the two, and set logic on it, leave the history where it is.
+STORE_KEY = "headline_id"
+LAYOUT = "buckets int"
+
+#: Buckets of the stores that this process has seen.
+_buckets: dict[str, int] = {}
 
 
-def create_store(spark: SparkSession, store: str) -> None:
-    """Creates the headline and score tables of a store; leaves existing ones alone."""
+def create_store(spark: SparkSession, store: str, buckets: int | None = None) -> None:
+    """Creates the headline and score tables of a store; leaves existing ones alone.
+
+    Both are bucketed and sorted by `STORE_KEY`. ``buckets`` is the number of shuffle partitions unless given; it is kept in the store and
+    can't change later. Choose it for the history's final size.
+    """
+    number = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    local_frame(spark, [(number,)], LAYOUT).coalesce(1).write.mode("ignore").parquet(f"{store}/layout")
     for name, schema in (("headlines", HEADLINES), ("scores", SCORES)):
-        local_frame(spark, [], schema).write.mode("ignore").parquet(f"{store}/{name}")
+        # an empty folder: a file without rows would be in no bucket
+        local_frame(spark, [], schema).write.mode("ignore").partitionBy(STORE_KEY).parquet(f"{store}/{name}")
+
+
+def _buckets_of(spark: SparkSession, path: str) -> int | None:
+    """Buckets of a table of a store, None for a folder of other files."""
+    store = path.rstrip("/").rpartition("/")[0]
+    if store not in _buckets:
+        try:
+            _buckets[store] = spark.read.schema(LAYOUT).parquet(f"{store}/layout").first()["buckets"]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+    return _buckets[store]
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> str | None:
+    """Name of a stored table in the session's catalog, where its path is entered when it's first used."""
+    buckets = _buckets_of(spark, path)
+    if buckets is None:
+        return None
+    name = f"tidewire_{hashlib.md5(path.encode()).hexdigest()}"
+    columns = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in schema)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+        f"CLUSTERED BY ({STORE_KEY}) SORTED BY ({STORE_KEY}) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return name
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    name = _stored(spark, path, schema)
+    if name is None:
+        return spark.read.schema(schema).parquet(path)
+    spark.catalog.refreshTable(name)  # others may have appended
+    return spark.table(name)
 
 
 def read_headlines(spark: SparkSession, path: str) -> DataFrame:
     """Stored headlines; a path without a table is an error (see `create_store`)."""
-    return spark.read.schema(HEADLINES).parquet(path)
+    return _read(spark, path, HEADLINES)
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """Stored scores; selecting ``headline_id`` alone reads that one column."""
-    return spark.read.schema(SCORES).parquet(path)
+    return _read(spark, path, SCORES)
 
 
 def _append(rows: DataFrame, path: str, schema: T.StructType, counts: dict[str, Column]) -> dict[str, int]:
-    """Appends in one job. The counts are observed on the rows as they are written."""
-    counted = Observation()
-    (
-        rows.select([F.col(field.name).cast(field.dataType) for field in schema])
-        .observe(counted, *[count.alias(name) for name, count in counts.items()])
-        .write.mode("append")
-        .parquet(path)
-    )
+    """Appends in one job, one file a bucket. The counts are observed on the rows as they are written."""
+    spark, name, counted = rows.sparkSession, _stored(rows.sparkSession, path, schema), Observation()
+    rows = rows.select([F.col(field.name).cast(field.dataType) for field in schema])
+    if name is not None:
+        rows = rows.repartition(_buckets_of(spark, path), STORE_KEY)
+    rows = rows.observe(counted, *[count.alias(label) for label, count in counts.items()])
+    if name is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.write.insertInto(name)
     return counted.get
 
 
@@ -55,6 +109,42 @@ def save_bucketed(table: DataFrame, name: str, key: str, buckets: int, path: str
     writer.saveAsTable(name)
 
 
+def read_daily_partials(spark: SparkSession, path: str) -> DataFrame:
+    """Stored partials, one row per ticker and day, in a folder for each day."""
+    return spark.read.schema(PARTIALS).parquet(path)
+
+
+def _by_day(partials: DataFrame, path: str) -> None:
+    """Replaces the days that the partials have, one file each; other days stay as they are."""
+    partials.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+
+
+def add_daily_partials(new: DataFrame, path: str, batch: int | None = None) -> None:
+    """Adds partials (`daily_partials`) to the stored ones of the same days, and rewrites those days only.
+
+    With a ``batch`` number, which must grow, a day remembers the last batch that it took in: a batch that runs again adds only to days it had
+    not reached. One writer at a time.
+    """
+    spark = new.sparkSession
+    local_frame(spark, [], PARTIALS).write.mode("ignore").partitionBy("date").parquet(path)
+    new = materialize(new.withColumn("applied", F.lit(batch).cast("long")), "new-partials")
+    # A DATE column has at most 3.7 million values.
+    touched = read_daily_partials(spark, path).join(F.broadcast(new.select("date").distinct()), "date", "left_semi")
+    if batch is not None:
+        done = touched.groupBy("date").agg(F.max("applied").alias("applied")).where(F.col("applied") >= batch).select("date")
+        new = new.join(F.broadcast(done), "date", "left_anti")
+    merged = touched.unionByName(new).groupBy("date", "ticker").agg(
+        *[(F.max if name == "applied" else F.sum)(name).alias(name) for name in PARTIALS.names if name not in ("date", "ticker")]
+    )
+    _by_day(materialize(merged, "merged-partials"), path)  # a folder can't be read and replaced in one job
+
+
+def replace_daily_partials(partials: DataFrame, path: str) -> None:
+    """Stores partials of all rows in place of whatever is there."""
+    partials.withColumn("applied", F.lit(None).cast("long")).repartition("date").write.mode("overwrite").option(
+        "partitionOverwriteMode", "static").partitionBy("date").parquet(path)
+
+
 def write_results(folder: str, **tables: DataFrame) -> None:
     """Result tables (daily, equity, metrics) as parquet in a new folder: the data behind the charts."""
     for name, table in tables.items():

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import utc_day
 from ..operators.daily import daily_from_partials, daily_partials
+from ..sources.tables import add_daily_partials, read_daily_partials
 
 
 def daily_stream(scored: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -38,17 +39,18 @@ def daily_stream(scored: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def daily_partials_stream(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes the partials of each batch below ``path``, in a folder of its own, then stops.
+    """Adds the partials of each batch to those of their days below ``path``, then stops.
 
-    A batch that runs again replaces its folder, so every row counts once, however late it is. Rows should be
-    those that `insert_if_absent` let through: copies that are in the stream count.
+    A batch rewrites the days it has rows of, however late they are, and there is one file a day whatever the number of batches. A batch that runs
+    again counts once. The path belongs to one checkpoint. Rows should be those that `insert_if_absent` let through: copies that are in the
+    stream count.
     """
     def add(batch: DataFrame, batch_id: int) -> None:
-        daily_partials(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        add_daily_partials(daily_partials(batch), path, batch_id)
 
     return scored.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stored_daily(spark, path: str) -> DataFrame:
     """The complete daily table from all partials below a path."""
-    return daily_from_partials(spark.read.parquet(path))
+    return daily_from_partials(read_daily_partials(spark, path))
