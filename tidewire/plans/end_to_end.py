@@ -91,6 +91,12 @@ def score_store(spark: SparkSession, config: RunConfig) -> DataFrame:
     return pending
 
 
+def _in_time(scored: DataFrame) -> DataFrame:
+    """Rows in tasks of even size, by time within a task: then sums of doubles, whose last bits depend on their order, don't hang on the store's buckets."""
+    rows = scored.select("ticker", "published_at", "url", "score", "confidence")
+    return rows.hint("rebalance").sortWithinPartitions("published_at", "url")
+
+
 def update_daily(spark: SparkSession, store: str, new_scores: DataFrame) -> DataFrame:
     """The daily table, of partials that are kept by day: only the days of new scores are read and rewritten.
 
@@ -99,11 +105,11 @@ def update_daily(spark: SparkSession, store: str, new_scores: DataFrame) -> Data
     """
     headlines, scores = read_headlines(spark, f"{store}/headlines"), read_scores(spark, f"{store}/scores")
     path = f"{store}/daily"
-    add_daily_partials(daily_partials(scored_frame(headlines, new_scores)), path)
+    add_daily_partials(daily_partials(_in_time(scored_frame(headlines, new_scores))), path)
     counted = read_daily_partials(spark, path).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     if counted != scores.count():
         log.warning("the daily partials have %d rows of another number of scores: computing all days anew", counted)
-        replace_daily_partials(daily_partials(scored_frame(headlines, scores)), path)
+        replace_daily_partials(daily_partials(_in_time(scored_frame(headlines, scores))), path)
     return daily_from_partials(read_daily_partials(spark, path))
 
 
