@@ -95,7 +95,7 @@ def contaminated(docs, items, size=5, threshold=0.8):
     return found
 
 
-def quality(docs, min_docs=20, max_percent=20, min_kept=30):
+def quality(docs, min_docs=20, max_percent=1, min_kept=30):
     """doc_id -> (the five numbers, base_failed, kept), for rows of doc_id, source, text."""
     held, texts = defaultdict(set), defaultdict(set)
     line_words = {}

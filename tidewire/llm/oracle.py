@@ -55,7 +55,7 @@ lines AS (
   FROM (SELECT host, text, line, translate(trim(line, {_STRIP}), {_ALPHABET}) AS key FROM (SELECT host, text, unnest(string_split(text, chr(10))) AS line FROM texts))
   WHERE length(key) > 0 GROUP BY host, text, key),
 hosts AS (SELECT host, count(DISTINCT text) AS n FROM lines GROUP BY host),
-often AS (SELECT l.host, key FROM lines l JOIN hosts h ON l.host = h.host GROUP BY l.host, key, h.n HAVING count(*) >= 20 AND 100 * count(*) > 20 * h.n),
+often AS (SELECT l.host, key FROM lines l JOIN hosts h ON l.host = h.host GROUP BY l.host, key, h.n HAVING count(*) >= 20 AND 100 * count(*) > h.n),
 depleted AS (
   SELECT l.host, l.text FROM lines l LEFT JOIN often o ON o.host = l.host AND o.key = l.key
   GROUP BY l.host, l.text HAVING 100 * sum(CASE WHEN o.key IS NULL THEN words ELSE 0 END) < 30 * sum(words))

@@ -76,18 +76,23 @@ def line_table(docs: DataFrame) -> DataFrame:
     return lines.groupBy("host", "hash", "line").agg(F.max("words").alias("words"))
 
 
-def depleted_texts(docs: DataFrame, min_docs: int = 20, max_percent: int = 20, min_kept_percent: int = 30) -> DataFrame:
-    """``host, hash, removed_words`` of texts that keep under ``min_kept_percent`` of their words.
+def frequent_lines(lines: DataFrame, min_docs: int = 20, max_percent: float = 1) -> DataFrame:
+    """``host, line`` of the lines that at least ``min_docs`` distinct texts of a host, and more than ``max_percent`` of them, hold."""
+    hosts = lines.groupBy("host", "hash").agg(F.sum("words").alias("all_words")).groupBy("host").agg(F.count("*").alias("host_texts"))
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    joined = counts.join(hosts.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h")))
+    return joined.where(F.col("n") * 100 > F.col("host_texts") * max_percent).select("host", "line")
+
 
-    Removed are lines that at least ``min_docs`` distinct texts of the host, and more than
-    ``max_percent`` of them, hold. Each line counts once per text.
+def depleted_texts(docs: DataFrame, min_docs: int = 20, max_percent: float = 1, min_kept_percent: int = 30) -> DataFrame:
+    """``host, hash, removed_words`` of texts that keep under ``min_kept_percent`` of their words when `frequent_lines` are removed.
+
+    The share is small, so that boilerplate reaches it on hosts of any size: a line of one text in a hundred is no one's own. Each line
+    counts once per text, and copies of a text are one text.
     """
     lines = materialize(line_table(docs), "lines")
     texts = lines.groupBy("host", "hash").agg(F.sum("words").alias("all_words"))
-    hosts = texts.groupBy("host").agg(F.count("*").alias("host_texts"))
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    frequent = counts.withColumnRenamed("host", "_h").join(hosts, F.col("_h").eqNullSafe(F.col("host"))).where(
-        F.col("n") * 100 > F.col("host_texts") * max_percent).select("_h", F.col("line").alias("_line"))
+    frequent = frequent_lines(lines, min_docs, max_percent).toDF("_h", "_line")
     held = lines.join(frequent, F.col("host").eqNullSafe(F.col("_h")) & (F.col("line") == F.col("_line")))
     removed = held.groupBy("host", "hash").agg(F.sum("words").alias("removed_words"))
     both = removed.toDF("_h", "_hash", "removed_words").join(texts, F.col("_h").eqNullSafe(F.col("host")) & (F.col("_hash") == F.col("hash")))
