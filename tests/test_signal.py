@@ -240,3 +240,16 @@ def test_next_day_returns_without_a_grid(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "explode" not in plan
     assert op.align_prices(daily.limit(0), prices).count() == 0 and op.align_prices(daily, prices.limit(0)).count() == 0
+
+
+def test_wide_maps_of_any_width(spark):
+    long = spark.range(24_000).select(
+        F.expr("date'2024-01-01' + cast(id div 12000 as int)").alias("date"), F.concat(F.lit("T"), F.col("id") % 12_000).alias("ticker"),
+        F.when(F.col("id") % 7 > 0, F.col("id") / 8).alias("sentiment"))
+    wide = op.wide_map(long)
+    assert wide.count() == 2 and wide.columns == ["date", "sentiment"]
+    back = op.unpivot_map(wide)
+    filled = long.where("sentiment is not null")
+    assert back.count() == filled.count() and back.exceptAll(filled).count() == 0
+    with pytest.raises(Exception, match="repeated"):
+        op.wide_map(long.union(long.where("ticker = 'T1'"))).collect()

@@ -328,6 +328,7 @@ _ORACLE: dict[str, str] = {
     + " from daily group by date",
     "unpivot_sentiment": f"with {EVENTS} select date, ticker, round(1e-9 + sentiment, 6) as sentiment from daily "
     "where sentiment is not null",
+    "wide_map": f"with {EVENTS} select date, ticker, round(1e-9 + sentiment, 6) as sentiment from daily where sentiment is not null",
     "ticker_summary": f"with {EVENTS} select ticker, count(*) as n, round(1e-9 + avg(score), 6) as mean_sentiment "
     "from scored group by ticker",
     "run_counters": f"""with {EVENTS} select count(*) filter (source = 'yfinance') as news_rows,

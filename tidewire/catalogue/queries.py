@@ -71,6 +71,12 @@ def unpivot_sentiment(spark, sf):
     )
 
 
+@_query
+def wide_map(spark, sf):
+    """The wide form as maps, and back."""
+    return op.unpivot_map(op.wide_map(_daily(spark, sf))).select("date", "ticker", r6("sentiment"))
+
+
 @_query
 def ticker_summary(spark, sf):
     return op.ticker_summary(b.scored_events(spark, sf)).select("ticker", "n", r6("mean_sentiment"))

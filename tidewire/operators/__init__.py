@@ -24,7 +24,9 @@ from .daily import (
     run_counters,
     ticker_summary,
     top_scored,
+    unpivot_map,
     unpivot_wide,
+    wide_map,
 )
 from .keyed import (
     fits_broadcast,
@@ -47,5 +49,5 @@ __all__ = [
     "lexicon_score", "median_split_signal", "metrics", "model_score", "next_day_returns", "normalize_news",
     "normalize_posts", "pivot_sentiment", "register_backend", "require_days", "returns",
     "run_counters", "score", "score_pending", "scored_frame", "scoring_backlog",
-    "ticker_summary", "top_scored", "union_sources", "unpivot_wide",
+    "ticker_summary", "top_scored", "union_sources", "unpivot_map", "unpivot_wide", "wide_map",
 ]

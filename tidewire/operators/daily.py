@@ -82,6 +82,24 @@ def unpivot_wide(wide: DataFrame, value: str = "value") -> DataFrame:
     return wide.unpivot("date", columns, "ticker", value).where(F.col(value).isNotNull())
 
 
+def wide_map(daily: DataFrame, value: str = "sentiment") -> DataFrame:
+    """The wide form for any number of tickers: date, and a map from ticker to value.
+
+    The plan and the schema are the same for ten tickers as for a million; a row has the tickers of its day. Empty cells have no entry. A repeated
+    (day, ticker) is an error.
+    """
+    entry = F.struct("ticker", F.col(value).alias("value"))
+    filled = daily.where(F.col("ticker").isNotNull() & F.col(value).isNotNull())
+    many = F.count(F.lit(1)) > F.count_distinct("ticker")
+    cells = F.when(many, F.raise_error(F.lit("wide: repeated (date, ticker)"))).otherwise(F.map_from_entries(F.sort_array(F.collect_list(entry))))
+    return filled.groupBy("date").agg(cells.alias(value))
+
+
+def unpivot_map(wide: DataFrame, value: str = "sentiment") -> DataFrame:
+    """`wide_map` back to long: date, ticker, value."""
+    return wide.select("date", F.explode(value).alias("ticker", value))
+
+
 def for_ticker(rows: DataFrame, ticker: str | None) -> DataFrame:
     """Rows of one ticker; none given means all. The argument is upper-cased, the column is not."""
     return rows.where(F.col("ticker") == ticker.upper()) if ticker else rows
