@@ -47,6 +47,7 @@ def test_run_twice(spark, landed):
     first = run_end_to_end(spark, landed)
     assert dict(rows(first["inserted"])) == {"NVDA": 9, "TSLA": 8, "SPY": 0}
     assert rows(first["scored"]) == [(17,)]
+    assert rows(first["rejected"]) == [("news", 19, 1)]
     assert first["wide"].columns == ["date", "NVDA", "TSLA"] and first["wide"].count() == 8
     metrics = first["metrics"].first()
     # Eight days of sentiment, but the first day of prices has no return, so no row to meet.

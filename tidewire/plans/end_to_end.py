@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_watchlist
@@ -19,7 +19,7 @@ from ..operators.keyed import insert_counts, insert_if_absent, scored_frame, uni
 from ..operators.normalize import normalize_news, normalize_posts
 from ..operators.scoring import score_pending
 from ..schemas import DAILY
-from ..session import materialize
+from ..session import local_frame, materialize
 from ..sources.landed import read_listing, read_news, read_prices
 from ..sources.tables import (
     STORE_KEY,
@@ -63,10 +63,14 @@ class RunConfig:
         return F.convert_timezone(F.lit("UTC"), F.current_timezone(), moment).cast("timestamp")
 
 
-def ingest(spark: SparkSession, config: RunConfig) -> DataFrame:
-    """Stores new headlines of both sources; returns the inserted rows per watched ticker."""
+def ingest(spark: SparkSession, config: RunConfig) -> tuple[DataFrame, DataFrame]:
+    """Stores new headlines of both sources; returns the inserted rows per watched ticker, and the news feed's lines and rejected lines.
+
+    Lines are counted as they are parsed, in the job that finds the new headlines (of forum listings, see `read_rejected`).
+    """
     create_store(spark, config.store)
-    batch = normalize_news(read_news(spark, config.news_path), config.now, config.watch)
+    counts = Observation()
+    batch = normalize_news(read_news(spark, config.news_path, counts), config.now, config.watch)
     if config.forum_path:
         try:
             posts = read_listing(spark, config.forum_path)
@@ -79,7 +83,8 @@ def ingest(spark: SparkSession, config: RunConfig) -> DataFrame:
     # The id is made of the key, and the store is bucketed by it: the history isn't moved.
     new = materialize(insert_if_absent(batch, read_headlines(spark, path), (STORE_KEY,)), "new-headlines")
     append_headlines(new, path)
-    return materialize(insert_counts(new, config.watch), "inserted")
+    rejected = local_frame(spark, [("news", counts.get["lines"], counts.get["rejected"])], "feed string, lines long, rejected long")
+    return materialize(insert_counts(new, config.watch), "inserted"), rejected
 
 
 def score_store(spark: SparkSession, config: RunConfig) -> DataFrame:
@@ -114,7 +119,7 @@ def update_daily(spark: SparkSession, store: str, new_scores: DataFrame) -> Data
 
 
 def run_end_to_end(spark: SparkSession, config: RunConfig) -> dict[str, DataFrame]:
-    """Runs all steps and returns their tables: inserted, daily, wide, aligned, equity, metrics.
+    """Runs all steps and returns their tables: inserted, rejected, scored, daily, wide, aligned, equity, metrics.
 
     Results are written to ``store/results/<run>``, a new folder each time, so that the tables of an
     earlier run stay readable. ``wide`` has a column for each ticker of ``wide`` in the arguments (the watchlist
@@ -123,7 +128,7 @@ def run_end_to_end(spark: SparkSession, config: RunConfig) -> dict[str, DataFram
     Headlines, scores and daily partials grow by what is new; a run reads the history only for the ids of the two tables, in place.
     The daily table of a run is written before it is used: the guard, the date range and the backtest all read it.
     """
-    inserted = ingest(spark, config)
+    inserted, rejected = ingest(spark, config)
     new_scores = score_store(spark, config)
 
     results = f"{config.store}/results/{uuid.uuid4().hex}"
@@ -150,6 +155,7 @@ def run_end_to_end(spark: SparkSession, config: RunConfig) -> dict[str, DataFram
     write_results(results, equity=equity, metrics=metrics)
     return {
         "inserted": inserted,
+        "rejected": rejected,
         "scored": new_scores.agg(F.count("*").alias("scored")),
         "daily": daily.orderBy("ticker", "date"),
         "wide": pivot_sentiment(daily, shown).orderBy("date"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,14 +44,21 @@ def _parsed(text: str) -> Column:
     return F.explode(F.array(F.try_parse_json(text)))
 
 
-def parse_news(lines: DataFrame) -> DataFrame:
+def _counted(lines: DataFrame, counts: Observation) -> DataFrame:
+    """Lines (value, seq) -> seq, raw VARIANT; lines and rejected lines are counted as they pass. What is observed is computed once."""
+    no_json = F.col("raw").isNull() & (F.trim("value") != "")
+    parsed = lines.select("seq", "value", F.try_parse_json("value").alias("raw"))
+    return parsed.observe(counts, F.count(F.lit(1)).alias("lines"), F.count_if(no_json).alias("rejected"))
+
+
+def parse_news(lines: DataFrame, counts: Observation | None = None) -> DataFrame:
     """Lines ``{"ticker": ..., "item": {...}}`` (value, seq) -> ticker, seq, item VARIANT.
 
-    Items stay VARIANT so that a JSON number and the same digits as text can be told apart.
+    Items stay VARIANT so that a JSON number and the same digits as text can be told apart. ``counts`` observes ``lines`` and ``rejected``.
     """
+    parsed = lines.select("seq", _parsed("value").alias("raw")) if counts is None else _counted(lines, counts)
     return (
-        lines.select("seq", _parsed("value").alias("raw"))
-        .select(
+        parsed.select(
             F.try_variant_get("raw", "$.ticker", "string").alias("ticker"),
             "seq",
             F.try_variant_get("raw", "$.item", "variant").alias("item"),
@@ -79,8 +86,8 @@ def read_rejected(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rejected(_lines(spark, path))
 
 
-def read_news(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return parse_news(_lines(spark, path))
+def read_news(spark: SparkSession, path: str | list[str], counts: Observation | None = None) -> DataFrame:
+    return parse_news(_lines(spark, path), counts)
 
 
 def read_listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
