@@ -390,17 +390,97 @@ def test_language_model(spark):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(own), sum(w in count for w in own), total)
         assert r["base_score"] == pytest.approx(want, rel=1e-9)
         base, score = base + held[r["doc_id"]] * r["base_score"], score + held[r["doc_id"]] * r["score"]
-    assert score > 0.98 * base  # logs: the model explains held-out texts better than word counts
-
-
-def test_class_probabilities_add_up():
+    assert score > 0.975 * base  # logs: the model explains held-out texts better than word counts
+
+
+def chained_texts(draw, documents, words, lag):
+    """Texts in which each word is mostly one of three that depend on the word ``lag`` before."""
+    for i in range(documents):
+        text = [draw.randrange(words) for _ in range(lag)]
+        for _ in range(80):
+            text.append((text[-lag] * 7 + draw.randrange(3)) % words if draw.random() < 0.8 else draw.randrange(words))
+        yield i, " ".join(f"w{x}" for x in text)
+
+
+@pytest.mark.parametrize("lag, of_base", [(1, 0.6), (2, 0.65)])
+def test_history_bears_on_the_word(spark, lag, of_base):
+    docs = list(chained_texts(random.Random(8), 2_500, 300, lag))
+    split = {i: t.encode().split() + [lm.END] for i, t in docs}
+    train = [split[i] for i in split if zlib.crc32(str(i).encode()) % 7 != 2]
+    one, two = Counter(w for d in train for w in d), Counter(p for d in train for p in zip([lm.END, *d], d))
+    before = Counter()
+    for (first, _), n in two.items():
+        before[first] += n
+    total, distinct = one.total(), len(one)
+    bigram = base = score = 0.0
+    for r in lm.lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).where("held_out").collect():
+        own = split[r["doc_id"]]
+        alone = [(one[w] + 1) / (total + distinct + 1) for w in own]
+        bigram += sum(np.log10((two[p] + 100 * q) / (before[p[0]] + 100)) for p, q in zip(zip([lm.END, *own], own), alone))
+        base, score = base + r["base_score"], score + r["score"]
+    assert score > of_base * base
+    assert lag == 1 or score > bigram  # which falls back on single words, with a weight of 100, and can't skip one
+
+
+def toy_model(draw, levels, codes, bits=10):
+    tree = lm.Tree(codes[:5], levels)
+    tokens = draw.integers(0, 50, tree.leaves).astype(float)
+    return lm.Model(draw.normal(size=(lm.KINDS << bits, lm.BRANCHES)).astype(np.float32), tree.bias(tokens), tree, bits)
+
+
+@pytest.mark.parametrize("levels", [2, 3])
+def test_leaf_probabilities_add_up(levels):
     draw = np.random.default_rng(3)
-    model = lm.Model(draw.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32), np.sort(draw.integers(0, 1 << 24, 5, dtype=np.uint32)))
+    codes = draw.integers(0, 1 << 24, 60, dtype=np.uint32).tolist()
+    model = toy_model(draw, levels, codes)
     sequences = [draw.integers(0, 1 << 24, n, dtype=np.uint32) for n in (1, 2, 50)]
     assert all((lm.unpacked(lm.packed(s)) == s).all() for s in sequences)
-    rows, kinds = model.examples(sequences, 9)
-    assert rows.shape == (53, 4) and rows.max() < lm.ROWS and kinds.max() < lm.CLASSES
-    assert np.exp(model.log_probabilities(rows)).sum(axis=1) == pytest.approx(np.ones(53), abs=1e-5)
+    rows, nodes, branches = model.examples(sequences, 9)
+    assert rows.shape == (lm.KINDS, 53 * levels) and rows.max() < len(model.weights) and nodes.max() < len(model.bias)
+    assert model.probabilities(rows, nodes).sum(axis=1) == pytest.approx(np.ones(53 * levels), abs=1e-5)
+    # the probabilities of all leaves after one history add up: one code for each leaf
+    tree = model.tree
+    every = np.array([*codes[:5], *(np.arange(tree.leaves // 2, dtype=np.uint32) << np.uint32(tree.shift)).tolist()], np.uint32)
+    every = every[np.unique(tree.leaf(every), return_index=True)[1]]
+    rows, nodes, branches = model.examples([np.array([7, 8, c], np.uint32) for c in every], 9)
+    p = model.probabilities(rows, nodes)[np.arange(len(nodes)), branches].reshape(-1, 3, levels)[:, 2].prod(axis=1)
+    assert len(p) >= tree.leaves // 2 and p.sum() < 1 + 1e-4
+    used = np.unique(tree.leaf(every))
+    empty = [leaf for leaf in range(tree.leaves) if leaf not in set(used.tolist())]  # places that no frequent word took
+    nodes_of, branch_of = tree.steps(np.array(empty))
+    rows_of, nodes_seen, _ = model.examples([np.array([7, 8, every[0]], np.uint32)], 9)
+    assert nodes_of.shape == branch_of.shape == (levels, len(empty)) and (nodes_of[0] == 0).all()
+
+
+def test_a_step_by_brute_force():
+    """Probabilities and one step of training, example by example."""
+    draw = np.random.default_rng(5)
+    codes = draw.integers(0, 1 << 24, 12, dtype=np.uint32)
+    model = toy_model(draw, 2, codes.tolist(), bits=6)
+    rows, nodes, branches = model.examples([draw.choice(codes, 40), draw.choice(codes, 7)], 9)
+    want, squares = model.weights.astype(float), np.full(len(model.weights), 0.1)
+    gradients = []
+    for at in range(len(nodes)):
+        logits = model.bias[nodes[at]].astype(float) + sum(model.weights[r] for r in rows[:, at])
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        assert model.probabilities(rows[:, at : at + 1], nodes[at : at + 1])[0] == pytest.approx(p, rel=1e-4)
+        p[branches[at]] -= 1
+        gradients.append(p)
+    for row in rows:
+        for r, g in zip(row, gradients):
+            squares[r] += (g * g).mean()
+        for r, g in zip(row, gradients):
+            want[r] -= 0.1 / np.sqrt(squares[r]) * g
+    learner = lm.Learner(model, 0.1)
+    learner.step(rows, nodes, branches)
+    assert np.allclose(learner.model.weights, want, atol=1e-4)
+    assert learner.seen.sum() == rows.size
+
+
+def test_depth_and_rows_follow_the_vocabulary():
+    assert [lm.levels_for(v) for v in (0, 65_536, 65_537, 1 << 24, (1 << 24) + 1, 1 << 32)] == [2, 2, 3, 3, 4, 4]
+    assert [lm.bits_for(v, 15) for v in (0, 1_000, 10**9)] == [8, 14, 15]
 
 
 def test_words():
