@@ -1,6 +1,7 @@
 """Operators against plain Python versions and the tokenizers' libraries."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -487,3 +488,16 @@ def test_words():
     assert words.words_of("A\u00a0B\x0bÉé\x1cx  y") == ["a\u00a0b".encode(), "Éé\x1cx".encode(), b"y"]
     assert len(words.shingle_set("a b", 3)) == 1 and len(words.shingle_set("", 3)) == 0
     assert (words.shingle_set("a b c a b c", 3) == words.shingle_set("A B C A B", 3)).all()
+
+
+def test_passages_of_repetitive_texts_take_linear_time(spark):
+    docs = [(1, "ab " * 30_000), (2, "ab " * 200_000), (3, "x " + "ab cd " * 50_000), (4, "ab cd " * 100_000 + "y"), (5, "ab " * 200_000 + "z")]
+    started = time.monotonic()
+    got = {r["doc_id"]: r for r in chunks.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert time.monotonic() - started < 60
+    assert [got[i]["kept_text"].strip() for i in (2, 4, 5)] == ["", "y", "z"] and [got[i]["n_spans"] for i in (1, 3)] == [0, 0]
+    draw = random.Random(13)
+    docs = [(i, " ".join(draw.choice(["ab", "ab ab", "cd ab ab", "é"]) for _ in range(draw.randrange(10, 120)))) for i in range(8)]
+    got = {r["doc_id"]: r for r in chunks.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), 8).collect()}
+    for i, (least, most) in passages_by_brute_force(docs, 8).items():
+        assert (least <= marked(got[i])).all() and (marked(got[i]) <= most).all()

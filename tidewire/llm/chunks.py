@@ -7,9 +7,12 @@
    several texts hold each chunk that its own bytes decide; windows without such chunks may be, too. All of these get two
    keys at each place where they occur: the hash of their bytes, and that with all of the last word.
 3. *Holders.* A key that several texts hold points from each place in the later ones to its first holder (least doc_id), which
-   has the whole window: one pointer per place, by an aggregate and a join on the key, never all pairs of holders.
-4. *Spans.* Pointers from a text to one holder and on one diagonal are one candidate; the bytes of both texts
-   along the diagonal are compared, and runs of equal bytes with at least ``min_words`` words are repeated passages.
+   has the whole window: one pointer per place, by an aggregate and a join on the key, never all pairs of holders. Texts are numbered
+   in the order of their doc_ids, so that a place is one number and the first holder a minimum, which Spark folds before the shuffle.
+4. *Spans.* Pointers from a text to one holder and on one diagonal are one candidate; the bytes of both texts are compared
+   along the diagonal, from the pointers on as far as they are equal, and runs with at least ``min_words`` words are repeated passages. A
+   pointer whose window lies in a run found before isn't followed, so that texts of one repeated pattern, with a diagonal for each
+   place, take time in proportion to their length.
 
 Copies of a whole text are found first, by hash; only one of them takes part in the steps above.
 """
@@ -25,12 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import local_frame, materialize
 from .words import HASHES, U64, mix, shingle_hashes
 
 #: Mean distance of cuts, least indexed and largest chunk, in bytes.
 MEAN_CHUNK, MIN_CHUNK, MAX_CHUNK = 24, 16, 512
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
+#: Places are numbers of texts above starts in bytes: 2^34 different texts of up to 2^29 bytes.
+START_BITS = 29
+#: Pointers of one diagonal are taken together within so many bytes.
+SEGMENT = 4096
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -68,11 +75,11 @@ def chunks_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _chunking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for text_id, text in zip(batch.column("text_id").to_pylist(), batch.column("text").to_pylist()):
+        for number, text in zip(batch.column("number").to_pylist(), batch.column("text").to_pylist()):
             own = np.unique(chunks_of(text.encode())[2])
             digests.append(own.view(np.int64))
-            owners.append(np.full(len(own), text_id, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digests)), pa.array(np.concatenate(owners))], ["digest", "text_id"])
+            owners.append(np.full(len(own), number, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digests)), pa.array(np.concatenate(owners))], ["digest", "number"])
 
 
 def first_characters(data: bytes, at: np.ndarray) -> np.ndarray:
@@ -114,27 +121,18 @@ def windows(data: bytes, repeated: np.ndarray, min_words: int) -> tuple[np.ndarr
 
 
 def _keying(min_words: int):
-    names, kinds = ["key", "doc_id", "text_id", "start"], [np.int64, np.int64, np.int64, np.int32]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
-            total = 0
-
-            def out() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *c])) for k, c in zip(kinds, columns)], names)
-
-            for doc_id, text_id, text, digests in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_id", "text", "digests"))):
-                starts, keys = windows(text.encode(), np.array(digests or [], np.int64).view(U64), min_words)
-                columns[0].append(keys.view(np.int64))
-                columns[1].append(np.full(len(keys), doc_id, np.int64))
-                columns[2].append(np.full(len(keys), text_id, np.int64))
-                columns[3].append(starts.astype(np.int32))
-                total += len(keys)
+            keys, places, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+            for number, text, digests in zip(*(batch.column(c).to_pylist() for c in ("number", "text", "digests"))):
+                starts, own = windows(text.encode(), np.array(digests or [], np.int64).view(U64), min_words)
+                keys.append(own.view(np.int64))
+                places.append(number << START_BITS | starts)
+                total += len(own)
                 if total > 300_000:
-                    yield out()
-                    columns, total = [[], [], [], []], 0
-            yield out()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, places)], ["key", "place"])
+                    keys, places, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, places)], ["key", "place"])
 
     return run
 
@@ -165,20 +163,54 @@ def at_characters(data: np.ndarray, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def equal_length(mine: np.ndarray, theirs: np.ndarray) -> int:
+    """How many bytes both have in common from their begin on; looked at in blocks of growing size."""
+    length, at, size = min(len(mine), len(theirs)), 0, 64
+    while at < length:
+        end = min(at + size, length)
+        other = np.flatnonzero(mine[at:end] != theirs[at:end])
+        if len(other):
+            return at + int(other[0])
+        at, size = end, 2 * size
+    return length
+
+
+def passages(data: bytes, theirs: bytes, pointers: list[tuple[int, int, int]], min_words: int) -> list[tuple[int, int]]:
+    """Runs of at least ``min_words`` words that ``theirs`` holds, too, along the pointers: first and last window's start, and shift.
+
+    A window that a run found before covers isn't looked at again.
+    """
+    mine, other = np.frombuffer(data, np.uint8), np.frombuffer(theirs, np.uint8)
+    words = word_counts(mine)
+    begins = np.append(np.flatnonzero(np.diff(words)), len(mine))
+    found: list[tuple[int, int]] = []
+    covered = (0, 0)  # the run that reaches furthest
+    for low, high, shift in sorted(pointers):
+        stop = int(begins[min(words[high] + min_words, len(begins) - 1)])  # where the word behind the last window begins
+        if covered[0] <= low and stop <= covered[1]:
+            continue
+        first = max(0, shift)
+        if low >= covered[1]:
+            low -= equal_length(mine[first:low][::-1], other[first - shift : low - shift][::-1])
+        stop = min(stop, len(other) + shift)
+        stop += equal_length(mine[stop:], other[stop - shift :])
+        for start, end in equal_runs(mine[low:stop], other[low - shift : stop - shift], 0):
+            start, end = at_characters(mine, low + start, low + end)
+            if words[end] - words[start] >= min_words:
+                found.append((start, end))
+                covered = max(covered, (start, end), key=lambda run: run[1])
+    return found
+
+
 def _comparing(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["number", "start", "end", "holder"], [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
         for batch in batches:
             rows = []
-            for text_id, holder, shifts, text, theirs in zip(*(batch.column(c).to_pylist() for c in ("text_id", "holder_id", "shifts", "text", "holder_text"))):
-                mine, other = np.frombuffer(text.encode(), np.uint8), np.frombuffer(theirs.encode(), np.uint8)
-                words = word_counts(mine)
-                for shift in shifts:
-                    for start, end in equal_runs(mine, other, shift):
-                        start, end = at_characters(mine, start, end)
-                        if words[end] - words[start] >= min_words:
-                            rows.append((text_id, start, end, holder))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, kinds)], ["text_id", "start", "end", "holder_id"])
+            for number, holder, pointers, text, theirs in zip(*(batch.column(c).to_pylist() for c in ("number", "holder", "pointers", "text", "holder_text"))):
+                pointers = [(p["low"], p["high"], p["shift"]) for p in pointers]
+                rows += [(number, start, end, holder) for start, end in _merged(passages(text.encode(), theirs.encode(), pointers, min_words))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, kinds)], names)
 
     return run
 
@@ -211,6 +243,18 @@ def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 8, kinds)], names)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The rows, written in ``order`` and numbered from 0 on in column ``number``. The driver holds one count per part."""
+    part, index = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+    rows = materialize(rows.orderBy(*order).withColumn("id", F.monotonically_increasing_id()), name)
+    total, offsets = 0, []
+    for row in rows.groupBy(part.alias("part")).count().orderBy("part").collect():
+        offsets.append((row["part"], total))
+        total += row["count"]
+    offsets = local_frame(rows.sparkSession, offsets, "part long, offset long")
+    return rows.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("number", F.col("offset") + index).drop("id", "part", "offset")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``doc_id, n_bytes, n_spans, dropped_bytes, spans, holders, kept_text, kept_sha256`` of each row of ``docs`` (doc_id, text).
 
@@ -224,30 +268,27 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     hashed = base.select("doc_id", "text", *hashes)
     last = F.lit((1 << 63) - 1)
     texts = hashed.where("length(text) > 0").groupBy("text_id", "check").agg(F.min(F.coalesce("doc_id", last)).alias("least"), F.count("*").alias("copies"))
-    texts = materialize(texts, "texts")
-    # shorter texts hold no passage; copies give the same chunks, which changes nothing
+    texts = numbered(texts, ["least", "text_id", "check"], "texts")
+    # shorter texts hold no passage
     long = hashed.where(F.length("text") >= 2 * min_words - 1)
-    chunks = materialize(long.select("text_id", "text").mapInArrow(_chunking, "digest long, text_id long"), "chunks")
-    shared = chunks.groupBy("digest").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a <> b").select("digest")
-    repeated = chunks.join(shared, "digest").groupBy("text_id").agg(F.collect_set("digest").alias("digests"))
-    known = texts.select("text_id", "check", "least").join(repeated, "text_id", "left")
-    one = long.join(known, ["text_id", "check"]).where(F.coalesce("doc_id", last) == F.col("least"))
-    keyed = one.select(F.col("least").alias("doc_id"), "text_id", "text", "digests").mapInArrow(
-        _keying(min_words), "key long, doc_id long, text_id long, start int")
-    keyed = materialize(keyed, "windows")
-    first = keyed.groupBy("key").agg(
-        F.min(F.struct("doc_id", "text_id", "start")).alias("first"), F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a <> b").select("key", "first")
-    pointers = keyed.join(first, "key").where("text_id <> first.text_id").select(
-        "text_id", F.col("first.text_id").alias("holder_id"), (F.col("start") - F.col("first.start")).alias("shift"))
-    pairs = materialize(pointers.distinct().groupBy("text_id", "holder_id").agg(F.collect_list("shift").alias("shifts")), "pairs")
-    wanted = pairs.select("text_id").union(pairs.select("holder_id")).distinct()
-    sources = materialize(long.select("text_id", "text").join(wanted, "text_id").dropDuplicates(["text_id"]), "sources")
-    joined = pairs.join(sources, "text_id").join(sources.toDF("holder_id", "holder_text"), "holder_id")
-    spans = joined.mapInArrow(_comparing(min_words), "text_id long, start int, end int, holder_id long")
-    names = texts.select(F.col("text_id").alias("holder_id"), F.col("least").alias("holder"))
-    spans = spans.join(names, "holder_id").groupBy("text_id").agg(
-        F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("holder").alias("holders"))
-    known = texts.join(spans, "text_id", "left")
+    one = long.join(texts, ["text_id", "check"]).where(F.coalesce("doc_id", last) == F.col("least"))
+    one = materialize(one.dropDuplicates(["text_id", "check"]).select("number", "text"), "distinct-texts")
+    chunks = materialize(one.mapInArrow(_chunking, "digest long, number long"), "chunks")
+    shared = chunks.groupBy("digest").agg(F.min("number").alias("a"), F.max("number").alias("b")).where("a <> b").select("digest")
+    repeated = chunks.join(shared, "digest").groupBy("number").agg(F.collect_list("digest").alias("digests"))
+    keyed = materialize(one.join(repeated, "number", "left").mapInArrow(_keying(min_words), "key long, place long"), "windows")
+    text_of, start_of = lambda place: F.shiftright(place, START_BITS), lambda place: F.col(place).bitwiseAND((1 << START_BITS) - 1).cast("int")
+    first = keyed.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(text_of("first") < text_of("last")).select("key", "first")
+    pointers = keyed.join(first, "key").where(text_of("first") < text_of("place")).select(
+        text_of("place").alias("number"), text_of("first").alias("holder"), start_of("place").alias("start"), (start_of("place") - start_of("first")).alias("shift"))
+    pointers = pointers.groupBy("number", "holder", "shift", F.expr(f"start div {SEGMENT}")).agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    pairs = materialize(pointers.groupBy("number", "holder").agg(F.collect_list(F.struct("low", "high", "shift")).alias("pointers")), "pairs")
+    joined = pairs.join(one, "number").join(one.select(F.col("number").alias("holder"), F.col("text").alias("holder_text")), "holder")
+    spans = joined.mapInArrow(_comparing(min_words), "number long, start int, end int, holder long")
+    names = texts.select(F.col("number").alias("holder"), F.col("least").alias("held_by"))
+    spans = spans.join(names, "holder").groupBy("number").agg(
+        F.collect_list(F.struct("start", "end")).alias("spans"), F.collect_set("held_by").alias("holders"))
+    known = texts.join(spans, "number", "left")
     rows = hashed.join(known, ["text_id", "check"], "left")
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     copy_of = F.when((F.col("copies") > 1) & (F.coalesce("doc_id", last) != F.col("least")) & (words >= min_words), F.col("least"))
