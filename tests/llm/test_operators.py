@@ -501,3 +501,12 @@ def test_passages_of_repetitive_texts_take_linear_time(spark):
     got = {r["doc_id"]: r for r in chunks.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), 8).collect()}
     for i, (least, most) in passages_by_brute_force(docs, 8).items():
         assert (least <= marked(got[i])).all() and (marked(got[i]) <= most).all()
+
+
+def test_passages_of_equal_ids(spark):
+    long, short = " ".join(f"w{i}" for i in range(60)), "a b c"
+    docs = [(1, long), (1, long), (1, long), (2, short), (2, short), (None, long), (None, short), (None, ""), (3, None)]
+    got = chunks.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    key = lambda r: (str(r[0]), r[1], r[2])
+    assert sorted(((r["doc_id"], r["kept_text"], r["holders"]) for r in got), key=key) == sorted(
+        [(1, long, []), (1, "", [1]), (1, "", [1]), (2, short, []), (2, short, []), (None, "", [1]), (None, short, []), (None, "", []), (3, "", [])], key=key)

@@ -14,21 +14,23 @@
    pointer whose window lies in a run found before isn't followed, so that texts of one repeated pattern, with a diagonal for each
    place, take time in proportion to their length.
 
-Copies of a whole text are found first, by hash; only one of them takes part in the steps above.
+Copies of a whole text are folded first, by a digest of 128 bits; one of them takes part in the steps above. The different texts are a table
+bucketed by that digest: chunks, windows, comparison and result read it in place, and only a text that points to a holder moves to it.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
-import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import local_frame, materialize
+from ..session import fresh_dir, local_frame, materialize
 from .words import HASHES, U64, mix, shingle_hashes
 
 #: Mean distance of cuts, least indexed and largest chunk, in bytes.
@@ -230,19 +232,30 @@ def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64()), pa.string(), pa.string()]
     for batch in batches:
         rows = []
-        for doc_id, text, spans, holders, copy_of in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans", "holders", "copy_of"))):
+        for doc_id, text, spans, holders, copy_of, size in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans", "holders", "copy_of", "size"))):
+            if copy_of is not None:
+                rows.append((doc_id, size, 1, size, [[0, size]], [copy_of], "", hashlib.sha256().hexdigest()))
+                continue
             data = (text or "").encode()
-            merged = [(0, len(data))] if copy_of is not None else _merged([(s["start"], s["end"]) for s in spans or ()])
-            kept, last = [], 0
+            merged, kept, last = _merged([(s["start"], s["end"]) for s in spans or ()]), [], 0
             for start, end in merged:
                 kept.append(data[last:start])
                 last = end
             kept = b"".join([*kept, data[last:]])
-            sources = [copy_of] if copy_of is not None else sorted(holders or ())
-            rows.append((doc_id, len(data), len(merged), len(data) - len(kept), [list(s) for s in merged], sources, kept.decode(), hashlib.sha256(kept).hexdigest()))
+            rows.append((doc_id, len(data), len(merged), len(data) - len(kept), [list(s) for s in merged], sorted(holders or ()), kept.decode(), hashlib.sha256(kept).hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 8, kinds)], names)
 
 
+def bucketed(rows: DataFrame, key: str) -> DataFrame:
+    """The rows, which are hashed by ``key`` already, as a table that joins by it read in place."""
+    spark, name = rows.sparkSession, f"distinct_texts_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.option("compression", "zstd").option("path", fresh_dir(spark, "distinct-texts")).bucketBy(buckets, key).saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay for as long as the result is read
+    return stored
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """The rows, written in ``order`` and numbered from 0 on in column ``number``. The driver holds one count per part."""
     part, index = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
@@ -264,33 +277,48 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     nothing; their kept text is empty if null. A null doc_id counts as larger than all others. Other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashes = [F.xxhash64("text").alias("text_id"), F.xxhash64(F.lit(1), "text").alias("check")]
-    hashed = base.select("doc_id", "text", *hashes)
+    hashed = base.withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
     last = F.lit((1 << 63) - 1)
-    texts = hashed.where("length(text) > 0").groupBy("text_id", "check").agg(F.min(F.coalesce("doc_id", last)).alias("least"), F.count("*").alias("copies"))
-    texts = numbered(texts, ["least", "text_id", "check"], "texts")
+    full = hashed.where("length(text) > 0").withColumn("doc_id", F.coalesce("doc_id", last))
+    table = bucketed(full.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("text").alias("text")), "text_key")
+    texts = numbered(table.select("text_key", "least", "copies"), ["least", "text_key"], "texts")
+    names = texts.select("number", "text_key")
+
     # shorter texts hold no passage
-    long = hashed.where(F.length("text") >= 2 * min_words - 1)
-    one = long.join(texts, ["text_id", "check"]).where(F.coalesce("doc_id", last) == F.col("least"))
-    one = materialize(one.dropDuplicates(["text_id", "check"]).select("number", "text"), "distinct-texts")
-    chunks = materialize(one.mapInArrow(_chunking, "digest long, number long"), "chunks")
+    one = table.where(F.length("text") >= 2 * min_words - 1).select("text_key", "text").join(names, "text_key")
+    chunks = materialize(one.select("number", "text").mapInArrow(_chunking, "digest long, number long"), "chunks")
     shared = chunks.groupBy("digest").agg(F.min("number").alias("a"), F.max("number").alias("b")).where("a <> b").select("digest")
     repeated = chunks.join(shared, "digest").groupBy("number").agg(F.collect_list("digest").alias("digests"))
-    keyed = materialize(one.join(repeated, "number", "left").mapInArrow(_keying(min_words), "key long, place long"), "windows")
+    repeated = repeated.join(names, "number").select("text_key", "digests")
+    keyed = materialize(one.join(repeated, "text_key", "left").select("number", "text", "digests").mapInArrow(_keying(min_words), "key long, place long"), "windows")
+
     text_of, start_of = lambda place: F.shiftright(place, START_BITS), lambda place: F.col(place).bitwiseAND((1 << START_BITS) - 1).cast("int")
     first = keyed.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(text_of("first") < text_of("last")).select("key", "first")
     pointers = keyed.join(first, "key").where(text_of("first") < text_of("place")).select(
         text_of("place").alias("number"), text_of("first").alias("holder"), start_of("place").alias("start"), (start_of("place") - start_of("first")).alias("shift"))
     pointers = pointers.groupBy("number", "holder", "shift", F.expr(f"start div {SEGMENT}")).agg(F.min("start").alias("low"), F.max("start").alias("high"))
     pairs = materialize(pointers.groupBy("number", "holder").agg(F.collect_list(F.struct("low", "high", "shift")).alias("pointers")), "pairs")
-    joined = pairs.join(one, "number").join(one.select(F.col("number").alias("holder"), F.col("text").alias("holder_text")), "holder")
-    spans = joined.mapInArrow(_comparing(min_words), "number long, start int, end int, holder long")
-    names = texts.select(F.col("number").alias("holder"), F.col("least").alias("held_by"))
-    spans = spans.join(names, "holder").groupBy("number").agg(
-        F.collect_list(F.struct("start", "end")).alias("spans"), F.collect_set("held_by").alias("holders"))
-    known = texts.join(spans, "number", "left")
-    rows = hashed.join(known, ["text_id", "check"], "left")
+
+    holders = texts.select(F.col("number").alias("holder"), F.col("text_key").alias("holder_key"), F.col("least").alias("held_by"))
+    joined = pairs.join(names, "number").join(holders, "holder").join(table.select("text_key", "text"), "text_key")
+    joined = joined.join(table.select(F.col("text_key").alias("holder_key"), F.col("text").alias("holder_text")), "holder_key")
+    spans = joined.select("number", F.col("held_by").alias("holder"), "pointers", "text", "holder_text").mapInArrow(
+        _comparing(min_words), "number long, start int, end int, holder long")
+    spans = spans.groupBy("number").agg(F.collect_list(F.struct("start", "end")).alias("spans"), F.collect_set("holder").alias("holders"))
+    spans = spans.join(names, "number").select("text_key", "spans", "holders")
+
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("spans", "array<struct<start:int,end:int>>"), ("holders", "array<long>"), ("copy_of", "long"))]
+    size = F.octet_length("text").cast("long").alias("size")
+    firsts = table.join(spans, "text_key", "left").select(F.col("least").alias("doc_id"), "text", "spans", "holders", none[2], size)
+    # all rows of texts with copies, but for one with the least doc_id
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    copy_of = F.when((F.col("copies") > 1) & (F.coalesce("doc_id", last) != F.col("least")) & (words >= min_words), F.col("least"))
-    return rows.select("doc_id", "text", "spans", "holders", copy_of.alias("copy_of")).mapInArrow(
+    narrow = full.select("doc_id", "text_key", size, (words >= min_words).alias("long"), F.when(words < min_words, F.col("text")).alias("text"))
+    copies = narrow.join(texts.where("copies > 1").select("text_key", "least"), "text_key")
+    copy_of = F.when(F.col("long"), F.col("least")).alias("copy_of")
+    later = copies.where("doc_id > least").select("doc_id", "text", *none[:2], copy_of, "size")
+    ties = copies.where("doc_id = least").groupBy("doc_id", "least", "text_key", "text", "long", "size").count().where("count > 1")
+    ties = ties.withColumn("tie", F.explode(F.sequence(F.lit(2), F.col("count")))).select("doc_id", "text", *none[:2], copy_of, "size")
+    empty = hashed.where("text is null or text = ''").select("doc_id", "text", *none, size)
+    rows = firsts.unionByName(later).unionByName(ties).withColumn("doc_id", F.nullif("doc_id", last)).unionByName(empty)
+    return rows.mapInArrow(
         _cutting, "doc_id long, n_bytes long, n_spans long, dropped_bytes long, spans array<array<int>>, holders array<long>, kept_text string, kept_sha256 string")
