@@ -40,6 +40,7 @@ _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uin
 START_BITS = 29
 #: Pointers of one diagonal are taken together within so many bytes.
 SEGMENT = 4096
+WHITE = r"\x20\x09-\x0D"
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -311,9 +312,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     size = F.octet_length("text").cast("long").alias("size")
     firsts = table.join(spans, "text_key", "left").select(F.col("least").alias("doc_id"), "text", "spans", "holders", none[2], size)
     # all rows of texts with copies, but for one with the least doc_id
-    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    narrow = full.select("doc_id", "text_key", size, (words >= min_words).alias("long"), F.when(words < min_words, F.col("text")).alias("text"))
-    copies = narrow.join(texts.where("copies > 1").select("text_key", "least"), "text_key")
+    is_long = F.col("text").rlike(rf"\A[{WHITE}]*+(?:[^{WHITE}]++[{WHITE}]++){{{min_words - 1}}}[^{WHITE}]")  # reads that many words only
+    narrow = full.select("doc_id", "text_key", size, is_long.alias("long"), "text").withColumn("text", F.expr("if(long, null, text)"))
+    copies = materialize(narrow.join(texts.where("copies > 1").select("text_key", "least"), "text_key"), "copies")
     copy_of = F.when(F.col("long"), F.col("least")).alias("copy_of")
     later = copies.where("doc_id > least").select("doc_id", "text", *none[:2], copy_of, "size")
     ties = copies.where("doc_id = least").groupBy("doc_id", "least", "text_key", "text", "long", "size").count().where("count > 1")
