@@ -82,3 +82,26 @@ def test_prices(spark, tmp_path, fmt):
     writer.format(fmt).save(path)
     got = read_prices(spark, path, ["A", "MISSING"], "2024-01-01", "2024-01-03", fmt)
     assert [(str(d), t, c) for d, t, c in rows(got)] == [("2024-01-01", "A", 1.0), ("2024-01-02", "A", 2.0)]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_a_watchlist_can_be_a_table(spark, tmp_path, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr("tidewire.operators.keyed.fits_broadcast", lambda rows: False)
+    watch = spark.range(5_000).selectExpr("concat('X', id) as ticker", "id + 10 as pos").union(
+        spark.sql("select * from values (' bbb', 1L), ('AAA', 2L), ('bbb ', 7L), ('', 0L), (null, 3L) as t(ticker, pos)"))
+    item = {"title": "t", "link": "same"}
+    lines = [json.dumps({"ticker": ticker, "item": item}) for ticker in ("AAA", "BBB", "CCC")]
+    (tmp_path / "news.json").write_text("\n".join(lines))
+    raw = read_news(spark, str(tmp_path))
+    by_table, by_list = op.normalize_news(raw, as_of(), watch), op.normalize_news(raw, as_of(), "bbb,aaa,bbb")
+    assert rows(by_table.drop("seq", "rank"), "ticker") == rows(by_list.drop("seq", "rank"), "ticker")
+    assert by_table.schema == by_list.schema
+    new = op.insert_if_absent(by_table, by_table.limit(0))
+    assert [row.ticker for row in new.collect()] == ["BBB"]
+    counts = op.insert_counts(new, watch)
+    assert counts.count() == 5_002 and rows(counts.where("inserted > 0")) == [("BBB", 1)]
+    posts = spark.createDataFrame([(1, "$AAA $CCC $AAA"), (2, "$BBB $AAA"), (3, "none"), (4, None)], "id int, title string")
+    assert rows(op.explode_mentions(posts, watch)) == rows(op.explode_mentions(posts, "aaa, bbb"))
+    # beyond the measured size there is no hint; Spark's own threshold decides
+    assert ("broadcast" in op.explode_mentions(posts, watch)._jdf.queryExecution().analyzed().toString()) == small

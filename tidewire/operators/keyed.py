@@ -30,6 +30,16 @@ def fits_broadcast(rows: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: i
     return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
+def watch_table(watch: DataFrame) -> DataFrame:
+    """A watchlist kept as a table (ticker, pos) by the rule for lists: ticker, place; repeats keep their first place.
+
+    It is broadcast only if it measures small (``fits_broadcast``); a longer one meets the rows by a shuffle.
+    """
+    named = watch.select(F.upper(F.trim("ticker")).alias("ticker"), F.col("pos").alias("place")).where("ticker <> ''")
+    names = named.groupBy("ticker").agg(F.min("place").alias("place"))
+    return F.broadcast(names) if fits_broadcast(names) else names
+
+
 def first_of_key(rows: DataFrame, keys: Iterable[str] = HEADLINE_KEY, order: Iterable[str] = ARRIVAL) -> DataFrame:
     """One row per key: the first in ``order``. Rows are folded before the shuffle."""
     keys = list(keys)
@@ -83,10 +93,13 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, sources)
 
 
-def insert_counts(new: DataFrame, watch: str | Iterable[str]) -> DataFrame:
-    """Newly stored rows per watched ticker, 0 where there are none."""
-    wanted = local_frame(new.sparkSession, [(name,) for name in normal_watchlist(watch)], "ticker string")
+def insert_counts(new: DataFrame, watch: str | Iterable[str] | DataFrame) -> DataFrame:
+    """Newly stored rows per watched ticker, 0 where there are none. The watchlist may be a table (see `watch_table`)."""
     counts = new.groupBy("ticker").agg(F.count(F.lit(1)).alias("inserted"))
+    if isinstance(watch, DataFrame):
+        names = watch_table(watch).select("ticker")
+        return names.join(counts, "ticker", "left").select("ticker", F.coalesce("inserted", F.lit(0)).alias("inserted"))
+    wanted = local_frame(new.sparkSession, [(name,) for name in normal_watchlist(watch)], "ticker string")
     # the names come from an argument
     return counts.join(F.broadcast(wanted), "ticker", "right").select(
         "ticker", F.coalesce("inserted", F.lit(0)).alias("inserted")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import headline_id, mentions, normal_watchlist
 from ..functions.times import NESTED_TIME_FIELDS, TIME_FIELDS, epoch_or, first_time, time_fields
 from ..session import local_frame
+from .keyed import watch_table
 
 # Fixed values.
 NEWS_SOURCE = "yfinance"
@@ -58,15 +59,15 @@ def _headline(rows: DataFrame, source: str, rank: Column) -> DataFrame:
     )
 
 
-def normalize_news(raw: DataFrame, as_of: Column, watch: str | Iterable[str] | None = None) -> DataFrame:
+def normalize_news(raw: DataFrame, as_of: Column, watch: str | Iterable[str] | DataFrame | None = None) -> DataFrame:
     """Raw news (ticker, seq, item) -> headline rows plus the arrival order (source_rank, rank, seq).
 
     The nested block fills in only when the title or the url is missing at the top level, and
     the publisher follows the same condition. Rows without a title or url drop out. With a
-    watchlist, only its tickers pass, and its order comes first in the arrival order.
+    watchlist, only its tickers pass, and its order comes first in the arrival order. It may be a table (ticker, pos).
     """
     ticker, rank, wanted = F.upper("ticker"), F.lit(0), None
-    if watch is not None:
+    if watch is not None and not isinstance(watch, DataFrame):
         wanted = normal_watchlist(watch)
         raw = raw.where(ticker.isin(wanted))
     # One typed read of the item. It is the output of a generator, since a plain expression would be
@@ -93,22 +94,24 @@ def normalize_news(raw: DataFrame, as_of: Column, watch: str | Iterable[str] | N
         # the names come from an argument
         places = local_frame(raw.sparkSession, [(name, place) for place, name in enumerate(wanted, 1)], "ticker string, place int")
         rows, rank = rows.join(F.broadcast(places), "ticker"), F.col("place")
+    elif watch is not None:
+        rows, rank = rows.join(watch_table(watch), "ticker"), F.col("place").cast("int")
     return _headline(rows, NEWS_SOURCE, rank)
 
 
-def explode_mentions(posts: DataFrame, watch: str | Iterable[str]) -> DataFrame:
+def explode_mentions(posts: DataFrame, watch: str | Iterable[str] | DataFrame) -> DataFrame:
     """One row per post and watched ticker that its ``title`` mentions; posts with none vanish.
 
     Mentions are exploded before they are matched, so a long watchlist is a hashed lookup per
-    mention.
+    mention. A watchlist of any length can be a table (ticker, pos), which is joined.
     """
-    wanted = normal_watchlist(watch)
-    return posts.withColumn("ticker", F.explode(mentions(F.col("title")))).where(
-        F.col("ticker").isin(wanted)
-    )
+    found = posts.withColumn("ticker", F.explode(mentions(F.col("title"))))
+    if isinstance(watch, DataFrame):
+        return found.join(watch_table(watch), "ticker", "left_semi").select(*found.columns)
+    return found.where(F.col("ticker").isin(normal_watchlist(watch)))
 
 
-def normalize_posts(raw: DataFrame, watch: str | Iterable[str], as_of: Column) -> DataFrame:
+def normalize_posts(raw: DataFrame, watch: str | Iterable[str] | DataFrame, as_of: Column) -> DataFrame:
     """Raw posts (seq, post) -> headline rows plus the arrival order, one per mentioned ticker.
 
     Mentions are looked for in the whole title, which is cut only afterwards.
