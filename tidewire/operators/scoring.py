@@ -5,12 +5,13 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..schemas import PROBABILITIES, SCORES
+from ..schemas import SCORES
 from ..session import materialize
 from .keyed import insert_if_absent, scoring_backlog
 from .lexicon import lexicon_score
@@ -22,6 +23,8 @@ Scorer = Callable[..., DataFrame]
 
 LEXICON_BACKEND = "vader"  # fixed value
 SCORE_COLUMNS = [field.name for field in SCORES]
+#: Bytes of text that a model is given at once (a longer text goes alone).
+PART_BYTES = 4_000_000
 
 _backends: dict[str, Scorer] = {}
 
@@ -76,21 +79,34 @@ def _each(predict: Predict, texts: list[str]) -> list[dict | None]:
         return _each(predict, texts[:half]) + _each(predict, texts[half:])
 
 
-def _classify(load: Callable[[], Predict]):
-    """Texts through a model that is loaded once per task; those that it fails on have NULL results."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parts(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``size`` bytes of titles, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("title")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _classify(load: Callable[[], Predict], part_bytes: int):
+    """Texts through a model that is loaded once per task; those that it fails on have NULL results, and only they keep their titles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             predict = load()
         except Exception:  # no model on this worker: its rows go to the fallback
             log.exception("the model can't be loaded; all texts of the task go to the fallback")
             predict = None
-        for batch in batches:
-            texts = batch["title"].fillna("").tolist()
-            results = [None] * len(texts) if predict is None else _each(predict, texts)
+        for batch in (part for whole in batches for part in _parts(whole, part_bytes)):
+            titles = batch.column("title").to_pylist()
+            results = [None] * len(titles) if predict is None else _each(predict, [title or "" for title in titles])
             failed = sum(result is None for result in results)
             if failed and predict is not None:
-                log.warning("the model failed on %d of %d texts; they go to the fallback", failed, len(texts))
-            yield batch.assign(probs=results)
+                log.warning("the model failed on %d of %d texts; they go to the fallback", failed, len(titles))
+            probs = pa.array([None if x is None else list(x.items()) for x in results], pa.map_(pa.string(), pa.float64()))
+            kept = pa.array([None if x else title for x, title in zip(results, titles)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("headline_id"), kept, probs], ["headline_id", "title", "probs"])
 
     return run
 
@@ -102,17 +118,13 @@ def model_score(
 
     ``load()`` runs on the executors and returns ``predict(texts)``, one list of
     (class, probability) per text. A batch that fails is split until only failing texts are left, so
-    that results don't depend on how texts are batched. The model's results are written once, in a stage without a shuffle that can have
+    that results don't depend on how texts are batched; it is given `PART_BYTES` of text at once, whatever Spark's batches hold. The model's results are written once, in a stage without a shuffle that can have
     executors of its own (``profile``, a Spark resource profile, such as one with GPUs); only the texts that it failed on are read again, for the
     lexicon. Failures are logged; fallback rows carry the lexicon's model name, by which they
     can be counted.
     """
-    schema = T.StructType([
-        T.StructField("headline_id", T.StringType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("probs", PROBABILITIES),
-    ])
-    classified = headlines.select("headline_id", "title").mapInPandas(_classify(load), schema, profile=profile)
+    texts = headlines.select(F.col("headline_id").cast("string").alias("headline_id"), F.col("title").cast("string").alias("title"))
+    classified = texts.mapInArrow(_classify(load, PART_BYTES), "headline_id string, title string, probs map<string, double>", profile=profile)
     failed = F.col("score").isNull()
     written = materialize(
         fold_probabilities(classified).select("headline_id", "label", "score", "confidence", F.when(failed, F.col("title")).alias("title")), "model-scores"
