@@ -30,7 +30,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Segments that a worker keeps.
-CACHE = 400_000
+CACHE = 300_000
 
 
 class Codec:
@@ -49,7 +49,7 @@ class Codec:
             MARK not in p.lstrip(MARK) for p, _, kind in self.pieces if kind == NORMAL)
         self.tokenizer = Tokenizer(self._model())
         self.normalizer = self._normalizer()
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}  # int32; an array for each takes three times the memory
         self.repaired: set[str] = set()
         self.bytes = [self._piece_bytes(p, kind) for p, _, kind in self.pieces]
 
@@ -94,11 +94,10 @@ class Codec:
                 if not np.array_equal(ids[i], theirs) and segments[i] != MARK:
                     ids[i] = np.array(theirs, np.int32)
                     self.repaired.add(segments[i])
-        self.cache.update(zip(segments, ids))
+        self.cache.update(zip(segments, map(np.ndarray.tobytes, ids)))
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[int]]:
         """Ids of each text, and how many of its segments were repaired."""
-        none = np.zeros(0, np.int32)
         if not self.segmented:
             encoded = self.tokenizer.encode_batch_fast([self.normalizer.normalize_str(t) if t else "" for t in texts], add_special_tokens=False)
             ids = [np.array(x.ids, np.int32) for x in encoded]
@@ -117,7 +116,7 @@ class Codec:
         if new:
             self._learn(new)
         get, bad = self.cache.__getitem__, self.repaired
-        ids = [np.concatenate(list(map(get, p))) if p else none for p in parts]
+        ids = [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
         return ids, [sum(s in bad for s in p) if bad else 0 for p in parts]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -144,8 +143,8 @@ def _encoding(name, data, verify):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, data, verify)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
                 texts = batch.column("text").to_pylist()
                 ids, fixed = codec.encode(texts)
                 back = [codec.decode(x) == (t or "") for x, t in zip(ids, texts)]

@@ -16,7 +16,7 @@ _MULTIPLIER = U64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """Hash of each word seen, forgotten when there are too many to keep."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
