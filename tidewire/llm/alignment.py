@@ -128,7 +128,7 @@ class Alignment:
         place = np.empty(n_a + n_b, np.int64)  # every token with the sign behind it, in its place
         place[np.arange(n_a) + np.concatenate([[0], self.stops_b])[group_a]] = self.ids_a + size_a * self.last_a
         place[np.arange(n_b) + self.stops_a[group_b]] = 2 * size_a + self.ids_b + len(self.pair.length_b) * self.last_b
-        return "".join(map(self.pair.signs.__getitem__, place.tolist()))[:-1].encode()
+        return self.pair.signs.take(place).tobytes().replace(b"\0", b"")[:-1]
 
 
 class Pair:
@@ -158,13 +158,15 @@ class Pair:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
         self.length_a = np.array([len(e) for e in entries], np.int32)  # a character for each byte
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int32)
-        self.signs = [f"{i}{sign}" for size, sign in ((len(entries), ","), (len(entries), "|"), (len(pieces), ","), (len(pieces), ";")) for i in range(size)]
+        signs = [f"{i}{sign}" for size, sign in ((len(entries), ","), (len(entries), "|"), (len(pieces), ","), (len(pieces), ";")) for i in range(size)]
+        self.signs = np.array(signs, bytes)  # of one width, filled up with zero bytes
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of space+text by A, and of text by B, which puts the space in front itself."""
         spaced = " " + text
-        a = self.a.encode(spaced, add_special_tokens=False).ids if OWN_LIBRARY.search(text) else self.fast.encode_ordinary(spaced)
-        return a, self.b.encode(text)
+        own = OWN_LIBRARY.search(text)
+        a = self.a.encode(spaced, add_special_tokens=False).ids if own else self.fast.encode_to_numpy(spaced, disallowed_special=())
+        return np.asarray(a).astype(np.int32), np.array(self.b.encode(text), np.int32)
 
     def align(self, text: str | None) -> Alignment | None:
         """None where the text has no tokens, by the rule of `alignments`."""
@@ -172,9 +174,9 @@ class Pair:
             return None
         a, b = self.encode(text)
         whole = (" " + text).encode()
-        if b"".join(map(self.bytes_b.__getitem__, b)) != whole:
+        if b"".join(map(self.bytes_b.__getitem__, b.tolist())) != whole:
             return None
-        return Alignment(self, np.array(a, np.int32), np.array(b, np.int32))
+        return Alignment(self, a, b)
 
 
 _PAIRS: dict[tuple[str, int], Pair] = {}
