@@ -5,6 +5,8 @@ space rules, dummy prefix, metaspace marker), the unigram scores or the BPE merg
 
 Where no piece has the marker behind another character, nothing joins across the start of a word; texts
 are then cut there, and each distinct segment is encoded once per Python worker, in multithreaded batches.
+BPE with byte fallback joins two characters only if a piece holds them side by side; texts are then cut between
+all others, and new segments are encoded many in a row, with a character between them that no piece holds.
 Every segment is compared with the sentencepiece library when it's first seen (``verify``); if the ids
 differ, the library's are used and the segment counts as repaired. Models without that property, or with
 a normaliser that isn't the identity, are encoded text by text.
@@ -31,6 +33,14 @@ UNIGRAM, BPE = 1, 2
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Segments that a worker keeps.
 CACHE = 300_000
+#: Put between segments that are encoded in a row, and how many these are.
+BETWEEN, IN_A_ROW = "\n", 500
+#: Pairs of neighbouring characters are looked up by so many bits of a hash; a clash only leaves a cut out.
+PAIR_BITS, PAIRS_AT_ONCE = 20, 1 << 17
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (first * np.uint32(0x9E3779B1) + second) * np.uint32(0x85EBCA77) >> np.uint32(32 - PAIR_BITS)
 
 
 class Codec:
@@ -51,6 +61,7 @@ class Codec:
         self.normalizer = self._normalizer()
         self.cache: dict[str, bytes] = {}  # int32; an array for each takes three times the memory
         self.repaired: set[str] = set()
+        self.pairs = self._pairs()
         self.bytes = [self._piece_bytes(p, kind) for p, _, kind in self.pieces]
 
     def _model(self):
@@ -84,6 +95,54 @@ class Codec:
             return b""
         return " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
 
+    def _pairs(self) -> np.ndarray | None:
+        """By hash, whether a piece holds two characters side by side; None where more than that decides what is joined."""
+        pieces = [p for p, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED, UNUSED)]
+        if not self.segmented or self.kind != BPE or not self.fallback or any(BETWEEN in p for p in pieces):
+            return None
+        codes = np.array([(ord(a), ord(b)) for p in pieces for a, b in zip(p, p[1:])], np.uint32).reshape(-1, 2)
+        pairs = np.zeros(1 << PAIR_BITS, bool)
+        pairs[pair_hashes(codes[:, 0], codes[:, 1])] = True
+        return pairs
+
+    def _cut(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        """Segments of all texts, and the number of them up to the end of each text."""
+        whole, ends = "".join(texts), np.cumsum([len(t) for t in texts], dtype=np.int64)
+        cut = np.ones(len(whole) + 1, bool)
+        for at in range(0, len(whole) - 1, PAIRS_AT_ONCE):
+            codes = np.frombuffer(whole[at : at + PAIRS_AT_ONCE + 1].encode("utf-32-le"), np.uint32)
+            np.logical_not(self.pairs[pair_hashes(codes[:-1], codes[1:])], out=cut[at + 1 : at + len(codes)])
+        cut[ends] = True
+        cut[0] = False
+        at = np.flatnonzero(cut)
+        places = at.tolist()
+        return [whole[a:b] for a, b in zip([0, *places], places)], np.searchsorted(at, ends, "right").tolist()
+
+    def _learn_in_rows(self, segments: list[str]) -> None:
+        """Ids of segments not seen before, many in a row. Nothing joins across ``BETWEEN``, which is no part of a longer segment."""
+        between = next(i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE and p == f"<0x{ord(BETWEEN):02X}>")
+        if BETWEEN in segments:
+            segments.remove(BETWEEN)
+            self.cache[BETWEEN] = np.int32(between).tobytes()
+        parts = [segments[at : at + IN_A_ROW] for at in range(0, len(segments), IN_A_ROW)]
+        rows = ["".join(BETWEEN + s for s in part) for part in parts]
+        for part, row, found in zip(parts, rows, self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)):
+            ids = np.array(found.ids, np.int32)
+            own = self._split(ids, between)
+            if self.verify:
+                theirs = np.array(self.library.encode(row)[int(self.rules.add_dummy_prefix) :], np.int32)
+                if not np.array_equal(ids, theirs):
+                    theirs = self._split(theirs, between)
+                    self.repaired.update(s for s, a, b in zip(part, own, theirs) if a != b)
+                    own = theirs
+            self.cache.update(zip(part, own))
+
+    @staticmethod
+    def _split(ids: np.ndarray, between: int) -> list[bytes]:
+        """The bytes of what follows each ``between``."""
+        raw, at = ids.tobytes(), (4 * np.append(np.flatnonzero(ids == between), len(ids))).tolist()
+        return [raw[a + 4 : b] for a, b in zip(at, at[1:])]
+
     def _learn(self, segments: list[str]) -> None:
         """Ids of segments not seen before, in one batch for all threads of the library."""
         ids = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
@@ -111,10 +170,15 @@ class Codec:
             self.cache.clear()
             self.repaired.clear()
         prefix = MARK if self.rules.add_dummy_prefix else ""
-        parts = [SEGMENT.findall(prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list({s for p in parts for s in p if s not in self.cache})
+        marked = [prefix + t.replace(" ", MARK) if t else "" for t in texts]
+        if self.pairs is None:
+            parts, learn = [SEGMENT.findall(t) for t in marked], self._learn
+        else:
+            segments, ends = self._cut(marked)
+            parts, learn = [segments[a:b] for a, b in zip([0, *ends], ends)], self._learn_in_rows
+        new = list(set().union(*parts).difference(self.cache))
         if new:
-            self._learn(new)
+            learn(new)
         get, bad = self.cache.__getitem__, self.repaired
         ids = [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
         return ids, [sum(s in bad for s in p) if bad else 0 for p in parts]
