@@ -7,8 +7,8 @@
    several texts hold each chunk that its own bytes decide; windows without such chunks may be, too. All of these get two
    keys at each place where they occur: the hash of their bytes, and that with all of the last word.
 3. *Holders.* A key that several texts hold points from each place in the later ones to its first holder (least doc_id), which
-   has the whole window: one pointer per place, by an aggregate and a join on the key, never all pairs of holders. Texts are numbered
-   in the order of their doc_ids, so that a place is one number and the first holder a minimum, which Spark folds before the shuffle.
+   has the whole window: one pointer per place, by a minimum over the key's rows, never all pairs of holders. Texts are numbered
+   in the order of their doc_ids, so that a place is one number and the first holder a minimum. Chunks and windows are shuffled once, and stored nowhere else.
 4. *Spans.* Pointers from a text to one holder and on one diagonal are one candidate; the bytes of both texts are compared
    along the diagonal, from the pointers on as far as they are equal, and runs with at least ``min_words`` words are repeated passages. A
    pointer whose window lies in a run found before isn't followed, so that texts of one repeated pattern, with a diagonal for each
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import fresh_dir, local_frame, materialize
@@ -287,15 +287,15 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
     # shorter texts hold no passage
     one = table.where(F.length("text") >= 2 * min_words - 1).select("text_key", "text").join(names, "text_key")
-    chunks = materialize(one.select("number", "text").mapInArrow(_chunking, "digest long, number long"), "chunks")
-    shared = chunks.groupBy("digest").agg(F.min("number").alias("a"), F.max("number").alias("b")).where("a <> b").select("digest")
-    repeated = chunks.join(shared, "digest").groupBy("number").agg(F.collect_list("digest").alias("digests"))
+    chunks = one.select("number", "text").mapInArrow(_chunking, "digest long, number long")
+    of_digest = Window.partitionBy("digest")
+    shared = chunks.withColumn("a", F.min("number").over(of_digest)).withColumn("b", F.max("number").over(of_digest)).where("a <> b")
+    repeated = shared.groupBy("number").agg(F.collect_list("digest").alias("digests"))
     repeated = repeated.join(names, "number").select("text_key", "digests")
-    keyed = materialize(one.join(repeated, "text_key", "left").select("number", "text", "digests").mapInArrow(_keying(min_words), "key long, place long"), "windows")
+    keyed = one.join(repeated, "text_key", "left").select("number", "text", "digests").mapInArrow(_keying(min_words), "key long, place long")
 
     text_of, start_of = lambda place: F.shiftright(place, START_BITS), lambda place: F.col(place).bitwiseAND((1 << START_BITS) - 1).cast("int")
-    first = keyed.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(text_of("first") < text_of("last")).select("key", "first")
-    pointers = keyed.join(first, "key").where(text_of("first") < text_of("place")).select(
+    pointers = keyed.withColumn("first", F.min("place").over(Window.partitionBy("key"))).where(text_of("first") < text_of("place")).select(
         text_of("place").alias("number"), text_of("first").alias("holder"), start_of("place").alias("start"), (start_of("place") - start_of("first")).alias("shift"))
     pointers = pointers.groupBy("number", "holder", "shift", F.expr(f"start div {SEGMENT}")).agg(F.min("start").alias("low"), F.max("start").alias("high"))
     pairs = materialize(pointers.groupBy("number", "holder").agg(F.collect_list(F.struct("low", "high", "shift")).alias("pointers")), "pairs")
