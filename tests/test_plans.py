@@ -11,7 +11,7 @@ from tidewire.plans import RunConfig, dashboard_tables, run_end_to_end
 from tidewire.schemas import LEXICON, PRICES
 from tidewire.session import local_frame, shared_dir
 from tidewire.sources import read_headlines, read_scores
-from tidewire.sources.tables import add_daily_partials, read_daily_partials, replace_daily_partials
+from tidewire.sources.tables import MOST_FOLDERS, _partials, _width, add_daily_partials, read_daily_partials, replace_daily_partials
 from tidewire.streaming import daily_partials_stream, daily_stream, ingest, ingest_stream, stored_daily
 
 GOOD, BAD = "good news today", "bad news today"
@@ -212,3 +212,31 @@ def test_daily_partials_that_lack_rows_are_made_anew(spark, landed, tmp_path):
     before = rows(first["daily"])
     replace_daily_partials(read_daily_partials(spark, f"{landed.store}/daily").where("ticker = 'NVDA'").drop("applied"), f"{landed.store}/daily")
     assert rows(run_end_to_end(spark, landed)["daily"]) == before
+
+
+def test_many_days_share_folders(spark, tmp_path):
+    path = str(tmp_path / "centuries")
+    days = spark.range(-3_000, 3_000).selectExpr("'A' as ticker", "date_from_unix_date(cast(id as int) * 7) as date", "1.0D as score_sum", "1L as score_n",
+                                                "0.5D as confidence_sum", "1L as confidence_n", "1L as n")
+
+    def files():
+        return set(_partials(spark, path, _width(spark, path)).inputFiles())
+
+    def folders():
+        return {name.rpartition("/")[0] for name in files()}
+
+    some = days.where("abs(unix_date(date)) < 700")
+    add_daily_partials(some, path, 0)
+    assert len(folders()) == 199 and all("/date=" in name for name in folders())
+    add_daily_partials(days, path, 1)
+    add_daily_partials(days, path, 1)  # the same batch again
+    assert 10 <= len(folders()) <= MOST_FOLDERS and len(folders()) == len(files())
+    late = days.where("date = '1970-01-01'")
+    before = files()
+    add_daily_partials(late, path, 2)
+    assert len(before - files()) == 1
+    stored = read_daily_partials(spark, path).collect()
+    assert len(stored) == 6_000 and sum(row["n"] for row in stored) == 6_000 + 199 + 1
+    assert {row["n"] for row in stored if abs((row["date"] - dt.date(1970, 1, 1)).days) >= 700} == {1}
+    replace_daily_partials(read_daily_partials(spark, path).where("date >= '1970-01-01'").drop("applied"), path)
+    assert read_daily_partials(spark, path).count() == 3_000

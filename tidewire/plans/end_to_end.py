@@ -103,7 +103,7 @@ def _in_time(scored: DataFrame) -> DataFrame:
 
 
 def update_daily(spark: SparkSession, store: str, new_scores: DataFrame) -> DataFrame:
-    """The daily table, of partials that are kept by day: only the days of new scores are read and rewritten.
+    """The daily table, of partials that are kept by day (many days: by several): only the folders of new scores are read and rewritten.
 
     The partials must have as many rows as there are scores; where they don't, as after a run that was cut short between the two, or in a
     store that has none yet, all days are computed anew.

@@ -15,6 +15,8 @@ from ..session import local_frame, materialize
 #: Headlines and scores are bucketed by it, so that joins of the two, and set logic on it, leave the history where it is.
 STORE_KEY = "headline_id"
 LAYOUT = "buckets int"
+#: Folders that a table of daily partials has at most; beyond, days share one, as few as is enough. A folder costs a file to write and open, and a listing.
+MOST_FOLDERS, WIDTHS, WIDTH = 512, (1, 8, 64, 512, 4096, 32768), "days int"
 
 #: Buckets of the stores that this process has seen.
 _buckets: dict[str, int] = {}
@@ -109,40 +111,98 @@ def save_bucketed(table: DataFrame, name: str, key: str, buckets: int, path: str
     writer.saveAsTable(name)
 
 
+def _since(width: int) -> Column:
+    """First day of the folder that a date is in, where ``width`` days share one."""
+    day = F.unix_date("date")
+    return F.col("date") if width == 1 else F.date_from_unix_date(day - F.pmod(day, F.lit(width)))
+
+
+def _width(spark: SparkSession, path: str) -> int:
+    """Days that share a folder of the table of partials at a path. It only grows."""
+    try:
+        return spark.read.schema(WIDTH).parquet(f"{path}-width").agg(F.max("days").alias("days")).first()["days"] or 1
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 1
+
+
+def _width_for(days: DataFrame, least: int) -> int:
+    """The least width, ``least`` or above, with which some days have at most `MOST_FOLDERS` folders."""
+    widths = [width for width in WIDTHS if width >= least]
+    counts = days.agg(*[F.count_distinct(_since(width)).alias(str(width)) for width in widths]).first()
+    return next((width for width in widths if counts[str(width)] <= MOST_FOLDERS), widths[-1])
+
+
+def _partials(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """Stored partials, with the folder that they are in as ``since``, by which they can be pruned."""
+    if width == 1:
+        return spark.read.schema(PARTIALS).parquet(path).withColumn("since", F.col("date"))
+    return spark.read.schema(T.StructType([*PARTIALS, T.StructField("since", T.DateType())])).parquet(f"{path}-{width}")
+
+
 def read_daily_partials(spark: SparkSession, path: str) -> DataFrame:
-    """Stored partials, one row per ticker and day, in a folder for each day."""
-    return spark.read.schema(PARTIALS).parquet(path)
+    """Stored partials, one row per ticker and day, in a folder for each day, or for as many days as `MOST_FOLDERS` asks for."""
+    return _partials(spark, path, _width(spark, path)).drop("since")
+
 
+def _by_day(partials: DataFrame, path: str, width: int, mode: str) -> None:
+    """Replaces the folders of the partials' days (``dynamic``) or all (``static``), one file each."""
+    spark, since = partials.sparkSession, "date" if width == 1 else "since"
+    rows = partials.select(*PARTIALS.names, *([] if width == 1 else [_since(width).alias("since")]))
+    # the rows are few, so that AQE would have one task write all files
+    tasks = min(rows.select(since).distinct().count(), int(spark.conf.get("spark.sql.shuffle.partitions"))) or 1
+    rows.repartition(tasks, since).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(since).parquet(
+        path if width == 1 else f"{path}-{width}")
 
-def _by_day(partials: DataFrame, path: str) -> None:
-    """Replaces the days that the partials have, one file each; other days stay as they are."""
-    partials.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+
+def _widen(partials: DataFrame, path: str, width: int) -> None:
+    """Stores all partials with a greater width. The table of the old width stands until the new one is complete."""
+    _by_day(partials, path, width, "static")
+    local_frame(partials.sparkSession, [(width,)], WIDTH).coalesce(1).write.mode("append").parquet(f"{path}-width")
 
 
 def add_daily_partials(new: DataFrame, path: str, batch: int | None = None) -> None:
-    """Adds partials (`daily_partials`) to the stored ones of the same days, and rewrites those days only.
+    """Adds partials (`daily_partials`) to the stored ones of the same days, and rewrites the folders of those days only.
 
-    With a ``batch`` number, which must grow, a day remembers the last batch that it took in: a batch that runs again adds only to days it had
-    not reached. One writer at a time.
+    A folder has one day until there are more than `MOST_FOLDERS`; then all are written again with more days each. With a ``batch`` number, which must
+    grow, a day remembers the last batch that it took in: a batch that runs again adds only to days it had not reached. One writer at a time.
     """
     spark = new.sparkSession
     local_frame(spark, [], PARTIALS).write.mode("ignore").partitionBy("date").parquet(path)
+    local_frame(spark, [], WIDTH).write.mode("ignore").parquet(f"{path}-width")
     new = materialize(new.withColumn("applied", F.lit(batch).cast("long")), "new-partials")
-    # A DATE column has at most 3.7 million values.
-    touched = read_daily_partials(spark, path).join(F.broadcast(new.select("date").distinct()), "date", "left_semi")
+    width = wide = _width(spark, path)
+    stored = touched = _partials(spark, path, width)
+    asked = new.select(_since(width).alias("since")).distinct()
+    if len(stored.inputFiles()) + asked.count() > MOST_FOLDERS:
+        wide = _width_for(stored.select("date").unionByName(new.select("date")), width)
+    if wide == width:
+        touched = stored.where(F.col("since").isin([row["since"] for row in asked.collect()]))  # no more than there may be folders
+    touched = touched.drop("since")
     if batch is not None:
+        # A DATE column has at most 3.7 million values.
         done = touched.groupBy("date").agg(F.max("applied").alias("applied")).where(F.col("applied") >= batch).select("date")
         new = new.join(F.broadcast(done), "date", "left_anti")
     merged = touched.unionByName(new).groupBy("date", "ticker").agg(
         *[(F.max if name == "applied" else F.sum)(name).alias(name) for name in PARTIALS.names if name not in ("date", "ticker")]
     )
-    _by_day(materialize(merged, "merged-partials"), path)  # a folder can't be read and replaced in one job
+    merged = materialize(merged, "merged-partials")  # a folder can't be read and replaced in one job
+    if wide == width:
+        _by_day(merged, path, width, "dynamic")
+    else:
+        _widen(merged, path, wide)
 
 
 def replace_daily_partials(partials: DataFrame, path: str) -> None:
     """Stores partials of all rows in place of whatever is there."""
-    partials.withColumn("applied", F.lit(None).cast("long")).repartition("date").write.mode("overwrite").option(
-        "partitionOverwriteMode", "static").partitionBy("date").parquet(path)
+    partials = materialize(partials.withColumn("applied", F.lit(None).cast("long")), "all-partials")
+    width = _width(partials.sparkSession, path)
+    wide = _width_for(partials.select("date"), width)
+    if wide == width:
+        _by_day(partials, path, width, "static")
+    else:
+        _widen(partials, path, wide)
 
 
 def write_results(folder: str, **tables: DataFrame) -> None:
